@@ -134,11 +134,11 @@ def compare_wide(spark, sf):
 
 @query(
     "c08_flag_anomalies",
-    "SELECT id, date, station_code, wqi < 45 AS is_anomaly FROM hist",
+    "SELECT id, date, station_code, wqi < 55 AS is_anomaly FROM hist",
 )
 def flag_anomalies(spark, sf):
     rows = hist(spark, sf).select("id", "date", "station_code", "wqi")
-    return marts.flag_anomalies(rows, rows.filter("wqi < 45")).drop("wqi")
+    return marts.flag_anomalies(rows, rows.filter("wqi < 55")).drop("wqi")
 
 
 @query(
