@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -18,6 +19,7 @@ from hydrolake.operators.splits import SEED, fold_count, group_folds, group_spli
 
 GROUP_COLUMNS = ("station_code", "station_name", "river_name")
 NON_FEATURES = {"river_status", "date", "station_code", "station", "station_name", "river_name"}
+SMALL_TABLE = 1_000_000
 NUMERIC = ("double", "float", "long", "integer", "short")
 
 
@@ -52,15 +54,23 @@ def group_column(df: DataFrame) -> str | None:
     return found
 
 
-def balanced_weight(df: DataFrame, label: str = "label") -> Column:
+def balanced_weight(counts: dict, label: str = "label") -> Column:
     """n / (classes * n_class) as an expression over the few class counts."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
     total, weight = sum(counts.values()), F.lit(1.0)
     for c, n in counts.items():
         weight = F.when(F.col(label) == c, total / (len(counts) * n)).otherwise(weight)
     return weight
 
 
+def spread_small(df: DataFrame, rows: int) -> DataFrame:
+    """Give a small training table one partition per core (large ones keep theirs):
+    a table that arrives as one file would grow all trees in one task."""
+    if rows > SMALL_TABLE:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, ceil(rows / 1000))))
+
+
 def fill_zero(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
 
@@ -101,7 +111,9 @@ def fit_forest(
     seed: int = SEED,
 ) -> StatusClassifier:
     """Fit on rows that carry ``label``; classes are weighted to equal shares."""
-    weighted = fill_zero(train, features).withColumn("weight", balanced_weight(train))
+    counts = {r[0]: r[1] for r in train.groupBy("label").count().collect()}  # one row per class
+    weighted = fill_zero(train, features).withColumn("weight", balanced_weight(counts))
+    weighted = spread_small(weighted, sum(counts.values()))
     forest = RandomForestClassifier(
         labelCol="label",
         featuresCol="features",
@@ -110,6 +122,7 @@ def fit_forest(
         maxDepth=depth,
         minInstancesPerNode=min_leaf,
         maxMemoryInMB=1024,
+        cacheNodeIds=True,
         seed=seed,
     )
     stages = [VectorAssembler(inputCols=list(features), outputCol="features"), forest]

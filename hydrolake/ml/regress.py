@@ -10,6 +10,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydrolake.ml.classify import spread_small
 from hydrolake.operators.cleaning import present_parameters
 from hydrolake.operators.metrics import regression_metrics, verdict
 from hydrolake.operators.splits import SEED, random_split
@@ -27,10 +28,10 @@ def fit_regressor(
         VectorAssembler(inputCols=[*filled, "station_vector"], outputCol="features"),
         RandomForestRegressor(
             labelCol=target, featuresCol="features", numTrees=trees, maxDepth=depth,
-            minInstancesPerNode=min_leaf, maxMemoryInMB=1024, seed=seed,
+            minInstancesPerNode=min_leaf, maxMemoryInMB=1024, cacheNodeIds=True, seed=seed,
         ),
     ]
-    return Pipeline(stages=stages).fit(train)
+    return Pipeline(stages=stages).fit(spread_small(train, train.count()))
 
 
 def train_regressor(

@@ -307,17 +307,24 @@ def valid_record() -> Column:
 
 
 def upsert(
-    target: DataFrame, updates: DataFrame, keys: Sequence[str] = ("date", "station_code"), order: str = "_ord"
+    target: DataFrame,
+    updates: DataFrame,
+    keys: Sequence[str] = ("date", "station_code"),
+    order: str = "_ord",
+    by_order: bool = False,
 ) -> DataFrame:
     """Insert or replace whole rows by key; among updates of one key the last wins.
 
-    Both sides are stacked and reduced by one keyed dedup: one exchange, cut to
-    one row per key and partition before it.
+    Updates beat stored rows, unless ``by_order``: then the highest ``order``
+    wins wherever it is, so the result does not depend on the sequence in which
+    batches arrive. Both sides are stacked and reduced by one keyed dedup: one
+    exchange, cut to one row per key and partition before it.
     """
     old = target.withColumn("_side", F.lit(0))
     new = updates.filter(valid_record()).withColumn("_side", F.lit(1))
     stacked = old.unionByName(new, allowMissingColumns=True)
-    return dedup(stacked, list(keys), [F.desc("_side"), F.desc(order)]).drop("_side")
+    newest = [F.desc(order), F.desc("_side")] if by_order else [F.desc("_side"), F.desc(order)]
+    return dedup(stacked, list(keys), newest).drop("_side")
 
 
 def append_dedup(base: DataFrame, new: DataFrame, order: str = "_ord", cutoff_year: int = CUTOFF_YEAR) -> DataFrame:

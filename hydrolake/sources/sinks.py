@@ -59,7 +59,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def upsert_table(updates: DataFrame, path: str, keys: Sequence[str] = ("date", "station_code"), order: str = "_ord") -> None:
+def upsert_table(
+    updates: DataFrame,
+    path: str,
+    keys: Sequence[str] = ("date", "station_code"),
+    order: str = "_ord",
+    by_order: bool = False,
+) -> None:
     """Durable upsert into a table partitioned by year; replay-safe.
 
     Only the years that occur among the updates are read and rewritten. The
@@ -70,10 +76,10 @@ def upsert_table(updates: DataFrame, path: str, keys: Sequence[str] = ("date", "
     updates = updates.filter(F.col("date").isNotNull())
     stored = read_table(spark, path)
     if stored is None:
-        merged = upsert(updates.limit(0), updates, keys, order)
+        merged = upsert(updates.limit(0), updates, keys, order, by_order)
     else:
         years = [r[0] for r in updates.select(F.year("date")).distinct().collect()]  # one row per calendar year
-        merged = upsert(stored.filter(F.col("year").isin(years)).drop("year"), updates, keys, order)
+        merged = upsert(stored.filter(F.col("year").isin(years)).drop("year"), updates, keys, order, by_order)
     staged = materialize(_by_year(merged), "upsert")
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
