@@ -15,10 +15,9 @@ from hydrolake.sources.shared import materialize
 
 
 def write_by_river(df: DataFrame, path: str) -> None:
-    """One folder per river. Rows are spread by river and day before the write, so
-    a river with a third of the table is written by many tasks."""
-    spread = df.repartition("river_name", "date") if "date" in df.columns else df
-    spread.write.mode("overwrite").partitionBy("river_name").option("header", True).csv(path)
+    """One folder per river. The rebalance groups rows by river but lets AQE split a
+    river that holds a third of the table into many write tasks."""
+    df.hint("rebalance", F.col("river_name")).write.mode("overwrite").partitionBy("river_name").option("header", True).csv(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -47,8 +46,10 @@ def replace_readings(df: DataFrame, path: str) -> None:
 
 
 def _by_year(df: DataFrame) -> DataFrame:
-    """Cluster rows so that row groups can be skipped by station and date."""
-    return df.withColumn("year", F.year("date")).repartition("year", F.month("date")).sortWithinPartitions("station_code", "date")
+    """Rows grouped by year into evenly sized files (AQE splits large years and
+    merges small ones), sorted so that row groups can be skipped by station and date."""
+    grouped = df.withColumn("year", F.year("date")).hint("rebalance", F.col("year"))
+    return grouped.sortWithinPartitions("station_code", "date")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
