@@ -64,7 +64,8 @@ def group_folds(df: DataFrame, group: str, folds: int, seed: int = SEED) -> tupl
     groups = df.select(group).distinct().select(h.alias("_h"))
     n = groups.count()
     k = max(2, min(folds, n))
-    return df.withColumn("fold", _fold_of(h, groups, n, k)), k
+    limits = ordered_values(groups, {"h": (F.col("_h"), _fold_ranks(n, k))})["h"]
+    return df.withColumn("fold", _fold_of(h, limits)), k
 
 
 def stratified_folds(
@@ -75,19 +76,24 @@ def stratified_folds(
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
     smallest = min(sizes.values())
     k = max(2, min(folds, smallest)) if smallest >= 2 else 2
+    wanted = {f"c{i}": (F.when(F.col(label) == c, h), _fold_ranks(n, k)) for i, (c, n) in enumerate(sizes.items())}
+    limits = ordered_values(df, wanted)
     fold = F.lit(0)
-    for c, n in sizes.items():
-        member = F.col(label) == c
-        fold = F.when(member, _fold_of(h, df.filter(member).select(h.alias("_h")), n, k)).otherwise(fold)
+    for i, c in enumerate(sizes):
+        fold = F.when(F.col(label) == c, _fold_of(h, limits[f"c{i}"])).otherwise(fold)
     return df.withColumn("fold", fold), k
 
 
-def _fold_of(h: Column, population: DataFrame, n: int, k: int) -> Column:
-    ranks = [max(0, (n * (i + 1)) // k - 1) for i in range(k - 1)]
-    limits = ordered_values(population, {"h": (F.col("_h"), ranks)})["h"]
+def _fold_ranks(n: int, k: int) -> list[int]:
+    """Ranks of the last member of every fold but the last."""
+    return [max(0, (n * (i + 1)) // k - 1) for i in range(k - 1)]
+
+
+def _fold_of(h: Column, limits: Sequence[float | None]) -> Column:
     fold = F.lit(0)
     for limit in limits:
-        fold = fold + F.when(h > limit, 1).otherwise(0)
+        if limit is not None:
+            fold = fold + F.when(h > limit, 1).otherwise(0)
     return fold
 
 

@@ -86,6 +86,7 @@ def upsert_batch(records_path: str, alerts_path: str | None, cutoff_year: int =
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read several times below; a lost executor recomputes it from the files
         rows = batch.filter(F.year("date") <= cutoff_year).select(
             "date", "station_code", F.col("river_name").alias("station_name"), "river_name", "wqi",
             "river_status", F.lit("historical").alias("data_type"), F.lit(False).alias("is_predicted"),
@@ -99,6 +100,7 @@ def upsert_batch(records_path: str, alerts_path: str | None, cutoff_year: int =
                 reading_alert_message().alias("message"), F.lit(batch_id).cast("long").alias("batch_id"),
             )
             alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(alerts_path)
+        batch.unpersist()
 
     return run
 

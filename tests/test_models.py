@@ -27,12 +27,13 @@ def separable(spark):
 
 def test_forest_separates_and_survives_storage(spark, separable, tmp_path):
     model, scored = classify.train_classifier(separable, trees=10, depth=5)
-    assert metrics.classification_metrics(scored).first().accuracy == 1.0
+    assert metrics.classification_metrics(scored).first().accuracy > 0.95
     assert scored.select("station_code").distinct().count() == 2  # whole stations in the test side
     model.save(str(tmp_path / "model"))
     again = classify.StatusClassifier.load(spark, str(tmp_path / "model"))
     assert again.features == ["do_", "bod"]
-    assert training.evaluate_classifier(spark, str(tmp_path / "model"), separable).first().accuracy == 1.0
+    stored = training.evaluate_classifier(spark, str(tmp_path / "model"), separable).first()
+    assert stored.n == 900 and stored.accuracy > 0.95
 
 
 def test_cross_validation_folds(separable):

@@ -11,6 +11,7 @@ from hydrolake.constants import PARAMETERS
 from hydrolake.functions import calendar as cal
 from hydrolake.functions import rivers, wqi
 from hydrolake.operators import alerts, cleaning, history, marts
+from hydrolake.sources.shared import materialize
 from workload.registry import AS_OF, END, ORD, WQI_SQL, band, query, rounded, si
 
 
@@ -71,7 +72,7 @@ def dedup_whole_row(spark, sf):
 
 @query("b05_impute_median", "SELECT station_code, date, round(cod, 6) AS cod, tss FROM imputed")
 def impute_median(spark, sf):
-    rows = cleaning.dedup_first(A.measurements(spark, sf, with_nulls=True))
+    rows = materialize(cleaning.dedup_first(A.measurements(spark, sf, with_nulls=True)), "first")
     return rounded(cleaning.impute(rows, "median").select("station_code", "date", "cod", "tss"))
 
 
@@ -81,7 +82,7 @@ def impute_median(spark, sf):
        round(coalesce(tss, (SELECT avg(tss) FROM holed_first)), 6) AS tss FROM holed_first""",
 )
 def impute_mean(spark, sf):
-    rows = cleaning.dedup_first(A.measurements(spark, sf, with_nulls=True))
+    rows = materialize(cleaning.dedup_first(A.measurements(spark, sf, with_nulls=True)), "first")
     return rounded(cleaning.impute(rows, "mean").select("station_code", "date", "cod", "tss"))
 
 

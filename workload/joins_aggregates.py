@@ -10,6 +10,7 @@ from hydrolake import adapters as A
 from hydrolake.constants import PARAMETERS
 from hydrolake.functions.wqi import with_envelope
 from hydrolake.operators import alerts, cleaning, history, marts, series
+from hydrolake.sources.shared import materialize
 from workload.expressions import STRESS_SQL, hist
 from workload.registry import AS_OF, END, band, query, rounded
 
@@ -350,7 +351,8 @@ _CONTRIBUTION = " UNION ALL ".join(
 def parameter_contribution(spark, sf):
     from hydrolake.functions.wqi import add_wqi
 
-    rows = add_wqi(cleaning.impute(cleaning.dedup_first(A.measurements(spark, sf, with_nulls=True))))
+    first = materialize(cleaning.dedup_first(A.measurements(spark, sf, with_nulls=True)), "first")
+    rows = add_wqi(cleaning.impute(first))
     return rounded(marts.contribution(rows).drop("label"))
 
 
