@@ -56,6 +56,19 @@ def to_forecast_points(records: DataFrame) -> DataFrame:
     )
 
 
+def complete_reading(df: DataFrame) -> DataFrame:
+    """Add the optional reading columns a table lacks (untyped rows count as historical)."""
+    defaults = {
+        "station_name": F.lit(None).cast("string"),
+        "river_name": F.lit(None).cast("string"),
+        "river_status": status("wqi", null_as=POLLUTED),
+        "data_type": F.lit("historical"),
+        "id": F.lit(0).cast("long"),
+    }
+    missing = {c: v for c, v in defaults.items() if c not in df.columns}
+    return df.withColumns(missing) if missing else df
+
+
 def measured_until(readings: DataFrame, as_of: date) -> DataFrame:
     kind = F.lower(F.trim(F.coalesce(F.col("data_type"), F.lit("historical"))))
     return readings.filter((F.col("date") <= F.lit(as_of)) & (kind != "forecast"))
@@ -68,7 +81,7 @@ def historical_slice(readings: DataFrame, points: DataFrame | None, as_of: date)
     One exchange: both inputs are stacked with a priority and reduced by one
     keyed dedup, rather than deduplicated apart and then anti-joined.
     """
-    measured = measured_until(readings, as_of).select(
+    measured = measured_until(complete_reading(readings), as_of).select(
         *[c for c in READING_COLUMNS if c != "is_predicted"], F.lit(False).alias("is_predicted")
     )
     stacked = measured.withColumn("_priority", F.lit(0)).withColumn("_order", -F.col("id"))

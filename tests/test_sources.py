@@ -94,3 +94,21 @@ def test_alert_sample_shape(spark, tmp_path):
     row = {"station_name": "Sungai Gombak", "date": "2026-03-16", "wqi": 61.2, "status": "Slightly Polluted", "alert_type": "Historical"}
     (tmp_path / "alerts.json").write_text(json.dumps([row]))
     assert spark.read.option("multiLine", True).json(str(tmp_path / "alerts.json")).first().wqi == pytest.approx(61.2)
+
+
+def test_sheets_to_latest_stations(spark, tmp_path):
+    """The README example: two river sheets to the station table."""
+    from hydrolake.operators.history import historical_slice, to_readings
+    from hydrolake.operators.marts import latest_stations
+    from hydrolake.plans.preprocessing import base_frame
+
+    header = "date,station_code,DO,BOD,COD,AN,SS,pH\n"
+    (tmp_path / "klang.csv").write_text(header + "2025-06-01,S01,8,0,0,0,0,7\n2025-06-02,S01,0,20,200,10,500,4\n2025-07-09,S01,8,0,0,0,0,7\n")
+    (tmp_path / "gombak.csv").write_text(header + "2025-06-03,S02,8,0,0,0,,7\n2025-06-03,S02,0,20,200,10,500,4\n")
+    sheet = monitoring.load_sheet(spark, str(tmp_path / "*.csv"))
+    readings = to_readings(base_frame(sheet))
+    hist = historical_slice(readings, None, as_of=date(2025, 6, 30))
+    rows = {r.station_code: r for r in latest_stations(hist).collect()}
+    assert (rows["S01"].river_name, rows["S01"].latest_wqi, rows["S01"].river_status) == ("Sungai Klang", 0.0, "polluted")
+    assert rows["S01"].last_reading_date == date(2025, 6, 2)
+    assert rows["S02"].river_status == "clean" and rows["S02"].latest_wqi == pytest.approx(100.0)
