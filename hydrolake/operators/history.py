@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrolake.constants import CUTOFF_YEAR, DEFAULT_STATION, FORECAST_END, POLLUTED
+from hydrolake.constants import CUTOFF_YEAR, DEFAULT_STATION, FORECAST_END, POLLUTED, UNKNOWN_RIVER
 from hydrolake.functions.rivers import canonical_code, matches_river, river_of_station
 from hydrolake.functions.wqi import status, status_key
 from hydrolake.operators.cleaning import dedup
@@ -28,11 +28,13 @@ def as_reading(points: DataFrame) -> DataFrame:
     wqi = F.coalesce(F.col("wqi").cast("double"), F.lit(0.0))
     known = F.col("river_status") if "river_status" in points.columns else F.lit(None).cast("string")
     ident = F.col("id") if "id" in points.columns else F.lit(None).cast("long")
-    river = river_of_station(station_key(), "station_name")
-    return points.select(
-        station_key().alias("station_code"),
-        river.alias("station_name"),
-        river.alias("river_name"),
+    # Code and river are computed once, in their own projections: nested, the
+    # lookups would be repeated inside every expression that uses them.
+    named = points.withColumn("_code", station_key()).withColumn("_river", river_of_station("_code", "station_name"))
+    return named.select(
+        F.col("_code").alias("station_code"),
+        F.col("_river").alias("station_name"),
+        F.col("_river").alias("river_name"),
         F.col("date").cast("date").alias("date"),
         wqi.alias("wqi"),
         F.coalesce(known, status(wqi)).alias("river_status"),
@@ -44,13 +46,13 @@ def as_reading(points: DataFrame) -> DataFrame:
 
 def to_forecast_points(records: DataFrame) -> DataFrame:
     """Stored predicted record -> forecast point (the reverse of ``as_reading``)."""
-    river = river_of_station(station_key(), "station_name")
     wqi = F.coalesce(F.col("wqi").cast("double"), F.lit(0.0))
-    return records.select(
+    named = records.withColumn("_code", station_key()).withColumn("_river", river_of_station("_code", "station_name"))
+    return named.select(
         F.col("date").cast("date").alias("date"),
-        station_key().alias("station_code"),
-        river.alias("station_name"),
-        river.alias("river_name"),
+        F.col("_code").alias("station_code"),
+        F.col("_river").alias("station_name"),
+        F.col("_river").alias("river_name"),
         wqi.alias("wqi"),
         F.coalesce(F.col("river_status"), status(wqi)).alias("river_status"),
     )
@@ -374,16 +376,17 @@ def to_readings(df: DataFrame) -> DataFrame:
 
     code = F.coalesce(text("station_code"), text("station_name"), F.lit(DEFAULT_STATION))
     registered = F.when(text("station_code").isNotNull(), river_of_station("station_code", None))
-    named = F.when(registered != "Unknown River", registered)
+    named = F.when(registered != UNKNOWN_RIVER, registered)
     name = F.coalesce(text("station_name"), named, text("station_code"), F.lit("Unknown"))
     wqi = F.coalesce(F.col("wqi").try_cast("double"), F.lit(0.0))
-    return df.select(
-        code.alias("station_code"),
-        name.alias("station_name"),
-        river_of_station(code, name).alias("river_name"),
+    labelled = df.select(code.alias("station_code"), name.alias("station_name"), "date", wqi.alias("wqi"))
+    return labelled.select(
+        "station_code",
+        "station_name",
+        river_of_station("station_code", "station_name").alias("river_name"),
         "date",
-        wqi.alias("wqi"),
-        status(wqi, null_as=POLLUTED).alias("river_status"),
+        "wqi",
+        status("wqi", null_as=POLLUTED).alias("river_status"),
     )
 
 

@@ -81,10 +81,10 @@ def coverage(hist: DataFrame) -> DataFrame:
 
 def latest_stations(hist: DataFrame) -> DataFrame:
     """Map table: newest reading per station."""
-    code = canonical_code("station_code", "station_name")
-    return latest_per_station(hist).select(
-        code.alias("station_code"),
-        river_of_station(code, "station_name").alias("river_name"),
+    rows = latest_per_station(hist).withColumn("_code", canonical_code("station_code", "station_name"))
+    return rows.select(
+        F.col("_code").alias("station_code"),
+        river_of_station("_code", "station_name").alias("river_name"),
         F.col("wqi").alias("latest_wqi"),
         status(F.coalesce("wqi", F.lit(0.0)), null_as=POLLUTED).alias("river_status"),
         F.col("date").alias("last_reading_date"),
