@@ -9,8 +9,9 @@ in ``least`` of its words.
 
 DataFrame expressions only. The items' seeds, each with its item's word
 hashes, are broadcast while their counted size is below ``BROADCAST_BYTES``,
-so a document's words never leave their task; beyond it the seeds are joined by a shuffle, and an item's
-words are joined to the hits by its id.
+so a document's words never leave their task. Beyond it the places that pass a
+bitmap of the seeds are joined to them by a shuffle, and the words of document
+and item are joined to the hits by their ids.
 
 Words are maximal runs of letters and digits, in lower case. Null texts count
 as empty. Items with fewer words than the longest mask spans have no seed and
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hydrolake.llm.filters import hash_filter, maybe_in
+
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("110111", "111011", "1101011")
 #: Words of a window and the share of them that must agree.
@@ -33,6 +36,11 @@ WIDTH, LEAST = 13, 0.8
 BROADCAST_BYTES = 64 << 20
 
 
+def with_words(df: DataFrame) -> DataFrame:
+    """Add ``_words``; inline() keeps it computed once, where a filter on it would compute it again."""
+    return df.select("*", F.inline(F.array(F.struct(word_hashes(F.col("text")).alias("_words"))))).drop("text")
+
+
 def word_hashes(text: Column) -> Column:
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
@@ -51,24 +59,25 @@ def seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return places.withColumn("_seed", F.explode(F.array(*[hashed(k, m) for k, m in enumerate(masks)]))).where(F.col("_seed").isNotNull())
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def agreement(doc: Column, item: Column, doc_at: Column, item_at: Column, width: int, reach: int) -> Column:
-    """Most agreeing words in a window of ``width`` aligned words that covers the seed's first word or lies within
-    ``reach`` of it."""
+    """Most agreeing words in a window of ``width`` aligned words (the whole item, if shorter) around the seed."""
     shift = doc_at - item_at
     low = F.greatest(item_at - width + 1, -shift, F.lit(0))
     high = F.least(item_at + reach + width - 1, F.size(item), F.size(doc) - shift)
-    same = F.zip_with(
-        F.slice(item, low + 1, high - low),
-        F.slice(doc, low + shift + 1, high - low),
-        lambda a, b: (a == b).cast("int"),
-    )
     need = F.least(F.lit(width), F.size(item))
+    # Running sums of agreement: the words before each place that agree.
+    pairs = F.zip_with(F.slice(item, low + 1, high - low), F.slice(doc, low + shift + 1, high - low), lambda a, b: (a == b).cast("int"))
+    sums = F.aggregate(pairs, F.array(F.lit(0)), lambda t, x: F.concat(t, F.array(F.element_at(t, -1) + x)))
 
-    def best(bits: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(bits) - need, F.lit(0)))
-        return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(bits, s + 1, need), F.lit(0), lambda t, b: t + b)))
+    def best(sums: Column) -> Column:
+        return F.array_max(F.transform(sums, lambda x, i: x - F.get(sums, F.greatest(i - need, F.lit(0)))))
 
-    return best(same)
+    return bound(sums, best)
 
 
 def contaminated(
@@ -81,16 +90,24 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and item found in it: ``doc_id``, ``item_id``, ``n_hits`` (seed hits that were
     confirmed) and ``agreeing`` (words that agree in the best window)."""
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("_words")).distinct()
+    items = with_words(benchmark.select("item_id", "text")).distinct()
     known = seeds(items, masks).withColumnsRenamed({"_words": "_item", "_at": "_item_at"})
     reach = max(map(len, masks))
     size = known.agg(F.coalesce(F.sum(F.size("_item") * 8 + 40), F.lit(0))).head()[0]
-    own = docs.select("doc_id", word_hashes(F.col("text")).alias("_words"))
+    own = with_words(docs.select("doc_id", "text"))
     places = seeds(own, masks)
-    hits = places.join(F.broadcast(known) if size <= broadcast_bytes else known, "_seed")
+    if size <= broadcast_bytes:
+        hits = places.join(F.broadcast(known), "_seed")
+    else:
+        thin = maybe_in(places.drop("_words"), "_seed", hash_filter(known, "_seed"))
+        met = thin.join(known.drop("_item"), "_seed")
+        hits = met.join(own.withColumnRenamed("doc_id", "_own"), met["doc_id"].eqNullSafe(F.col("_own"))).drop("_own")
+        own_items = items.withColumnsRenamed({"item_id": "_its", "_words": "_item"})
+        hits = hits.join(own_items, hits["item_id"].eqNullSafe(F.col("_its"))).drop("_its")
     need = F.ceil(F.least(F.lit(width), F.size("_item")) * least - 1e-9)
     best = agreement(F.col("_words"), F.col("_item"), F.col("_at"), F.col("_item_at"), width, reach)
-    found = hits.select("doc_id", "item_id", need.alias("_need"), best.alias("agreeing")).where("agreeing >= _need")
+    # Behind inline(), the check stays above the join; as its condition it would have every place write the words out.
+    found = hits.select("doc_id", "item_id", F.inline(F.array(F.struct(need.alias("_need"), best.alias("agreeing"))))).where("agreeing >= _need")
     return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max("agreeing").cast("long").alias("agreeing"))
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hydrolake.llm.filters import hash_filter, maybe_in
 from hydrolake.sources.shared import materialize
 
 #: Lines that the rolling hash sees, the mean length of chunks in lines, and the fewest lines of a chunk that may go.
@@ -30,9 +31,6 @@ WINDOW, DIVISOR, LEAST_LINES = 2, 2, 2
 #: Multiplier between the hashes of neighbouring lines.
 FACTOR = 31
 
-#: Bits of the bitmap that keeps texts of unrepeated chunks from being sent.
-FILTER_BITS = 1 << 24
-
 KEY = ("_id", "_text_hash")
 
 
@@ -79,24 +77,6 @@ def chunks(df: DataFrame, least_lines: int = LEAST_LINES, keep: tuple[str, ...]
     return long.select(*keep, "_k", text.alias("_chunk")).where(F.trim("_chunk") != "")
 
 
-def hash_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Bitmap of hash values modulo ``bits``: at most ``bits``/32768 rows of 4 KB, however many hashes there are."""
-    bit = F.pmod(F.col(column), F.lit(bits))
-    return hashes.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
-
-
-def maybe_in(df: DataFrame, column: str, bitmap: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows whose hash may be among those of ``hash_filter``; none that is among them is lost.
-
-    The broadcast has a size bound by construction; a full bitmap only lets more rows through.
-    """
-    bit = F.pmod(F.col(column), F.lit(bits))
-    found = df.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "_bucket")
-    position = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("_bits", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return found.where(F.getbit(byte, (position % 8).cast("int")) == 1).drop("_bucket", "_bits")
-
-
 def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> DataFrame:
     """Chunks to remove: the document's key and the array ``_gone`` of chunk numbers."""
     found = chunks(with_chunks(docs.select(*KEY, "text"), window, divisor), least_lines).withColumn("_h", F.xxhash64("_chunk"))
