@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm import bpe, chat, decontaminate, lines, minhash
+from hydrolake.llm import bpe, chat, decontaminate, lines, minhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_dart_minhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def fold(column: str = "doc_id"):
+    """Remainder that decides which documents a model may learn from."""
+    return F.crc32(F.col(column).cast("string")) % 5
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), only=fold() != 0)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
