@@ -83,7 +83,9 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISO
     # A document that repeats with its id counts once: its chunks share a place.
     twice = found.groupBy("_h").agg(F.min(place()).alias("_a"), F.max(place()).alias("_b")).where("_a < _b")
     suspects = materialize(maybe_in(found, "_h", hash_filter(twice, "_h")), "chunk-suspects")
-    firsts = suspects.groupBy("_h", "_chunk").agg(F.min(place()).alias("_first"))
+    # Stored, so that the join below shuffles both sides itself and Spark can split a hot text.
+    firsts = suspects.groupBy("_h", "_chunk").agg(F.min(place()).alias("_first"), F.max(place()).alias("_last")).where("_first < _last")
+    firsts = materialize(firsts.drop("_last"), "chunk-firsts")
     again = suspects.join(firsts, ["_h", "_chunk"]).where(place() > F.col("_first"))
     return again.groupBy(*KEY).agg(F.collect_set("_k").alias("_gone"))
 

@@ -209,7 +209,7 @@ def block_pairs(members: DataFrame, least: float, k: int, block: int = BLOCK) ->
     by a hash; each pair of blocks is one task's work, so no bucket is ever in
     one place, and only promising pairs leave it.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("component").alias("c")).where("c > 1")
+    sizes = materialize(members.groupBy("key").agg(F.count("*").alias("n")), "split-sizes")
     dealt = members.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
@@ -251,10 +251,12 @@ def near_duplicates(
     classes = materialize(classes, "classes")
     # Buckets with two members at least.
     placed = classes.select("digest", F.explode("bands").alias("key"))
-    full = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Summaries of a key are stored before they are joined back, so that Spark can split a hot key.
+    full = materialize(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     buckets = materialize(placed.join(full, "key"), "buckets")
     load = buckets.groupBy("digest").agg(F.sum("n").alias("load"))
-    heads = buckets.select("key", "digest").join(load, "digest").groupBy("key").agg(F.max_by("digest", F.struct("load", "digest")).alias("head"))
+    heads = buckets.select("key", "digest").join(load, "digest").groupBy("key").agg(F.max(F.struct("load", "digest")).alias("best"))
+    heads = materialize(heads.select("key", F.col("best.digest").alias("head")), "heads")
     first = buckets.select("key", "digest").join(heads, "key").where("digest != head").select(F.least("digest", "head").alias("a"), F.greatest("digest", "head").alias("b")).distinct()
     involved = buckets.select("digest").distinct()
     texts = docs.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), "text").withColumn("_h", F.xxhash64("digest"))
@@ -266,13 +268,15 @@ def near_duplicates(
     rest = buckets.join(heads, "key").where("digest != head").join(found.withColumnRenamed("node", "digest"), "digest", "left")
     rest = rest.select("key", "digest", F.coalesce("component", "digest").alias("component"))
     apart = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    members = rest.join(apart, "key").join(classes.select("digest", "signature"), "digest")
+    apart = materialize(apart, "split-buckets")
+    members = materialize(rest.join(apart, "key").join(classes.select("digest", "signature"), "digest"), "split-members")
     more = materialize(verified(block_pairs(members, PROMISING, k), texts, width, least), "links")
     group = components(links.unionByName(more), "a", "b")
     named = ids.join(group.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    named = materialize(named, "named")
     # The smallest id of each component; counts of copies by text.
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    copies = ids.groupBy("digest").agg(F.count("*").alias("n_copies"))
+    smallest = materialize(named.groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")
+    copies = materialize(named.groupBy("digest").agg(F.count("*").alias("n_copies")), "copies")
     joined = named.join(smallest, "component").join(copies, "digest")
     return joined.select("doc_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("smallest")).alias("class_id"), "n_copies")
 
