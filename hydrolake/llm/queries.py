@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm import ann, bpe, chat, decontaminate, lines, minhash, toxicity
+from hydrolake.llm import ann, bpe, chat, decontaminate, lines, minhash, ngram_lm, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_multi_index")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op2_bloom_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = ngram_lm.scored(docs, docs.where(fold() != 1).select("text"))
+    return out.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
