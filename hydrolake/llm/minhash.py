@@ -16,8 +16,8 @@ classes into buckets. Each bucket compares its members with one of them, the
 one whose buckets are fullest, so copies of one original need one comparison
 each. Pairs are verified on the texts. Members of one bucket that are still in
 different components are then compared with each other in blocks, by signature
-first, on the texts after; so no pair that shares a bucket is lost, and pairs
-inside a component are not compared. Classes are the components of verified pairs.
+first, on the texts after, and only links leave the blocks; so no pair that
+shares a bucket is lost, and pairs inside a component are not compared. Classes are the components of verified pairs.
 
 Words are split at ASCII spaces, A-Z in lower case; a text of one to four words
 is one shingle. Texts without words, null ones included, are in no group:
@@ -51,7 +51,7 @@ FIRST = -6
 #: Share of equal coordinates below which a pair is not verified: six standard deviations under 0.8.
 PROMISING = 0.5
 #: Classes in a block of the last comparison.
-BLOCK = 512
+BLOCK = 256
 
 UNIT = 2.0**-53
 
@@ -202,37 +202,53 @@ def promising(pairs: DataFrame, classes: DataFrame, least: float, k: int) -> Dat
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def block_pairs(members: DataFrame, least: float, k: int, block: int = BLOCK) -> DataFrame:
-    """Pairs of members of one bucket in different components whose signatures promise enough.
+def block_links(members: DataFrame, width: int, least: float, bands: int, rows: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b, similarity) between members of one bucket that are in different components.
 
-    ``members``: key, digest, component, signature. A bucket is cut into blocks
-    by a hash; each pair of blocks is one task's work, so no bucket is ever in
-    one place, and only promising pairs leave it.
+    ``members``: key, digest, component, signature, text. A bucket is cut into
+    blocks by a hash; each pair of blocks is one task's work, so no bucket is
+    ever in one place, and only links leave it. A pair that shares several
+    buckets is looked at in that of its first common band, by signature and
+    then by text, unless links found before already connect it.
     """
     sizes = materialize(members.groupBy("key").agg(F.count("*").alias("n")), "split-sizes")
     dealt = members.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    copies = dealt.select("key", "digest", "component", "signature", "part", other)
+    copies = dealt.select("key", "band", "digest", "component", "signature", "text", "part", other)
     copies = copies.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
 
     def run(key, table):
-        part, x, y = (np.array(table.column(c)) for c in ("part", "x", "y"))
-        digest = np.array(table.column("digest").to_pylist(), object)
-        _, label = np.unique(np.array([c.hex() for c in table.column("component").to_pylist()]), return_inverse=True)
-        s = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(-1, k)
-        left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
-        a, b = [], []
-        for i in left:
-            over = right[(label[right] != label[i]) & ((right > i) | (x[0] != y[0]))]
-            near = over[(s[over] == s[i]).mean(axis=1) >= least]
-            for j in near:
-                p, q = sorted((digest[i], digest[j]))
-                a.append(p)
-                b.append(q)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return copies.groupBy("key", "x", "y").applyInArrow(run, "a binary, b binary").distinct()
+        part, x, y, band = (np.asarray(table.column(c).combine_chunks()) for c in ("part", "x", "y", "band"))
+        digest = table.column("digest").to_pylist()
+        label = table.column("component").to_pylist()
+        s = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(-1, bands, rows)
+        h, w, d = weighted_shingles(encoded(table.column("text").combine_chunks()), width)
+        ends = np.searchsorted(d, np.arange(len(digest) + 1))
+        root = {c: c for c in label}
+
+        def find(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        out = []
+        right = np.flatnonzero(part == y)
+        for i in np.flatnonzero(part == x):
+            over = right[right > i] if x[0] == y[0] else right
+            same = s[over] == s[i]
+            earlier = same.all(axis=2)[:, : band[0]].any(axis=1)
+            for j in over[~earlier & (same.mean(axis=(1, 2)) >= PROMISING)]:
+                p, q = find(label[i]), find(label[j])
+                if p != q:
+                    found = jaccard((h[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]), (h[ends[j] : ends[j + 1]], w[ends[j] : ends[j + 1]]))
+                    if found >= least - 1e-12:
+                        root[p] = q
+                        out.append((digest[i], digest[j], found))
+        a, b, f = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(f, pa.float64())})
+
+    return copies.groupBy("key", "x", "y").applyInArrow(run, "a binary, b binary, similarity double")
 
 
 def near_duplicates(
@@ -250,7 +266,7 @@ def near_duplicates(
     classes = base.where("signature IS NOT NULL").groupBy("digest").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     # Buckets with two members at least.
-    placed = classes.select("digest", F.explode("bands").alias("key"))
+    placed = classes.select("digest", F.posexplode("bands").alias("band", "key"))
     # Summaries of a key are stored before they are joined back, so that Spark can split a hot key.
     full = materialize(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     buckets = materialize(placed.join(full, "key"), "buckets")
@@ -266,11 +282,12 @@ def near_duplicates(
     # Pairs without a head that share a bucket but no component yet.
     found = components(links, "a", "b")
     rest = buckets.join(heads, "key").where("digest != head").join(found.withColumnRenamed("node", "digest"), "digest", "left")
-    rest = rest.select("key", "digest", F.coalesce("component", "digest").alias("component"))
+    rest = rest.select("key", "band", "digest", F.coalesce("component", "digest").alias("component"))
     apart = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     apart = materialize(apart, "split-buckets")
-    members = materialize(rest.join(apart, "key").join(classes.select("digest", "signature"), "digest"), "split-members")
-    more = materialize(verified(block_pairs(members, PROMISING, k), texts, width, least), "links")
+    signed_texts = classes.select("digest", "signature").join(texts, "digest")
+    members = materialize(rest.join(apart, "key").join(signed_texts, "digest"), "split-members")
+    more = materialize(block_links(members, width, least, bands, rows), "links")
     group = components(links.unionByName(more), "a", "b")
     named = ids.join(group.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     named = materialize(named, "named")
