@@ -50,7 +50,7 @@ def line_hashes(lines: Column) -> Column:
 
 
 def with_chunks(df: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """Add ``_lines`` and ``_ends``: the last line of each chunk, counted from 1."""
+    """Add ``_lines`` and ``_ends``: the last line of each chunk, counted from 1; both null for null texts."""
 
     def rolled(hashes: Column, i: Column) -> Column:
         total = F.lit(0)
@@ -62,7 +62,7 @@ def with_chunks(df: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) ->
         n = F.size(lines)
         return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (rolled(hashes, i) % divisor == 0))
 
-    lines = df.where(F.col("text").isNotNull()).withColumn("_lines", F.split("text", "\n", -1))
+    lines = df.withColumn("_lines", F.split("text", "\n", -1))
     # inline() keeps each array computed once: the optimizer does not copy expressions through it.
     hashed = lines.select("*", F.inline(F.array(F.struct(line_hashes(F.col("_lines")).alias("_hashes")))))
     return hashed.withColumn("_ends", ends(F.col("_lines"), F.col("_hashes"))).drop("_hashes")
@@ -99,26 +99,20 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, l
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = keyed(docs.select(*columns))
     joined = base.join(repeated_chunks(base, window, divisor, least_lines), list(KEY), "left")
-    same = joined.where(F.col("_gone").isNull() | F.col("text").isNull())
-    lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
-    same = same.select(*columns, F.when(F.col("text").isNull(), F.lit(0)).otherwise(lines).alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    cut = with_chunks(joined.where(F.col("_gone").isNotNull() & F.col("text").isNotNull()), window, divisor)
-    spans = F.filter(
-        F.transform(
-            "_ends",
-            lambda end, k: F.struct(
-                F.when(k > 0, F.get("_ends", k - 1) + 1).otherwise(1).alias("first"),
-                end.alias("last"),
-                F.array_contains("_gone", k).alias("gone"),
-            ),
-        ),
-        lambda s: ~s["gone"],
+    # Only texts that lose something are cut again; for the others all of this is null.
+    cut = with_chunks(joined.withColumns({"_whole": F.col("text"), "text": F.when(F.col("_gone").isNotNull(), F.col("text"))}), window, divisor)
+    spans = F.transform(
+        "_ends",
+        lambda end, k: F.struct(F.when(k > 0, F.get("_ends", k - 1) + 1).otherwise(1).alias("first"), end.alias("last"), F.array_contains("_gone", k).alias("gone")),
     )
-    kept = F.flatten(F.transform(spans, lambda s: F.slice("_lines", s["first"], s["last"] - s["first"] + 1)))
-    n = F.size("_lines").cast("long")
-    new = cut.withColumn("_kept", kept).select(
-        *[F.array_join("_kept", "\n").alias(c) if c == "text" else F.length(F.array_join("_kept", "\n")).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns],
-        n.alias("n_lines"),
-        (n - F.size("_kept")).alias("n_removed"),
+    kept = F.flatten(F.transform(F.filter(spans, lambda s: ~s["gone"]), lambda s: F.slice("_lines", s["first"], s["last"] - s["first"] + 1)))
+    left = cut.select("*", F.inline(F.array(F.struct(kept.alias("_kept"))))).withColumn("_new", F.array_join("_kept", "\n"))
+    out = {"text": F.coalesce("_new", "_whole")}
+    if "n_chars" in columns:
+        out["n_chars"] = F.coalesce(F.length("_new").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    all_lines = F.coalesce(F.length("_whole") - F.length(F.replace("_whole", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    return left.select(
+        *[out[c].alias(c) if c in out else F.col(c) for c in columns],
+        all_lines.alias("n_lines"),
+        F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"),
     )
-    return same.unionByName(new)
