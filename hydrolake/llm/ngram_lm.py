@@ -358,7 +358,7 @@ def scored(df: DataFrame, train: DataFrame, frequent: int = FREQUENT, **options)
 
     first = df.mapInArrow(run, target)
     if all_words:
-        return first.drop("_rare", "_times").withColumn("train_tokens", F.lit(total).cast("long"))
+        return first.select(*df.columns, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
     # The rows are stored with a number, by which the exact counts of their rare words come back.
     stored = materialize(first.withColumn("_row", F.monotonically_increasing_id()), "scored")
     rare = stored.select("_row", F.inline(F.arrays_zip(F.col("_rare").alias("key"), F.col("_times").alias("times"))))

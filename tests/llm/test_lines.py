@@ -68,8 +68,12 @@ def test_passage_is_found_at_any_place(docs):
     rng = random.Random(8)
     passage = [" ".join(words_of(rng, 9)) for _ in range(20)]
     rows = [(i, "\n".join([f"own {i} {k}" for k in range(i)] + passage + [f"end {i}"])) for i in range(6)]
-    out = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs(rows)).collect()}
-    assert out[0] == 0 and all(out[i] >= 10 for i in range(1, 6))
+    table = docs(rows)
+    # Where the passage is cut does not depend on what stands before it, but for its first line.
+    cut = {r["doc_id"]: [r["_lines"][e - 1] for e in r["_ends"]] for r in lines.with_chunks(table).collect()}
+    assert len({tuple(x for x in cut[i] if x in passage[1:]) for i in cut}) == 1
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(table).collect()}
+    assert got[0] == 0 and all(got[i] >= len(passage) // 3 for i in range(1, 6))
 
 
 def test_empty_table(docs):
