@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -19,7 +18,8 @@ from hydrolake.operators.splits import SEED, fold_count, group_folds, group_spli
 
 GROUP_COLUMNS = ("station_code", "station_name", "river_name")
 NON_FEATURES = {"river_status", "date", "station_code", "station", "station_name", "river_name"}
-SMALL_TABLE = 1_000_000
+#: Partitions of a training table. Trees depend on how rows are dealt, so neither cores nor sizes may decide it.
+TRAIN_PARTITIONS = 64
 NUMERIC = ("double", "float", "long", "integer", "short")
 
 
@@ -62,13 +62,12 @@ def balanced_weight(counts: dict, label: str = "label") -> Column:
     return weight
 
 
-def spread_small(df: DataFrame, rows: int) -> DataFrame:
-    """Give a small training table one partition per core (large ones keep theirs):
-    a table that arrives as one file would grow all trees in one task."""
-    if rows > SMALL_TABLE:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(cores, ceil(rows / 1000))))
+def dealt(df: DataFrame, key: Sequence[str], partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+    """Rows dealt to a fixed number of partitions by a hash of ``key`` and put in its order,
+    so that the same rows and seed give the same trees on every cluster."""
+    columns = [c for c in df.columns if c not in key and c != "_deal"]
+    marked = df.withColumn("_deal", F.xxhash64(*key))
+    return marked.repartition(partitions, "_deal").sortWithinPartitions("_deal", *key, *columns).drop("_deal")
 
 
 def fill_zero(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -109,11 +108,14 @@ def fit_forest(
     depth: int = 15,
     min_leaf: int = 5,
     seed: int = SEED,
+    key: Sequence[str] = ("station_code", "date"),
+    partitions: int = TRAIN_PARTITIONS,
 ) -> StatusClassifier:
     """Fit on rows that carry ``label``; classes are weighted to equal shares."""
     counts = {r[0]: r[1] for r in train.groupBy("label").count().collect()}  # one row per class
     weighted = fill_zero(train, features).withColumn("weight", balanced_weight(counts))
-    weighted = spread_small(weighted, sum(counts.values()))
+    key = [c for c in key if c in weighted.columns] or list(features)
+    weighted = dealt(weighted.select(*dict.fromkeys([*key, *features, "label", "weight"])), key, partitions)
     forest = RandomForestClassifier(
         labelCol="label",
         featuresCol="features",

@@ -39,9 +39,6 @@ from hydrolake.operators.series import (
 from hydrolake.operators.splits import hash52, time_split
 from hydrolake.sources.shared import materialize
 
-MIN_EXTRA_ROWS = 10
-
-
 @dataclass(frozen=True)
 class Settings:
     length: int = 30
@@ -52,6 +49,8 @@ class Settings:
     ridge: float = 0.1
     test: float = 0.2
     val: float = 0.1
+    #: Rows that a station needs beyond one sample to be trained on; ``short_stations`` lists the others.
+    extra_rows: int = 10
 
     @property
     def features(self) -> list[str]:
@@ -83,10 +82,15 @@ class Forecaster:
         return cls.from_json(spark.read.text(path).first().value)
 
 
+def short_stations(df: DataFrame, s: Settings) -> DataFrame:
+    """Stations with too few rows to be trained on, and their number of rows."""
+    return df.groupBy(STATION).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") < s.length + s.horizon + s.extra_rows)
+
+
 def samples(df: DataFrame, s: Settings) -> DataFrame:
-    """Training samples of a daily series with ``split``; stations that are too short are left out."""
-    long_enough = F.count("*").over(Window.partitionBy(STATION)) >= s.length + s.horizon + MIN_EXTRA_ROWS
-    kept = df.withColumn("_keep", long_enough).filter("_keep").drop("_keep")
+    """Training samples of a daily series with ``split``; those of ``short_stations`` are left out."""
+    short = short_stations(df, s).select(STATION)
+    kept = df.join(short, STATION, "left_anti")
     windows = sliding_windows(model_frame(kept, s.add_month, s.extra), s.features, s.length, s.horizon)
     newest = F.element_at("inputs", -1)
     rest = F.slice(newest, 2, len(s.features) - 1)
@@ -264,8 +268,9 @@ def augment(df: DataFrame, min_rows: int = 120, noise: float = 1.2, seed: int =
     Deterministic: which row is repeated and its noise come from hashes of
     (station, copy number). Stations that are long enough stay as they are.
     """
-    placed = df.withColumn("_row", F.row_number().over(Window.partitionBy(STATION).orderBy("date")))
     short = df.groupBy(STATION).agg(F.count("*").alias("_n")).filter(F.col("_n") < min_rows)
+    few = df.join(short.select(STATION), STATION, "left_semi")
+    placed = few.withColumn("_row", F.row_number().over(Window.partitionBy(STATION).orderBy("date")))
     copies = short.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.lit(min_rows) - F.col("_n")).cast("int"))))
     picked = copies.withColumn("_row", (F.pmod(F.xxhash64(STATION, "_copy", F.lit(seed)), F.col("_n")) + 1).cast("int"))
     scale = float(1 << 52)

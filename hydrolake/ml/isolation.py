@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) as Spark jobs.
 
-Trees see at most ``sample`` rows each, so fitting works on a bounded, hash-
-ordered pool of rows and builds all trees in parallel. Scoring streams Arrow
+Trees see at most ``sample`` rows each, drawn by hash from the whole table, a
+draw of its own for each, and are built in parallel. Scoring streams Arrow
 batches through vectorised tree walks. The threshold is the exact
 contamination quantile of the training scores.
 """
@@ -23,7 +23,8 @@ from hydrolake.operators.quantiles import exact_quantiles
 from hydrolake.operators.splits import SEED, hash52
 from hydrolake.sources.shared import materialize
 
-POOL_FACTOR = 32
+#: Rows that a tree draws beyond its sample in the mean, as a factor, so that rarely any draw is short.
+SURPLUS = 2.0
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth int, size int"
 
 
@@ -134,13 +135,14 @@ def fit(
     rows = imputer.transform(df.select(*key, *[F.col(c).cast("double").alias(c) for c in features if c not in key]))
     n = rows.count()
     sample = min(sample, n)
-    # The pool is the sampling step of the algorithm: a uniform, bounded subset.
-    pool = rows.withColumn("_h", hash52(key, seed)).orderBy("_h").limit(POOL_FACTOR * sample)
+    # Every tree draws from the whole table: the rows of smallest hash of row and tree. A bound on the hash leaves
+    # about twice the sample to be ranked; a table of a few thousand rows stays whole.
+    bound = min(1.0, (SURPLUS * sample + 64) / n) * float(1 << 52)
+    tree_ids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: hash52(["_h", t], seed) <= bound)
     drawn = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn(
-            "_rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("_h", "tree"), "_h"))
-        )
+        rows.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
+        .withColumn("tree", F.explode(tree_ids))
+        .withColumn("_rank", F.row_number().over(Window.partitionBy("tree").orderBy(hash52(["_h", "tree"], seed), "_h")))
         .filter(F.col("_rank") <= sample)
         .select("tree", *features)
     )

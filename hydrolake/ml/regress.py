@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrolake.ml.classify import spread_small
-from hydrolake.operators.cleaning import present_parameters
+from hydrolake.ml.classify import dealt
+from hydrolake.operators.cleaning import fit_imputer, present_parameters
 from hydrolake.operators.metrics import regression_metrics, verdict
 from hydrolake.operators.splits import SEED, random_split
 
@@ -21,8 +21,11 @@ def fit_regressor(
 ) -> PipelineModel:
     numeric = present_parameters(train)
     filled = [f"{c}_filled" for c in numeric]
+    # Exact medians, as a stage that is stored with the model.
+    values = fit_imputer(train, "median", numeric).values
+    shown = [f"coalesce(cast(`{c}` as double), {float(values[c] if values[c] is not None else 0.0)!r}D) AS `{c}_filled`" for c in numeric]
+    medians = SQLTransformer(statement=f"SELECT *, {', '.join(shown)} FROM __THIS__")
     stages = [
-        Imputer(strategy="median", inputCols=numeric, outputCols=filled),
         StringIndexer(inputCol="station_code", outputCol="station_index", handleInvalid="keep"),
         OneHotEncoder(inputCols=["station_index"], outputCols=["station_vector"]),
         VectorAssembler(inputCols=[*filled, "station_vector"], outputCol="features"),
@@ -31,7 +34,7 @@ def fit_regressor(
             minInstancesPerNode=min_leaf, maxMemoryInMB=1024, cacheNodeIds=True, seed=seed,
         ),
     ]
-    return Pipeline(stages=stages).fit(spread_small(train, train.count()))
+    return Pipeline(stages=[medians, *stages]).fit(dealt(train, [c for c in ("station_code", "date") if c in train.columns]))
 
 
 def train_regressor(

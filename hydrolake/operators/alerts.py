@@ -19,7 +19,7 @@ from hydrolake.constants import (
 from hydrolake.functions.rivers import matches_river, river_of_station
 from hydrolake.functions.wqi import status, status_key, status_label
 from hydrolake.operators.cleaning import dedup
-from hydrolake.operators.history import latest_per_station
+from hydrolake.operators.history import latest_per_station, within_year
 
 BAD = (SLIGHT, POLLUTED)
 
@@ -223,21 +223,22 @@ def to_alert_events(alerts: DataFrame) -> DataFrame:
         F.nullif(F.trim("station_code"), F.lit("")).alias("station_code"),
         F.nullif(F.trim(F.coalesce(opt("station_name"), F.col("station_code"))), F.lit("")).alias("station_name"),
         normalize_severity(opt("severity"), opt("river_status")).alias("severity"),
-        F.substring(trigger, 1, 256).alias("parameter_triggered"),
+        trigger.alias("parameter_triggered"),
         opt("wqi", "double").cast("double").alias("wqi_value"),
         F.lit("active").alias("status"),
-        F.substring(F.coalesce("message", F.lit("")), 1, 2000).alias("message"),
-        F.substring(source, 1, 64).alias("source"),
+        F.coalesce("message", F.lit("")).alias("message"),
+        source.alias("source"),
     )
 
 
-def query_events(events: DataFrame, status_is: str | None = None, source: str | None = None, limit: int = 200) -> DataFrame:
-    """Newest events by status and source."""
+def query_events(events: DataFrame, status_is: str | None = None, source: str | None = None, limit: int | None = None) -> DataFrame:
+    """Events by status and source, newest first; the first ``limit`` if given."""
     if status_is and status_is.strip().lower() in ("active", "resolved"):
         events = events.filter(F.lower("status") == status_is.strip().lower())
     if source and source.strip():
         events = events.filter(F.lower("source") == source.strip().lower())
-    return events.orderBy(F.desc("triggered_at"), F.desc("id")).limit(limit)
+    found = events.orderBy(F.desc("triggered_at"), F.desc("id"))
+    return found if limit is None else found.limit(limit)
 
 
 def set_event_status(events: DataFrame, ids: DataFrame, new_status: str) -> DataFrame:
@@ -257,16 +258,11 @@ def clear_alerts(alerts: DataFrame, kind: str) -> DataFrame:
     return alerts.filter(F.lower(F.coalesce("alert_type", F.lit(""))) != kind)
 
 
-def unread_alerts(alerts: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest unread alerts by event date, falling back to the creation time."""
+def unread_alerts(alerts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Unread alerts, newest event date (else creation time) first; the first ``limit`` if given."""
     when = F.coalesce(F.col("date").cast("string"), F.col("created_at").cast("string"))
-    return (
-        alerts.filter(~F.coalesce("is_read", F.lit(False)))
-        .withColumn("_when", when)
-        .orderBy(F.desc("_when"), F.desc("id"))
-        .limit(limit)
-        .drop("_when")
-    )
+    found = alerts.filter(~F.coalesce("is_read", F.lit(False))).withColumn("_when", when).orderBy(F.desc("_when"), F.desc("id"))
+    return (found if limit is None else found.limit(limit)).drop("_when")
 
 
 def banner_alert(alerts: DataFrame, as_of: date) -> DataFrame:
@@ -293,7 +289,7 @@ def filter_alerts(
         key = F.trim(F.coalesce(F.nullif(F.col("station_code"), F.lit("")), F.col("station_name"), F.lit("")))
         alerts = alerts.filter(key == station)
     if year is not None:
-        alerts = alerts.filter(F.year("date") == year)
+        alerts = alerts.filter(within_year(year))
     if month is not None:
         alerts = alerts.filter(F.month("date") == month)
     return alerts.orderBy("date", _shown_name())

@@ -117,13 +117,10 @@ def numeric_name_check(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_profile(df: DataFrame, top: int = 10) -> DataFrame:
-    """Columns with missing values, most first (a top-N report)."""
+def missing_profile(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Columns with missing values, most first; the first ``top`` of them if given."""
     cols = df.columns
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    return (
-        counts.unpivot([], cols, "column_name", "missing_count")
-        .filter("missing_count > 0")
-        .orderBy(F.desc("missing_count"), "column_name")
-        .limit(top)
-    )
+    found = counts.unpivot([], cols, "column_name", "missing_count").filter("missing_count > 0")
+    found = found.orderBy(F.desc("missing_count"), "column_name")
+    return found if top is None else found.limit(top)

@@ -76,19 +76,22 @@ def measured_until(readings: DataFrame, as_of: date) -> DataFrame:
     return readings.filter((F.col("date") <= F.lit(as_of)) & (kind != "forecast"))
 
 
-def historical_slice(readings: DataFrame, points: DataFrame | None, as_of: date) -> DataFrame:
+def historical_slice(readings: DataFrame, points: DataFrame | None, as_of: date, station: str | None = None) -> DataFrame:
     """Measured rows up to ``as_of`` (newest row per station and day), plus passed
     forecast points on days without a measurement.
 
     One exchange: both inputs are stacked with a priority and reduced by one
-    keyed dedup, rather than deduplicated apart and then anti-joined.
+    keyed dedup, rather than deduplicated apart and then anti-joined. ``station``
+    (a code, or a name where the code is blank) restricts both inputs before it.
     """
     measured = measured_until(complete_reading(readings), as_of).select(
         *[c for c in READING_COLUMNS if c != "is_predicted"], F.lit(False).alias("is_predicted")
     )
+    measured = measured if station is None else measured.filter(station_key() == station.strip())
     stacked = measured.withColumn("_priority", F.lit(0)).withColumn("_order", -F.col("id"))
     if points is not None:
         passed = as_reading(points.filter(F.col("date") <= F.lit(as_of)))
+        passed = passed if station is None else passed.filter(station_key() == station.strip())
         stacked = stacked.unionByName(
             passed.withColumn("_priority", F.lit(1)).withColumn("_order", F.col("id"))
         )
@@ -121,8 +124,15 @@ def latest_of_station(hist: DataFrame, label: str) -> DataFrame:
     )
 
 
-def tail(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The last ``n`` rows of the ascending order, still ascending (top-N, no full sort)."""
+def within_year(year: int) -> Column:
+    """The days of a year as a range of ``date``, which reaches the scan where year(date) does not."""
+    return F.col("date").between(F.lit(date(year, 1, 1)), F.lit(date(year, 12, 31)))
+
+
+def tail(df: DataFrame, n: int | None, order: Sequence[str]) -> DataFrame:
+    """The last ``n`` rows of the ascending order, still ascending (top-N, no full sort); all rows without ``n``."""
+    if n is None:
+        return df.orderBy(*order)
     return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
 
 
@@ -138,7 +148,7 @@ def _serving_filter(
         if station_name:
             keep = keep | (F.col("station_name") == station_name) | (F.col("station_code") == station_name)
         df = df.filter(keep)
-    return df.filter(F.year("date") == year) if year is not None else df
+    return df.filter(within_year(year)) if year is not None else df
 
 
 def _display_name() -> Column:
@@ -155,9 +165,9 @@ def time_series(
     station_name: str | None = None,
     river: str | None = None,
     year: int | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Chart series: the latest ``limit`` rows in date order. A station filter keeps
+    """Chart series in date order, the latest ``limit`` rows if given. A station filter keeps
     the last row per date; a river that maps to one station needs no such step,
     because a historical slice has one row per station and day."""
     out = _serving_filter(hist, station_code, station_name, river, year)
@@ -179,9 +189,9 @@ def wqi_data(
     station_name: str | None = None,
     river: str | None = None,
     year: int | None = None,
-    limit: int = 500,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Latest ``limit`` rows with the status recomputed from the index."""
+    """Rows in date order with the status recomputed from the index, the latest ``limit`` if given."""
     out = _serving_filter(hist, station_code, station_name, river, year)
     return tail(out, limit, ["date", "station_code", "id"]).select(
         "date",
@@ -209,8 +219,7 @@ def filter_readings(
     if station_name:
         df = df.filter(_display_name() == station_name)
     if year is not None:
-        # A date range instead of year(date) = y, so it reaches the scan.
-        df = df.filter(F.col("date").between(F.lit(date(year, 1, 1)), F.lit(date(year, 12, 31))))
+        df = df.filter(within_year(year))
     if status_is:
         wanted = status_is.strip().lower().replace(" ", "_")
         df = df.filter(status(F.coalesce("wqi", F.lit(0.0)), null_as=POLLUTED) == wanted)

@@ -31,6 +31,7 @@ from hydrolake.operators.history import (
     latest_per_station,
     station_key,
     tail,
+    within_year,
 )
 
 
@@ -92,8 +93,25 @@ def latest_stations(hist: DataFrame) -> DataFrame:
 
 
 def with_admin_coordinates(stations: DataFrame, admin: DataFrame) -> DataFrame:
-    """Overlay coordinates of the register, by code."""
-    return stations.join(admin.select("station_code", "latitude", "longitude"), "station_code", "left")
+    """Overlay the coordinates that the register has, found by code, else by name; own coordinates stay where it has none."""
+    own = [c for c in ("latitude", "longitude") if c in stations.columns]
+    table = stations.withColumnsRenamed({c: f"_own_{c}" for c in own})
+
+    def found(key: str, tag: str) -> DataFrame:
+        place = F.struct("latitude", "longitude")
+        known = admin.filter(F.trim(F.coalesce(F.col(key), F.lit(""))) != "")
+        return known.groupBy(F.upper(F.trim(key)).alias(f"_{tag}")).agg(F.min(place).alias(f"_at_{tag}"))
+
+    names = [c for c in ("station_name", "river_name") if c in stations.columns and c in admin.columns]
+    table = table.withColumn("_code", F.upper(F.trim("station_code"))).join(found("station_code", "code"), "_code", "left")
+    matched = [F.col("_at_code")]
+    for c in names[:1]:
+        table = table.withColumn("_name", F.upper(F.trim(c))).join(found(c, "name"), "_name", "left")
+        matched.append(F.col("_at_name"))
+    for c in ("latitude", "longitude"):
+        kept = [F.col(f"_own_{c}")] if c in own else []
+        table = table.withColumn(c, F.coalesce(*[m[c] for m in matched], *kept))
+    return table.select(*[c for c in stations.columns if c not in own], "latitude", "longitude")
 
 
 def with_coverage(stations: DataFrame, cov: DataFrame) -> DataFrame:
@@ -162,12 +180,17 @@ def calendar(hist: DataFrame, year: int, station: str | None = None) -> DataFram
     """Every day of ``year`` for each station, WQI where there is a reading.
 
     The days come from a sequence per distinct station, so no calendar table is
-    crossed with anything.
+    crossed with anything. A station that is asked for has its days also
+    without any reading.
     """
     first, last = date(year, 1, 1), date(year, 12, 31)
-    rows = hist.filter(F.col("station_code") == station.strip().upper()) if station else hist
-    rows = rows.withColumn("station_code", F.upper(F.trim("station_code")))
-    spine = rows.select("station_code").distinct().withColumn(
+    rows = hist.withColumn("station_code", F.upper(F.trim("station_code")))
+    if station:
+        rows = rows.filter(F.col("station_code") == station.strip().upper())
+        codes = hist.sparkSession.range(1).select(F.lit(station.strip().upper()).alias("station_code"))
+    else:
+        codes = rows.select("station_code").distinct()
+    spine = codes.withColumn(
         "date", F.explode(F.sequence(F.lit(first), F.lit(last)))
     )
     day = (
@@ -193,21 +216,19 @@ def distinct_codes(codes: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(cleaned))
 
 
-def compare_long(hist: DataFrame, codes: Sequence[str], year: int | None = None, limit: int = 2000) -> DataFrame:
-    """Latest ``limit`` rows of each requested station, long form."""
+def compare_long(hist: DataFrame, codes: Sequence[str], year: int | None = None, limit: int | None = None) -> DataFrame:
+    """Rows of each requested station, long form; the latest ``limit`` of each if given."""
     wanted = distinct_codes(codes)
     rows = hist.filter(F.col("station_code").isin(wanted))
     if year is not None:
-        rows = rows.filter(F.col("date").between(F.lit(date(year, 1, 1)), F.lit(date(year, 12, 31))))
-    rank = F.row_number().over(Window.partitionBy("station_code").orderBy(F.desc("date"), F.desc("id")))
-    return (
-        rows.withColumn("_rank", rank)
-        .filter(F.col("_rank") <= limit)
-        .select("station_code", river_of_station("station_code").alias("river_name"), "date", "wqi", "river_status")
-    )
+        rows = rows.filter(within_year(year))
+    if limit is not None:
+        rank = F.row_number().over(Window.partitionBy("station_code").orderBy(F.desc("date"), F.desc("id")))
+        rows = rows.withColumn("_rank", rank).filter(F.col("_rank") <= limit)
+    return rows.select("station_code", river_of_station("station_code").alias("river_name"), "date", "wqi", "river_status")
 
 
-def compare_wide(hist: DataFrame, codes: Sequence[str], year: int | None = None, limit: int = 2000) -> DataFrame:
+def compare_wide(hist: DataFrame, codes: Sequence[str], year: int | None = None, limit: int | None = None) -> DataFrame:
     """One row per date, one column per station, NULL where a station has no value."""
     wanted = distinct_codes(codes)
     if len(wanted) < 2:
@@ -334,17 +355,16 @@ def filtered_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"))
 
 
-ROLLUP_BUCKETS = {"monthly": ("month", 36), "yearly": ("year", 10), "daily": ("day", 365)}
+ROLLUP_UNITS = {"monthly": "month", "yearly": "year", "daily": "day"}
 
 
 def rollup_mean(df: DataFrame, grain: str, values: Sequence[str] = ("wqi",), buckets: int | None = None) -> DataFrame:
-    """Mean per calendar bucket, newest ``buckets`` buckets (36 months, 10 years or 365 days)."""
-    unit, default = ROLLUP_BUCKETS[grain]
-    start = F.date_trunc(unit, F.col("date")).cast("date")
+    """Mean per calendar bucket in order, the newest ``buckets`` of them if given."""
+    start = F.date_trunc(ROLLUP_UNITS[grain], F.col("date")).cast("date")
     means = df.filter(F.col("date").isNotNull()).groupBy(start.alias("bucket")).agg(
         *[F.avg(v).alias(f"avg_{v}") for v in values]
     )
-    return tail(means, buckets or default, ["bucket"])
+    return tail(means, buckets, ["bucket"])
 
 
 def with_open_envelope(points: DataFrame) -> DataFrame:
@@ -497,15 +517,17 @@ def forecast_spread(points: DataFrame, min_spread: float = 5.0) -> DataFrame:
 
 
 def readings_page(
-    df: DataFrame, sort_by: str = "date", descending: bool = False, limit: int = 100_000, offset: int = 0
+    df: DataFrame, sort_by: str = "date", descending: bool = False, limit: int | None = None, offset: int = 0
 ) -> DataFrame:
-    """One page of the readings (or forecast) table with the status recomputed."""
-    key = "wqi" if sort_by == "wqi" else "date"
-    other = "date" if key == "wqi" else "wqi"
-    order = [F.desc(key) if descending else F.asc(key), F.asc("station_code"), F.asc(other)]
+    """The readings (or forecast) table in order with the status recomputed, a page of it if ``limit`` is given."""
+    if sort_by not in ("date", "wqi"):
+        raise ValueError("sort_by must be 'date' or 'wqi'")
+    last = "wqi" if sort_by == "date" else "date"
+    order = [F.desc(sort_by) if descending else F.asc(sort_by), F.asc("station_code"), F.asc(last)]
     page = df.orderBy(*order)
     page = page.offset(offset) if offset else page
-    return page.limit(limit).select(
+    page = page if limit is None else page.limit(limit)
+    return page.select(
         "station_code",
         F.coalesce(F.nullif(F.col("station_name"), F.lit("")), F.col("station_code")).alias("station_name"),
         F.coalesce(F.nullif(F.col("river_name"), F.lit("")), river_of_station("station_code", "station_name")).alias("river_name"),

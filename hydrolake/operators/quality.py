@@ -62,9 +62,9 @@ def search_feedback(
     name: str | None = None,
     email: str | None = None,
     is_read: bool | None = None,
-    limit: int = 500,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Date range, case-insensitive contains on name and email, read flag; newest first."""
+    """Date range, case-insensitive contains on name and email, read flag; newest first, the first ``limit`` if given."""
     if date_from:
         df = df.filter(F.col("created_at").cast("date") >= F.lit(date_from))
     if date_to:
@@ -75,16 +75,17 @@ def search_feedback(
         df = df.filter(F.lower("email").contains(email.strip().lower()))
     if is_read is not None:
         df = df.filter(F.col("is_read") == is_read)
-    return df.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    found = df.orderBy(F.desc("created_at"), F.desc("id"))
+    return found if limit is None else found.limit(limit)
 
 
 def export_audit(df: DataFrame, fmt: Column | str, data_range: Column | str) -> DataFrame:
-    """Audit rows of exports: upper-case format of at most 16 and range of at most 512 characters."""
+    """Audit rows of exports: upper-case format and range, both trimmed."""
     f = F.col(fmt) if isinstance(fmt, str) else fmt
     r = F.col(data_range) if isinstance(data_range, str) else data_range
     return df.withColumns(
         {
-            "format": F.substring(F.upper(F.trim(F.coalesce(f, F.lit("")))), 1, 16),
-            "data_range": F.substring(F.trim(F.coalesce(r, F.lit(""))), 1, 512),
+            "format": F.upper(F.trim(F.coalesce(f, F.lit("")))),
+            "data_range": F.trim(F.coalesce(r, F.lit(""))),
         }
     )

@@ -1,8 +1,8 @@
 """Exact order statistics without gathering a column in one task.
 
 ``percentile()`` keeps every distinct value of its group in one aggregation
-buffer. That is fine for a bounded count, so it is used only below
-``SINGLE_TASK_ROWS``. Above it, each round narrows an open value interval
+buffer. That is fine for a bounded count, so it only ends a search that has at
+most ``SINGLE_TASK_ROWS`` rows left. Before that, each round narrows an open value interval
 around the wanted rank: one aggregate pass sketches a bracket, a second counts
 the rows below, on and inside it. Only counters and bracket ends reach the
 driver, and every round shrinks the interval about ``ACCURACY``-fold, so even
@@ -122,9 +122,6 @@ def exact_quantiles(
     """Linearly interpolated quantile of each named expression; NULL for an empty one."""
     inputs = df.select(*[x.cast("double").alias(n) for n, (x, _) in wanted.items()])
     counts = inputs.agg(*[F.count(n).alias(n) for n in wanted]).first().asDict()
-    if all(c <= single_task_rows for c in counts.values()):
-        row = inputs.agg(*[F.percentile(n, p).alias(n) for n, (_, p) in wanted.items()]).first()
-        return row.asDict()
     ranks, weights = {}, {}
     for n, (_, p) in wanted.items():
         if counts[n]:

@@ -131,12 +131,17 @@ def lags(
 
 
 def fill_gaps(df: DataFrame, cols: Sequence[str], order: str = "date", default: float | None = 0.0) -> DataFrame:
-    """Forward fill, then backward fill, then ``default``, per station."""
+    """Forward fill, then backward fill, then ``default``, per station.
+
+    Backward fill only reaches the NULLs before a station's first value, so it
+    is that first value: a frame over the whole station, computed once for all
+    its rows, where a frame from each row to the end is computed for each row.
+    """
     past = by_day(order).rowsBetween(Window.unboundedPreceding, 0)
-    future = by_day(order).rowsBetween(0, Window.unboundedFollowing)
+    whole = by_day(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = {}
     for c in cols:
-        filled = F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(future))
+        filled = F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(whole))
         out[c] = filled if default is None else F.coalesce(filled, F.lit(default))
     return df.withColumns(out)
 
@@ -278,7 +283,7 @@ def gaps(df: DataFrame) -> DataFrame:
 def gap_fill(df: DataFrame, end: date, method: str = "locf") -> DataFrame:
     """Insert the missing days of each station from its first day up to ``end`` (inclusive).
 
-    Input: a daily series with ``wqi``. Existing rows stay as they are
+    Input: a daily series with ``wqi``. Existing rows stay as they are, those after ``end`` too
     (``data_type`` 'historical'); inserted rows are tagged 'gap_fill' and take
     the last value (``locf``) or the straight line between neighbours
     (``linear``; after the last reading the last value is kept). Deterministic
@@ -287,14 +292,14 @@ def gap_fill(df: DataFrame, end: date, method: str = "locf") -> DataFrame:
     """
     if method not in ("locf", "linear"):
         raise ValueError("method must be 'locf' or 'linear'")
-    ahead = df.filter(F.col("date") <= F.lit(end)).select(
+    ahead = df.filter(F.col("date").isNotNull()).select(
         STATION,
         "date",
         "wqi",
         F.lead("date").over(by_day()).alias("_next_date"),
         F.lead("wqi").over(by_day()).alias("_next_wqi"),
     )
-    stop = F.coalesce(F.date_sub("_next_date", 1), F.lit(end))
+    stop = F.greatest(F.col("date"), F.least(F.coalesce(F.date_sub("_next_date", 1), F.lit(end)), F.lit(end)))
     expanded = ahead.withColumn("_day", F.explode(F.sequence(F.col("date"), stop)))
     done = F.datediff("_day", "date")
     if method == "linear":

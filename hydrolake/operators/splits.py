@@ -120,10 +120,14 @@ def time_split(df: DataFrame, test: float = 0.2, val: float = 0.1, order: str =
     )
 
 
-def chronological_split(df: DataFrame, test: float = 0.2, tie: Column | None = None) -> DataFrame:
-    """Whole-table chronological split: exactly ``max(1, floor(n * test))`` newest rows
-    are the test side; rows of the boundary day are divided by ``tie`` (default: station hash)."""
-    tie = (hash52(["station_code"]) if tie is None else tie).cast("double")
+def chronological_split(df: DataFrame, test: float = 0.2, tie: Column | None = None, key: Sequence[str] | None = None) -> DataFrame:
+    """Whole-table chronological split: the ``max(1, floor(n * test))`` newest rows are the test side.
+
+    Rows of the boundary day are divided by ``tie`` (default: a hash of ``key``,
+    by default of the whole row). The number is exact where no two rows of that
+    day have the same tie; only rows equal in every column must stay together.
+    """
+    tie = (hash52(list(key or df.columns)) if tie is None else tie).cast("double")
     day = F.unix_date("date").cast("double")
     n = df.filter(F.col("date").isNotNull()).count()
     rank = n - max(1, int(n * test))

@@ -42,6 +42,8 @@ def feature_frame(
     features = engineer_features(base, rolling_rows, lag_rows)
     if not normalize:
         return features, None
+    # Stored, so that the windows run once for the scaler's bounds and the scaled rows.
+    features = materialize(features, "features")
     scaler = fit_minmax(features, numeric_feature_columns(features))
     return scaler.transform(features), scaler
 

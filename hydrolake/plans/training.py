@@ -121,7 +121,7 @@ def run_forecast(
         )
         upsert_table(records, records_path)
     if events_path:
-        append_events(to_alert_events(alerts), events_path)
+        append_events(to_alert_events(alerts), events_path, run_id)
     return ForecastRun(points, to_log(points), alerts)
 
 

@@ -124,9 +124,11 @@ def read_many(spark: SparkSession, sources: Sequence[str], multiline: bool = Fal
     """Union of sources with different headers; each source may itself be a folder or glob."""
     if not sources:
         raise ValueError("no sources given")
-    out = load_sheet(spark, sources[0], multiline)
-    for path in sources[1:]:
-        out = out.unionByName(load_sheet(spark, path, multiline), allowMissingColumns=True)
+    out = None
+    for place, path in enumerate(sources):
+        # Rows of a source that is listed earlier come first, whatever the paths are called.
+        sheet = load_sheet(spark, path, multiline).withColumn(ORDER, F.struct(F.lit(place).alias("source"), F.col(ORDER).alias("at")))
+        out = sheet if out is None else out.unionByName(sheet, allowMissingColumns=True)
     return out
 
 

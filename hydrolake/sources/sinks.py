@@ -56,8 +56,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """A stored table, or None when nothing has been written yet."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def upsert_table(
@@ -85,8 +87,10 @@ def upsert_table(
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").parquet(path)
+def append_events(events: DataFrame, path: str, run_id: str) -> None:
+    """Add a run's events to the log, one folder per run: a repeated run replaces its own events."""
+    rows = events.withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

@@ -109,7 +109,7 @@ def alert_events(spark, sf):
     "SELECT id, triggered_at, severity, source FROM alerts_log WHERE status = 'active' AND source = 'anomaly' ORDER BY triggered_at DESC, id DESC LIMIT 200",
 )
 def query_events(spark, sf):
-    return alerts.query_events(A.alerts_log(spark, sf), "Active", " anomaly ").select("id", "triggered_at", "severity", "source")
+    return alerts.query_events(A.alerts_log(spark, sf), "Active", " anomaly ", limit=200).select("id", "triggered_at", "severity", "source")
 
 
 @query("h07_resolve_events", "SELECT id, CASE WHEN id % 11 = 0 THEN 'resolved' ELSE status END AS status FROM alerts_log")
@@ -132,7 +132,7 @@ def unread_alerts(spark, sf):
     rows = A.alerts_log(spark, sf).select(
         "id", F.col("triggered_at").alias("date"), F.col("triggered_at").alias("created_at"), "is_read"
     )
-    return alerts.unread_alerts(rows).select("id", "date")
+    return alerts.unread_alerts(rows, limit=50).select("id", "date")
 
 
 @query(
@@ -209,14 +209,14 @@ def check_fields(spark, sf):
 )
 def search_feedback(spark, sf):
     out = quality.search_feedback(
-        A.feedback(spark, sf), date(1999, 3, 1), date(2000, 8, 31), name="ER#0000", email="8@EXAMPLE", is_read=True
+        A.feedback(spark, sf), date(1999, 3, 1), date(2000, 8, 31), name="ER#0000", email="8@EXAMPLE", is_read=True, limit=500
     )
     return out.select("id", "name", "email", "created_at")
 
 
 @query(
     "l07_export_audit",
-    """SELECT o_orderkey AS export_id, substr(upper(o_orderpriority || ' priority export'), 1, 16) AS format,
+    """SELECT o_orderkey AS export_id, upper(o_orderpriority || ' priority export') AS format,
        trim(o_orderstatus || '  ' || o_orderpriority) AS data_range FROM orders ORDER BY o_orderkey DESC LIMIT 200""",
 )
 def export_audit(spark, sf):

@@ -67,6 +67,25 @@ def latest_with_coordinates(spark, sf):
     return rounded(marts.with_admin_coordinates(_latest_stations(spark, sf), admin))
 
 
+@query(
+    "c03_coordinates_by_name",
+    """, own AS (SELECT station_code, river_name, 1e0 AS latitude, 2e0 AS longitude FROM latest)
+    SELECT o.station_code, o.river_name, CASE WHEN o.station_code IN ('S01', 'S02') THEN s.latitude ELSE 1e0 END AS latitude,
+      CASE WHEN o.station_code IN ('S01', 'S02', 'S03') THEN s.longitude ELSE 2e0 END AS longitude FROM own o JOIN stations s USING (station_code)""",
+)
+def coordinates_by_name(spark, sf):
+    # S01 is registered by code, S02 and S03 by name only, S03 without a latitude; the others are not registered.
+    register = A.stations(spark).filter("station_code <= 'S03'")
+    admin = register.withColumns(
+        {
+            "station_code": F.when(F.col("station_code") == "S01", F.col("station_code")),
+            "latitude": F.when(F.col("station_code") != "S03", F.col("latitude")),
+        }
+    )
+    own = _latest_stations(spark, sf).select("station_code", "river_name", F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"))
+    return marts.with_admin_coordinates(own, admin)
+
+
 _COVERAGE = """, cov AS (SELECT station_code, count(DISTINCT date) AS coverage_days, min(date) AS date_from, max(date) AS date_to,
     CAST(max(date) - min(date) AS INTEGER) + 1 AS span_days, least(100e0, round(100e0*count(DISTINCT date)/(CAST(max(date) - min(date) AS INTEGER) + 1), 1)) AS coverage_pct,
     strftime(min(date), '%b %Y') || '–' || strftime(max(date), '%b %Y') AS range_label FROM hist GROUP BY 1)
@@ -115,6 +134,15 @@ def calendar(spark, sf):
     return marts.calendar(hist(spark, sf), 1999)
 
 
+@query(
+    "c06_calendar_without_readings",
+    f"""SELECT 'S99' AS station_code, CAST(d AS DATE) AS date, round(h.wqi, 2) AS wqi, CASE WHEN h.wqi IS NOT NULL THEN {band('h.wqi')} END AS status
+        FROM generate_series(DATE '1999-01-01', DATE '1999-12-31', INTERVAL 1 DAY) t(d) LEFT JOIN hist h ON h.station_code = 'S99' AND h.date = CAST(d AS DATE)""",
+)
+def calendar_without_readings(spark, sf):
+    return marts.calendar(hist(spark, sf), 1999, " s99 ")
+
+
 @query(
     "c07_compare_long",
     """SELECT station_code, river_name, date, round(wqi, 6) AS wqi, river_status FROM (SELECT *, row_number() OVER (PARTITION BY station_code ORDER BY date DESC) AS rn
@@ -130,7 +158,7 @@ def compare_long(spark, sf):
        FROM hist WHERE station_code IN ('S01', 'S03') GROUP BY 1""",
 )
 def compare_wide(spark, sf):
-    return rounded(marts.compare_wide(hist(spark, sf), ["S01", "S03"], limit=1_000_000))
+    return rounded(marts.compare_wide(hist(spark, sf), ["S01", "S03"]))
 
 
 @query(
@@ -273,7 +301,7 @@ def _rollup(grain: str, unit: str, n: int):
         f"SELECT CAST(date_trunc('{unit}', date) AS DATE) AS bucket, round(avg(wqi), 6) AS avg_wqi FROM hist GROUP BY 1 ORDER BY 1 DESC LIMIT {n}",
     )
     def run(spark, sf):
-        return rounded(marts.rollup_mean(hist(spark, sf), grain))
+        return rounded(marts.rollup_mean(hist(spark, sf), grain, buckets=n))
 
     return run
 
@@ -291,7 +319,7 @@ for _grain, _unit, _n in (("monthly", "month", 36), ("yearly", "year", 10), ("da
 )
 def rollup_with_bounds(spark, sf):
     points = A.forecast_points(spark, sf).filter(F.col("date") > F.lit(A.AS_OF))
-    return rounded(marts.rollup_mean(marts.with_open_envelope(points), "monthly", ("wqi", "wqi_lower", "wqi_upper")))
+    return rounded(marts.rollup_mean(marts.with_open_envelope(points), "monthly", ("wqi", "wqi_lower", "wqi_upper"), buckets=36))
 
 
 @query(
@@ -388,7 +416,7 @@ def split_shift(spark, sf):
     """SELECT 'cod' AS column_name, count(*) FILTER (cod IS NULL) AS missing_count FROM holed UNION ALL SELECT 'tss', count(*) FILTER (tss IS NULL) FROM holed""",
 )
 def missing_profile(spark, sf):
-    return cleaning.missing_profile(A.measurements(spark, sf, with_nulls=True).drop("_ord"))
+    return cleaning.missing_profile(A.measurements(spark, sf, with_nulls=True).drop("_ord"), top=10)
 
 
 @query(

@@ -64,16 +64,31 @@ def union_of_sources(spark, sf):
     )
 
 
+@query(
+    "a02_first_listed_source_wins",
+    f"""SELECT station_code, count(*) AS n, round(sum(cod), 4) AS sum_cod FROM (SELECT station_code, date, CASE WHEN late > 0 THEN late_cod ELSE early_cod END AS cod FROM
+      (SELECT station_code, date, count(*) FILTER (l_linenumber > 3) AS late, arg_min(cod, ({ORD})) FILTER (l_linenumber > 3) AS late_cod,
+        arg_min(cod, ({ORD})) FILTER (l_linenumber <= 3) AS early_cod FROM measurements GROUP BY ALL)) GROUP BY 1""",
+)
+def first_listed_source_wins(spark, sf):
+    # Listed against the order of their paths; each holds one row per station and day.
+    rows = A.measurements(spark, sf)
+    late, early = (cleaning.dedup_first(rows.filter(c)) for c in ("_ord.l_linenumber > 3", "_ord.l_linenumber <= 3"))
+    sources = [_write_csv(late.select(*CSV_COLUMNS), "z-late"), _write_csv(early.select(*CSV_COLUMNS), "a-early")]
+    both = cleaning.dedup_first(cleaning.coerce_numeric(monitoring.read_many(spark, sources)))
+    return rounded(both.groupBy("station_code").agg(F.count("*").alias("n"), F.sum("cod").alias("sum_cod")), 4)
+
+
 @query(
     "a03_one_file_per_river",
-    """SELECT river_name AS stem, count(*) AS row_count FROM readings WHERE date <= DATE '2000-12-31' GROUP BY 1""",
+    """SELECT river_name AS stem, count(*) AS row_count FROM readings GROUP BY 1""",
 )
 def one_file_per_river(spark, sf):
     # The same rivers in two folders: the larger copy of each file must be kept.
     rows = A.readings(spark, sf).select("date", "station_code", "wqi", F.col("river_name").alias("folder"))
     root = new_path(spark, "rivers")
-    for part, until in (("recent", date(1996, 12, 31)), ("full", date(2000, 12, 31))):
-        _write_named_files(rows.filter(F.col("date") <= F.lit(until)), f"{root}/{part}")
+    _write_named_files(rows.filter(F.col("date") <= F.lit(date(1996, 12, 31))), f"{root}/early")
+    _write_named_files(rows, f"{root}/full")
     chosen = monitoring.catalog_one_per_river(spark, root)
     return chosen.join(monitoring.file_row_counts(spark, root), "file_path").select("stem", "row_count")
 
@@ -160,12 +175,12 @@ def numeric_names(spark, sf):
 @query(
     "a09_dataset_catalog",
     """SELECT 'registered' AS origin, 1 AS n_datasets, CAST(count(*) AS BIGINT) AS total_rows FROM lineitem
-       UNION ALL SELECT 'folder', 7, count(*) FROM readings WHERE date <= DATE '1998-12-31'""",
+       UNION ALL SELECT 'folder', 7, count(*) FROM readings""",
 )
 def dataset_catalog(spark, sf):
     root = new_path(spark, "uploads")
     rows = A.readings(spark, sf).select("date", "station_code", "wqi", F.col("river_name").alias("folder"))
-    _write_named_files(rows.filter(F.col("date") <= F.lit(date(1998, 12, 31))), root)
+    _write_named_files(rows, root)
     registry = A.table(spark, sf, "lineitem").agg(F.count("*").alias("row_count")).select(
         F.lit("base.csv").alias("name"), F.lit("registry").alias("file_path"), F.lit(0).cast("long").alias("file_size_bytes"),
         "row_count", F.lit("All").alias("river_name"), F.lit(1).alias("dataset_id"),
