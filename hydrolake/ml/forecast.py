@@ -2,8 +2,8 @@
 
 One ridge regression per horizon step, pooled over all stations, on the last
 ``length`` index values plus lags, season and optional raw parameters of the
-newest row. Training is a set of distributed least-squares passes over one
-stored sample table; the roll-out is one vectorised pass with one row per
+newest row. Training is one pass over a stored sample table that sums products
+for all steps at once; the roll-out is one vectorised pass with one row per
 station, so neither depends on how many rows a station has.
 """
 
@@ -16,8 +16,6 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,13 +26,13 @@ from hydrolake.functions.wqi import status
 from hydrolake.operators import metrics
 from hydrolake.operators.series import (
     STATION,
+    by_day,
     first_differences,
     integrate_differences,
     last_rows,
     model_feature_names,
     model_frame,
     pad_history,
-    sliding_windows,
 )
 from hydrolake.operators.splits import hash52, time_split
 from hydrolake.sources.shared import materialize
@@ -91,31 +89,88 @@ def samples(df: DataFrame, s: Settings) -> DataFrame:
     """Training samples of a daily series with ``split``; those of ``short_stations`` are left out."""
     short = short_stations(df, s).select(STATION)
     kept = df.join(short, STATION, "left_anti")
-    windows = sliding_windows(model_frame(kept, s.add_month, s.extra), s.features, s.length, s.horizon)
-    newest = F.element_at("inputs", -1)
-    rest = F.slice(newest, 2, len(s.features) - 1)
-    x = F.concat(F.transform("inputs", lambda r: r[0]), rest)
+    # Only the index is taken from all rows of a sample; the other features are those of its newest row.
+    value = F.coalesce(F.col("wqi").cast("double"), F.lit(0.0))
+    rest = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in s.features[1:]])
+    w = by_day()
+    windows = model_frame(kept, s.add_month, s.extra).select(
+        STATION,
+        "date",
+        (F.row_number().over(w) - s.length).alias("sample_index"),
+        value.alias("anchor"),
+        F.collect_list(value).over(w.rowsBetween(-(s.length - 1), 0)).alias("walk"),
+        rest.alias("rest"),
+        F.collect_list(value).over(w.rowsBetween(1, s.horizon)).alias("targets"),
+    )
+    whole = windows.filter((F.size("walk") == s.length) & (F.size("targets") == s.horizon))
     return time_split(
-        windows.select(STATION, "sample_index", "date", "anchor", "targets", x.alias("x")), s.test, s.val, "sample_index"
+        whole.select(STATION, "sample_index", "date", "anchor", "targets", F.concat("walk", "rest").alias("x")), s.test, s.val, "sample_index"
     )
 
 
+#: Tasks' sums are added in as many groups before the driver adds those.
+SUM_GROUPS = 64
+
+
+def moments(df: DataFrame, x: str, y: str, width: int, height: int) -> np.ndarray:
+    """Sums of all products of (1, x, y) over the rows: one matrix a task, added up in Spark."""
+    size = 1 + width + height
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size))
+        for pdf in batches:
+            if len(pdf):
+                m = np.column_stack([np.ones(len(pdf)), np.array(pdf[x].tolist()), np.array(pdf[y].tolist())])
+                total += m.T @ m
+        yield pd.DataFrame({"sums": [total.ravel()]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sums": [np.sum(pdf["sums"].tolist(), axis=0)]})
+
+    parts = df.select(x, y).mapInPandas(products, "sums array<double>").withColumn("part", F.spark_partition_id() % SUM_GROUPS)
+    rows = parts.groupBy("part").applyInPandas(add, "sums array<double>").collect()
+    return np.sum([r["sums"] for r in rows] or [np.zeros(size * size)], axis=0).reshape(size, size)
+
+
+def ridge(sums: np.ndarray, width: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (one column per target) and intercepts of ridge regressions on standardised columns.
+
+    Features and targets are divided by their deviations; a target's penalty
+    is ``penalty`` over its deviation. Constant features get no weight.
+    """
+    n = sums[0, 0]
+    mean = sums[0] / n
+    cov = sums / n - np.outer(mean, mean)
+    dev = np.sqrt(np.maximum(np.diag(cov), 0))
+    used = np.flatnonzero(dev[1 : 1 + width] > 1e-9) + 1
+    weights, intercepts = np.zeros((width, len(mean) - 1 - width)), np.zeros(len(mean) - 1 - width)
+    corr = cov[np.ix_(used, used)] / np.outer(dev[used], dev[used])
+    for h, t in enumerate(range(1 + width, len(mean))):
+        if dev[t] > 1e-12 and len(used):
+            right = cov[used, t] / (dev[used] * dev[t])
+            weights[used - 1, h] = np.linalg.solve(corr + penalty / dev[t] * np.eye(len(used)), right) * dev[t] / dev[used]
+        intercepts[h] = mean[t] - mean[1 : 1 + width] @ weights[:, h]
+    return weights, intercepts
+
+
 def fit(df: DataFrame, settings: Settings = Settings()) -> tuple[Forecaster, DataFrame]:
     """Returns the model and the scored test samples (``y_true``, ``y_pred``, ``y_baseline`` arrays)."""
     table = materialize(samples(df, settings), "samples")
     target = first_differences("anchor", "targets") if settings.differences else F.col("targets")
-    train = table.filter("split = 'train'").select(array_to_vector("x").alias("features"), target.alias("y"))
-    scored = table.filter("split = 'test'").withColumn("features", array_to_vector("x"))
-    weights, intercepts = [], []
-    for h in range(settings.horizon):
-        regression = LinearRegression(
-            featuresCol="features", labelCol=f"y{h}", predictionCol=f"p{h}", regParam=settings.ridge, solver="normal"
-        )
-        model = regression.fit(train.withColumn(f"y{h}", F.col("y")[h]))
-        weights.append([float(w) for w in model.coefficients])
-        intercepts.append(float(model.intercept))
-        scored = model.transform(scored)
-    predicted = F.array(*[F.col(f"p{h}") for h in range(settings.horizon)])
+    width = settings.length + len(settings.features) - 1
+    sums = moments(table.filter("split = 'train'").select("x", target.alias("y")), "x", "y", width, settings.horizon)
+    if not sums[0, 0]:
+        raise ValueError("no station is long enough to train on")
+    found, base = ridge(sums, width, settings.ridge)
+    weights, intercepts = found.T.tolist(), base.tolist()
+
+    def predict(w: list[float], b: float):
+        products = F.zip_with("x", F.array(*map(F.lit, w)), lambda v, c: v * c)
+        return F.aggregate(products, F.lit(b), lambda total, p: total + p)
+
+    predicted = F.array(*[predict(w, b) for w, b in zip(weights, intercepts)])
+    scored = table.filter("split = 'test'").select("*", F.inline(F.array(F.struct(predicted.alias("_p")))))
+    predicted = F.col("_p")
     scored = scored.select(
         STATION,
         "sample_index",
@@ -135,7 +190,7 @@ def long_form(scored: DataFrame) -> DataFrame:
 
 
 def forecast_metrics(scored: DataFrame) -> DataFrame:
-    """One row: regression metrics, gain over persistence, clean-class metrics and diagnostics."""
+    """One row: regression metrics, persistence and the gain over it, bias and correlation."""
     rows = long_form(scored)
     e, b = F.col("y_true") - F.col("y_pred"), F.col("y_true") - F.col("y_baseline")
     out = rows.agg(
@@ -145,7 +200,19 @@ def forecast_metrics(scored: DataFrame) -> DataFrame:
         F.corr("y_true", "y_pred").alias("pearson_r"),
         F.avg(-e).alias("mean_bias"),
     )
-    return out.withColumn("rmse_gain_pct", 100.0 * (F.col("baseline_rmse") - F.col("rmse")) / F.col("baseline_rmse"))
+    return out.withColumns(
+        {f"{m}_gain_pct": 100.0 * (F.col(f"baseline_{m}") - F.col(m)) / F.nullif(F.col(f"baseline_{m}"), F.lit(0.0)) for m in ("rmse", "mae")}
+    )
+
+
+def forecast_document(scored: DataFrame) -> dict[str, DataFrame]:
+    """All metrics of scored samples, a one-row table per section."""
+    rows = materialize(long_form(scored), "scored-steps")
+    return {
+        "forecast": forecast_metrics(scored),
+        "forecast_extras": metrics.regression_extras(rows, sequence="sample", step="step"),
+        "forecast_clean_class": metrics.clean_class_metrics(rows),
+    }
 
 
 def metrics_per_step(scored: DataFrame) -> DataFrame:

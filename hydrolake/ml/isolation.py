@@ -100,6 +100,7 @@ def _raw_score(df: DataFrame, features: Sequence[str], medians: dict, sample: in
     @F.pandas_udf("double")
     def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)  # one feature comes as itself
             x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             rows, total = np.arange(len(x)), np.zeros(len(x))
             for t in shared.value:

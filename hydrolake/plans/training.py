@@ -34,6 +34,14 @@ def metric_rows(section: str, row: DataFrame) -> DataFrame:
     return doubles.unpivot([], numeric, "metric", "value").withColumn("section", F.lit(section))
 
 
+def keyed_metric_rows(section: str, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A metrics table -> the same rows, with the keys of a row in the section's name."""
+    numeric = [f.name for f in table.schema.fields if f.dataType.typeName() in ("double", "long", "integer") and f.name not in keys]
+    name = F.concat_ws(" ", F.lit(section), *[F.col(k).cast("string") for k in keys]).alias("section")
+    doubles = table.select(name, *[F.col(c).cast("double").alias(c) for c in numeric])
+    return doubles.unpivot(["section"], numeric, "metric", "value").select("metric", "value", "section")
+
+
 @dataclass(frozen=True)
 class Trained:
     classifier: classify.StatusClassifier
@@ -48,8 +56,9 @@ def train_all(
     year_to: int | None = None,
     settings: forecast.Settings = forecast.Settings(),
     forest: dict | None = None,
+    folds: int | None = None,
 ) -> Trained:
-    """Train the three models on one table.
+    """Train the three models on one table; ``folds`` adds a cross-validation of the classifier to the metrics.
 
     The base frame is stored once and read by all of them. The forecaster is
     pooled over stations, so there is no loop over stations.
@@ -57,15 +66,25 @@ def train_all(
     base = materialize(base_frame(df, "median", year_from, year_to), "base")
     scaled = materialize(feature_frame(base)[0], "features")
     classifier, scored = classify.train_classifier(base, **(forest or {}))
+    scored = materialize(scored.select("label", "prediction"), "scored")
     forecaster, samples = forecast.fit(base.select("station_code", "date", "wqi", *settings.extra), settings)
     anomalies = isolation.fit(scaled)
     flagged = anomalies.score(scaled).agg(F.count("*").alias("rows"), F.count_if(F.col("anomaly") == -1).alias("anomalies"))
     document = (
         metric_rows("classification", classification_metrics(scored))
-        .unionByName(metric_rows("forecast", forecast.forecast_metrics(samples)))
         .unionByName(metric_rows("anomaly", flagged))
         .unionByName(metric_rows("data", base.agg(F.count("*").alias("rows"))))
     )
+    for section, row in forecast.forecast_document(samples).items():
+        document = document.unionByName(metric_rows(section, row))
+    for table, section, keys in (
+        (confusion(scored), "confusion", ("label", "prediction")),
+        (class_report(scored), "class", ("class",)),
+        (forecast.metrics_per_station(samples), "station", ("station_code",)),
+    ):
+        document = document.unionByName(keyed_metric_rows(section, table, [k for k in keys if k in table.columns]))
+    if folds:
+        document = document.unionByName(metric_rows("cross_validation", classify.cv_summary(classify.cross_validate(base, folds=folds, **(forest or {})))))
     return Trained(classifier, forecaster, anomalies, document)
 
 

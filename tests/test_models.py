@@ -136,3 +136,30 @@ def test_sweep_reports_every_configuration(waves):
     axes = {"add_month": [("add_month", forecast.Settings(add_month=True))], "ridge": [("ridge", forecast.Settings(ridge=5.0))]}
     results, _ = forecast.run_sweep(waves, forecast.Settings(), axes)
     assert [r.label for r in results.collect()].__len__() == 4
+
+
+def test_ridge_is_the_least_squares_of_the_library(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 4)) * [1, 5, 0.1, 0]
+    y = np.column_stack([x @ [1, 2, 3, 4] + rng.normal(size=300) + 7, x @ [0, -1, 3, 1] * 3])
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "x array<double>, y array<double>").repartition(3)
+    weights, intercepts = forecast.ridge(forecast.moments(df, "x", "y", 4, 2), 4, 0.1)
+    for h in (0, 1):
+        rows = df.select(array_to_vector("x").alias("v"), F.col("y")[h].alias("l"))
+        model = LinearRegression(featuresCol="v", labelCol="l", regParam=0.1, solver="normal").fit(rows)
+        assert np.allclose(weights[:, h], model.coefficients.toArray(), atol=1e-9)
+        assert abs(intercepts[h] - model.intercept) < 1e-9
+
+
+def test_trees_draw_from_the_whole_table(spark):
+    """Rows outside any fixed pool of smallest hashes reach some tree."""
+    from hydrolake.ml import isolation
+
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.col("id").cast("double").alias("wqi"))
+    cuts = isolation.fit(rows, key=["k"], trees=40, sample=64, features=["wqi"]).nodes
+    inner = cuts[cuts["feature"] >= 0]
+    assert inner["threshold"].nunique() > 1500
+    assert cuts[cuts["node"] == 0]["size"].min() == 64

@@ -270,3 +270,24 @@ def test_fold_count_rules():
     assert splits.fold_count(3, 100) == 3
     assert splits.fold_count(7, 1) == 5
     assert splits.fold_count(7, 2) == 2
+
+
+def test_backward_fill_is_linear(spark):
+    """Frames start at the first row: none is computed anew for every row."""
+    rows = spark.range(36_000).select(F.lit("S01").alias("station_code"), F.date_add(F.lit(D0), F.col("id").cast("int")).alias("date"), F.col("id").cast("double").alias("wqi"))
+    out = series.lags(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan
+    first = out.orderBy("date").limit(2).collect()
+    assert [r["wqi_lag_1"] for r in first] == [0.0, 0.0] and out.count() == 36_000
+
+
+def test_gap_fill_keeps_rows_after_the_end(spark):
+    rows = spark.createDataFrame([("S01", D0 + timedelta(days=d), float(d)) for d in (0, 2, 8, 10)], "station_code string, date date, wqi double")
+    out = series.gap_fill(rows, D0 + timedelta(days=3)).orderBy("date").collect()
+    assert [((r["date"] - D0).days, r["data_type"][0]) for r in out] == [(0, "h"), (1, "g"), (2, "h"), (3, "g"), (8, "h"), (10, "h")]
+
+
+def test_chronological_split_is_exact_when_days_repeat(spark):
+    rows = spark.range(1000).select(F.lit("S01").alias("station_code"), F.date_add(F.lit(D0), (F.col("id") % 10).cast("int")).alias("date"), "id")
+    assert splits.chronological_split(rows, 0.25).filter("split = 'test'").count() == 250
