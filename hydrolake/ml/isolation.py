@@ -119,6 +119,18 @@ def _raw_score(df: DataFrame, features: Sequence[str], medians: dict, sample: in
     return df.withColumn("_raw", walk(*filled))
 
 
+def draw(rows: DataFrame, n: int, key: Sequence[str], trees: int, sample: int, seed: int) -> DataFrame:
+    """For every tree (``tree``) the ``sample`` of all ``n`` rows whose hash of row and tree is smallest.
+
+    A bound on the hash leaves about twice the sample to be ranked, whatever the table's size.
+    """
+    bound = min(1.0, (SURPLUS * sample + 64) / max(n, 1)) * float(1 << 52)
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: hash52(["_h", t], seed) <= bound)
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(hash52(["_h", "tree"], seed), "_h"))
+    spread = rows.withColumn("_h", F.xxhash64(*key, F.lit(seed))).withColumn("tree", F.explode(chosen))
+    return spread.withColumn("_rank", rank).filter(F.col("_rank") <= sample).drop("_rank", "_h")
+
+
 def fit(
     df: DataFrame,
     key: Sequence[str] = ("station_code", "date"),
@@ -136,17 +148,7 @@ def fit(
     rows = imputer.transform(df.select(*key, *[F.col(c).cast("double").alias(c) for c in features if c not in key]))
     n = rows.count()
     sample = min(sample, n)
-    # Every tree draws from the whole table: the rows of smallest hash of row and tree. A bound on the hash leaves
-    # about twice the sample to be ranked; a table of a few thousand rows stays whole.
-    bound = min(1.0, (SURPLUS * sample + 64) / n) * float(1 << 52)
-    tree_ids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: hash52(["_h", t], seed) <= bound)
-    drawn = (
-        rows.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
-        .withColumn("tree", F.explode(tree_ids))
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("tree").orderBy(hash52(["_h", "tree"], seed), "_h")))
-        .filter(F.col("_rank") <= sample)
-        .select("tree", *features)
-    )
+    drawn = draw(rows, n, key, trees, sample, seed).select("tree", *features)
     depth = int(np.ceil(np.log2(max(sample, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

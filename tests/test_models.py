@@ -155,11 +155,14 @@ def test_ridge_is_the_least_squares_of_the_library(spark):
 
 
 def test_trees_draw_from_the_whole_table(spark):
-    """Rows outside any fixed pool of smallest hashes reach some tree."""
-    from hydrolake.ml import isolation
-
-    rows = spark.range(20_000).select(F.col("id").alias("k"), F.col("id").cast("double").alias("wqi"))
-    cuts = isolation.fit(rows, key=["k"], trees=40, sample=64, features=["wqi"]).nodes
-    inner = cuts[cuts["feature"] >= 0]
-    assert inner["threshold"].nunique() > 1500
-    assert cuts[cuts["node"] == 0]["size"].min() == 64
+    """Forty draws of 64 rows meet more rows than one pool of 2048 would hold."""
+    rows = spark.range(20_000).select(F.col("id").alias("k"))
+    drawn = isolation.draw(rows, 20_000, ["k"], 40, 64, 42)
+    assert drawn.groupBy("tree").count().filter("count = 64").count() == 40
+    assert drawn.select("k").distinct().count() > 2048
+
+
+def test_one_feature_is_enough(spark):
+    rows = spark.range(2_000).select(F.col("id").alias("k"), F.col("id").cast("double").alias("wqi"))
+    scored = isolation.fit(rows, key=["k"], trees=10, sample=64, features=["wqi"]).score(rows)
+    assert scored.filter("anomaly = -1").count() == pytest.approx(100, abs=20)
