@@ -410,7 +410,7 @@ def to_record_rows(df: DataFrame, dataset_id: int, data_source: str, cutoff_year
         return F.trim(F.col(c).cast("string")) if c in df.columns else F.lit(None).cast("string")
 
     wqi = F.coalesce(first_number("wqi"), F.lit(0.0))
-    return df.filter(F.col("date").isNotNull() & (F.year("date") <= cutoff_year)).select(
+    return df.filter(F.col("date").isNotNull() & (F.col("date") <= F.lit(date(cutoff_year, 12, 31)))).select(
         F.col("date").cast("date").alias("date"),
         F.coalesce(text("station_code"), F.lit(DEFAULT_STATION)).alias("station_code"),
         F.nullif(text("station_name"), F.lit("")).alias("station_name"),

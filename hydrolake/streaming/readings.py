@@ -87,20 +87,22 @@ def upsert_batch(records_path: str, alerts_path: str | None, cutoff_year: int =
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read several times below; a lost executor recomputes it from the files
-        rows = batch.filter(F.year("date") <= cutoff_year).select(
-            "date", "station_code", F.col("river_name").alias("station_name"), "river_name", "wqi",
-            "river_status", F.lit("historical").alias("data_type"), F.lit(False).alias("is_predicted"),
-            F.col("event_id").alias("_ord"), F.col("event_id").alias("id"),
-        )
-        upsert_table(rows, records_path, by_order=True)
-        if alerts_path:
-            newest = latest_per_station(rows.withColumn("id", F.col("_ord")))
-            alerts = newest.filter(F.col("river_status").isin(SLIGHT, POLLUTED)).select(
-                "station_code", "date", "wqi", "river_status", severity_of(F.col("river_status")).alias("severity"),
-                reading_alert_message().alias("message"), F.lit(batch_id).cast("long").alias("batch_id"),
+        try:
+            rows = batch.filter(F.col("date") <= F.lit(date(cutoff_year, 12, 31))).select(
+                "date", "station_code", F.col("river_name").alias("station_name"), "river_name", "wqi",
+                "river_status", F.lit("historical").alias("data_type"), F.lit(False).alias("is_predicted"),
+                F.col("event_id").alias("_ord"), F.col("event_id").alias("id"),
             )
-            alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(alerts_path)
-        batch.unpersist()
+            upsert_table(rows, records_path, by_order=True)
+            if alerts_path:
+                newest = latest_per_station(rows.withColumn("id", F.col("_ord")))
+                alerts = newest.filter(F.col("river_status").isin(SLIGHT, POLLUTED)).select(
+                    "station_code", "date", "wqi", "river_status", severity_of(F.col("river_status")).alias("severity"),
+                    reading_alert_message().alias("message"), F.lit(batch_id).cast("long").alias("batch_id"),
+                )
+                alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(alerts_path)
+        finally:
+            batch.unpersist()
 
     return run
 
