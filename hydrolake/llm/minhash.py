@@ -48,8 +48,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: First rank interval, as a power of two; each later one ends at twice the rank.
 FIRST = -6
-#: Share of equal coordinates below which a pair is not verified: six standard deviations under 0.8.
-PROMISING = 0.5
+#: Share of equal coordinates below which a pair is not verified; at similarity 0.8 that happens with probability 2e-5.
+PROMISING = 0.6
 #: Classes in a block of the last comparison.
 BLOCK = 256
 
@@ -205,14 +205,13 @@ def promising(pairs: DataFrame, classes: DataFrame, least: float, k: int) -> Dat
 def block_links(members: DataFrame, width: int, least: float, bands: int, rows: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b, similarity) between members of one bucket that are in different components.
 
-    ``members``: key, digest, component, signature, text. A bucket is cut into
+    ``members``: key, n (rows of the key), band, digest, component, signature, text. A bucket is cut into
     blocks by a hash; each pair of blocks is one task's work, so no bucket is
     ever in one place, and only links leave it. A pair that shares several
     buckets is looked at in that of its first common band, by signature and
     then by text, unless links found before already connect it.
     """
-    sizes = materialize(members.groupBy("key").agg(F.count("*").alias("n")), "split-sizes")
-    dealt = members.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    dealt = members.withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     copies = dealt.select("key", "band", "digest", "component", "signature", "text", "part", other)
@@ -258,8 +257,8 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row per document: ``doc_id``, ``class_id`` (the smallest doc_id of its group; its own for texts without
-    words) and ``n_copies`` (documents with exactly its text)."""
+    """One row per document: ``doc_id`` and ``class_id`` (the smallest doc_id of its group; its own for texts without
+    words)."""
     k = bands * rows
     base = materialize(signed(docs, width, bands, rows), "signatures")
     ids = base.select("doc_id", "digest", F.col("signature").isNull().alias("blank")).distinct()
@@ -283,19 +282,28 @@ def near_duplicates(
     found = components(links, "a", "b")
     rest = buckets.join(heads, "key").where("digest != head").join(found.withColumnRenamed("node", "digest"), "digest", "left")
     rest = rest.select("key", "band", "digest", F.coalesce("component", "digest").alias("component"))
-    apart = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    apart = materialize(apart, "split-buckets")
-    signed_texts = classes.select("digest", "signature").join(texts, "digest")
-    members = materialize(rest.join(apart, "key").join(signed_texts, "digest"), "split-members")
+    apart = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high")
+    apart = materialize(apart.select("key", "n"), "split-buckets")
+    members = rest.join(apart, "key").join(classes.select("digest", "signature").join(texts, "digest"), "digest")
     more = materialize(block_links(members, width, least, bands, rows), "links")
-    group = components(links.unionByName(more), "a", "b")
+    group = joined_components(found, more)
     named = ids.join(group.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    named = materialize(named, "named")
-    # The smallest id of each component; counts of copies by text.
     smallest = materialize(named.groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")
-    copies = materialize(named.groupBy("digest").agg(F.count("*").alias("n_copies")), "copies")
-    joined = named.join(smallest, "component").join(copies, "digest")
-    return joined.select("doc_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("smallest")).alias("class_id"), "n_copies")
+    joined = named.join(smallest, "component")
+    return joined.select("doc_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("smallest")).alias("class_id"))
+
+
+def joined_components(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b), which are few: a graph of components only."""
+    if not more.limit(1).count():
+        return found
+    ends = [found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b")]
+    links = more.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    links = links.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    merged = components(links, "a", "b").select(F.col("node").alias("_from"), F.col("component").alias("_root"))
+    # Every node of a new link has a row, those that had no link before too.
+    nodes = found.unionByName(merged.select(F.col("_from").alias("node"), F.col("_from").alias("component"))).distinct()
+    return nodes.join(merged, F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_root", "component").alias("component")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
