@@ -45,7 +45,7 @@ from hydrolake.sources.shared import materialize
 #: Longest n-grams, base of the count levels, weight of the shorter history.
 ORDER, LEVEL_BASE, PRIOR = 2, 2.0, 8.0
 #: Bits of the filter for each n-gram and level, hash functions, and the most bytes that it takes.
-BITS_PER_KEY, HASHES, MOST_BYTES = 8, 4, 96 << 20
+BITS_PER_KEY, HASHES, MOST_BYTES = 8, 3, 64 << 20
 #: Bits of a block, which holds all bits of an n-gram's level, and parts of the filter, built apart (powers of two).
 BLOCK_BITS, PARTS = 1 << 13, 512
 #: Words whose exact counts are broadcast; the others' are joined.
