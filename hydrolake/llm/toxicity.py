@@ -5,14 +5,14 @@ ASCII white space as one space). Every feature has the ratio
 r = log((p + a) / P) - log((q + a) / Q): p and q count the toxic and the other
 training texts that hold it, over all labelled training rows, in Spark. A
 logistic regression learns one weight per feature on x * r, on a bounded sample
-of labelled rows with both classes equally heavy. Toxic marks are rare strings, so a
-text is judged by the sum over its features; features whose ratio is within
-the noise of their count have r = 0.
+of labelled rows in which each class has its share of all. Toxic marks are rare strings, so a
+text is judged by the sum over its features; features whose ratio is small or
+within the noise of their count have r = 0.
 
 Inputs of a score are the text alone. Null texts count as empty and score like
 any text without features. Rows that repeat are scored each. Labels that are
 null are left out; a doc_id labelled twice trains twice. With no labelled row,
-or one class only, every score is that class's share (0.5 without rows). An
+or one class only, every score is the share of toxic rows (0 without rows). An
 empty table gives an empty table. Columns named like a result are replaced;
 others pass through.
 """
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hydrolake.llm.filters import hash_filter, maybe_in
 from hydrolake.llm.tokens import BASE, U64, mix, slices
 from hydrolake.sources.shared import materialize
 
@@ -36,8 +37,9 @@ from hydrolake.sources.shared import materialize
 ORDERS, BUCKETS = (4, 5), 1 << 20
 #: Rows that the logistic regression sees at most, of each class.
 SAMPLE = 3000
-#: Smoothing of the counts, and the number of standard errors that a ratio must exceed.
-SMOOTH, NOISE = 0.5, 4.0
+#: Smoothing of the counts, the number of standard errors by which the classes must differ, and the least ratio: with
+#: many rows even the slightest difference is beyond noise, but only strong ones tell a class.
+SMOOTH, NOISE, RATIO = 0.5, 4.0, 1.0
 #: Strength of the squared penalty, and Newton steps at most.
 PENALTY, STEPS = 1.0, 20
 
@@ -130,22 +132,25 @@ def ratio_counts(rows: DataFrame, orders: tuple[int, ...], buckets: int) -> tupl
     return counts, totals
 
 
-def log_count_ratios(counts: np.ndarray, totals: np.ndarray, smooth: float, noise: float) -> np.ndarray:
+def log_count_ratios(counts: np.ndarray, totals: np.ndarray, smooth: float, noise: float, least: float = RATIO) -> np.ndarray:
+    """The ratio of each feature, 0 where it is below ``least`` or the two classes' shares differ by less than
+    ``noise`` standard errors."""
     q, p = counts
     r = np.log((p + smooth) / (totals[1] + 2 * smooth)) - np.log((q + smooth) / (totals[0] + 2 * smooth))
-    spread = np.sqrt(1 / (p + smooth) + 1 / (q + smooth))
-    return np.where((p + q > 0) & (np.abs(r) > noise * spread), r, 0.0)
+    m = (p + q) / totals.sum()
+    error = np.sqrt(m * (1 - m) * (1 / totals).sum())
+    return np.where((np.abs(p / totals[1] - q / totals[0]) > noise * error) & (np.abs(r) >= least), r, 0.0)
 
 
-def fit_logistic(ids: np.ndarray, owners: np.ndarray, y: np.ndarray, r: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights (on features scaled by ``r``) and bias of a logistic regression in which both classes weigh the same
-    and ``penalty`` times half the squared weights is added, by Newton steps with conjugate gradients."""
+def fit_logistic(ids: np.ndarray, owners: np.ndarray, y: np.ndarray, r: np.ndarray, share: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights (on features scaled by ``r``) and bias of a logistic regression in which the toxic rows have the weight
+    ``share`` of all, and ``penalty`` times half the squared weights is added, by Newton steps with conjugate gradients."""
     used = r[ids] != 0
     ids, owners = ids[used], owners[used]
     kept, ids = np.unique(ids, return_inverse=True)
     x = r[kept][ids]
     n, size = len(y), len(kept)
-    heavy = np.where(y == 1, 0.5 * n / max(1, (y == 1).sum()), 0.5 * n / max(1, (y == 0).sum()))
+    heavy = np.where(y == 1, share * n / max(1, (y == 1).sum()), (1 - share) * n / max(1, (y == 0).sum()))
 
     def forward(v):  # the last entry is the bias
         return v[-1] + np.bincount(owners, x * v[ids], n)
@@ -198,15 +203,17 @@ def train(
 
     The sample holds, of each class, the ``sample`` rows with the smallest hash of id and text.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("long").alias("label")).where("label IN (0, 1)")
+    known = labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_id"), F.col(label).cast("long").alias("label")).where("label IN (0, 1)")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = (rows if only is None else rows.where(only)).join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    rows = (rows if only is None else rows.where(only)).withColumn("_h", F.xxhash64("doc_id"))
+    # Only texts that pass a bitmap of the labelled ids are sent to meet their labels.
+    rows = maybe_in(rows, "_h", hash_filter(known.select(F.xxhash64("_id").alias("_h")), "_h"))
+    rows = rows.join(known, F.col("doc_id") == F.col("_id"))
+    rows = materialize(rows.select("text", "label", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("order")), "labelled")
     counts, totals = ratio_counts(rows.select("text", "label"), orders, buckets)
     if totals.min() == 0:
-        share = totals[1] / totals.sum() if totals.sum() else 0.5
+        share = totals[1] / totals.sum() if totals.sum() else 0.0
         return Model(np.zeros(buckets), float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))), orders)
-    order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("order")
-    rows = rows.select("text", "label", order)
     # Twice the share that the sample needs: few texts are read for it, and no sort sees them.
     share = [min(1.0, 2 * sample / totals[y]) for y in (0, 1)]
     some = rows.where(F.col("order") < F.when(F.col("label") == 1, int(share[1] * (1 << 40))).otherwise(int(share[0] * (1 << 40))))
@@ -231,7 +238,7 @@ def train(
     lists = [np.frombuffer(t["ids"], "<i4") for t in taken]
     ids = np.concatenate(lists).astype(np.int64)
     owners = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    weights, bias = fit_logistic(ids, owners, y, shared.value, PENALTY, STEPS)
+    weights, bias = fit_logistic(ids, owners, y, shared.value, totals[1] / totals.sum(), PENALTY, STEPS)
     return Model(weights, bias, orders)
 
 
