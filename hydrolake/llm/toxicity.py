@@ -208,7 +208,8 @@ def train(
     rows = (rows if only is None else rows.where(only)).withColumn("_h", F.xxhash64("doc_id"))
     # Only texts that pass a bitmap of the labelled ids are sent to meet their labels.
     rows = maybe_in(rows, "_h", hash_filter(known.select(F.xxhash64("_id").alias("_h")), "_h"))
-    rows = rows.join(known, F.col("doc_id") == F.col("_id"))
+    # A merge join at every size: small label tables would be broadcast, large ones not, and the cost would jump between.
+    rows = rows.join(known.hint("merge"), F.col("doc_id") == F.col("_id"))
     rows = materialize(rows.select("text", "label", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("order")), "labelled")
     counts, totals = ratio_counts(rows.select("text", "label"), orders, buckets)
     if totals.min() == 0:
