@@ -6,7 +6,8 @@ the n-gram once for each level up to its own. A count is read by probing level
 after level until one is absent, so a false positive can only raise it, and a
 rise by d levels needs d false positives in a row. An n-gram is never probed
 beyond the level that its last word and its history have, since it cannot be
-more frequent than they are.
+more frequent than they are; whether a probe is left out or its answer cut
+comes to the same.
 
 With c(.) the count in the middle of the level read, N tokens and V distinct
 ones, the probabilities are smoothed with Dirichlet priors:
@@ -15,9 +16,11 @@ ones, the probabilities are smoothed with Dirichlet priors:
 
 Every training n-gram is counted, by a shuffle of (hash, count) rows that tasks
 have combined before; what is gathered grows with the corpus. The filter has
-``BITS_PER_KEY`` bits for each (n-gram, level), up to ``MOST_BYTES``: the bound
-of the broadcast. Beyond it nothing is left out, but probes for absent n-grams
-succeed more often; the share of set bits is reported with the model.
+``BITS_PER_KEY`` bits for each (n-gram, level), however many there are, and
+stays in its parts: it is neither broadcast nor gathered. Texts are read in
+groups of about ``GROUP`` tokens. Each group sends its distinct n-grams to the
+parts that may hold them, and the levels come back to the group's texts, so a
+task holds one part of the filter or a few groups, not the whole.
 
 Tokens are words split at ASCII spaces, A-Z in lower case, then one end token
 per text. Words are told apart by a 64-bit hash. Null texts count as empty:
@@ -30,11 +33,12 @@ replaced; other columns pass through.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,14 +48,16 @@ from hydrolake.sources.shared import materialize
 
 #: Longest n-grams, base of the count levels, weight of the shorter history.
 ORDER, LEVEL_BASE, PRIOR = 2, 2.0, 8.0
-#: Bits of the filter for each n-gram and level, hash functions, and the most bytes that it takes.
-BITS_PER_KEY, HASHES, MOST_BYTES = 8, 3, 64 << 20
+#: Bits of the filter for each n-gram and level, and hash functions.
+BITS_PER_KEY, HASHES = 8, 3
 #: Bits of a block, which holds all bits of an n-gram's level, and parts of the filter, built apart (powers of two).
 BLOCK_BITS, PARTS = 1 << 13, 512
+#: Bits that tell n-grams apart in the filter: with 5e9 n-grams, one absent n-gram in a million is taken for another.
+ID_BITS = 52
 #: Words whose exact counts are broadcast; the others' are joined.
 FREQUENT = 500_000
-#: Partial counts that a task holds at a time.
-HELD = 4_000_000
+#: Partial counts that a task holds at a time, tokens of the texts whose levels are read together, and probes made at a time.
+HELD, GROUP, PROBED = 4_000_000, 1 << 20, 1 << 19
 END = U64(0xE0F5_0000_0000_0001)
 
 
@@ -115,18 +121,32 @@ def unigram_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key bigint, count bigint").groupBy("key").agg(F.sum("count").alias("count"))
 
 
-def part_of(key: np.ndarray) -> np.ndarray:
+def ident(key: np.ndarray) -> np.ndarray:
+    """The ``ID_BITS`` bits by which the filter knows an n-gram; the highest tell its part."""
+    return mix(key) >> U64(64 - ID_BITS)
+
+
+def part_of(ids: np.ndarray) -> np.ndarray:
     """The part of the filter that holds all levels of an n-gram."""
-    return (mix(key) >> U64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+    return (ids >> U64(ID_BITS - PARTS.bit_length() + 1)).astype(np.int64)
+
+
+def planes(ids: np.ndarray) -> bytes:
+    """Ascending numbers as differences, bytes of one rank together, so that what is zero compresses."""
+    return np.diff(ids, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=U64)
 
 
 def level_of(count: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(count) / math.log(base) + 1e-9).astype(np.int64)
 
 
-def places(key: np.ndarray, level: np.ndarray, blocks: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+def places(ids: np.ndarray, level: np.ndarray, blocks: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     """Block of n-grams at levels within their part, and the bits in it (one row per hash function)."""
-    h = mix(key ^ mix(level.astype(U64)))
+    h = mix(ids ^ mix(level.astype(U64)))
     block = ((h >> U64(32)) * U64(blocks) >> U64(32)).astype(np.int64)
     g = mix(h + U64(BASE))
     step = (g >> U64(32)) | U64(1)
@@ -134,15 +154,15 @@ def places(key: np.ndarray, level: np.ndarray, blocks: int, hashes: int) -> tupl
     return block, bits.astype(np.int64)
 
 
-def filled(keys: np.ndarray, counts: np.ndarray, blocks: int, hashes: int, base: float) -> np.ndarray:
+def filled(ids: np.ndarray, counts: np.ndarray, blocks: int, hashes: int, base: float) -> np.ndarray:
     """The bytes of one part from its n-grams' whole counts."""
     level = level_of(counts, base)
     out = np.zeros(blocks * BLOCK_BITS, bool)
-    for low in range(0, len(keys), 500_000):
+    for low in range(0, len(ids), 500_000):
         some = level[low : low + 500_000]
         at = np.repeat(np.arange(len(some)), some)
         nth = np.arange(len(at)) - np.repeat(np.cumsum(some) - some, some) + 1
-        block, bit = places(keys[low + at], nth, blocks, hashes)
+        block, bit = places(ids[low + at], nth, blocks, hashes)
         for b in bit:
             out[block * BLOCK_BITS + b] = True
     return np.packbits(out, bitorder="little")
@@ -168,10 +188,14 @@ class Filter:
 
     def levels(self, key: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Level of each n-gram, 0 if absent, never above ``limit``."""
-        out, part = np.zeros(len(key), np.int64), part_of(key)
+        ids = ident(key)
+        return self.read(ids, part_of(ids), limit)
+
+    def read(self, ids: np.ndarray, part: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), np.int64)
         live, level = np.flatnonzero(limit >= 1), 1
         while len(live):
-            block, bit = places(key[live], np.full(len(live), level), self.blocks, self.hashes)
+            block, bit = places(ids[live], np.full(len(live), level), self.blocks, self.hashes)
             block += part[live] * self.blocks
             there = np.ones(len(live), bool)
             for b in bit:
@@ -188,12 +212,17 @@ class Filter:
         high = np.maximum(low, np.ceil(self.base**level - 1e-9) - 1)
         return np.where(level == 0, 0.0, (low + high) / 2)
 
-    def log10(self, token: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """log10 probability of each token given the tokens before it in its text."""
+    def log10(self, token: np.ndarray, doc: np.ndarray, read: Callable[[int], np.ndarray] | None = None) -> np.ndarray:
+        """log10 probability of each token given the tokens before it in its text; ``read(n)``, if given, has the levels,
+        without a limit, of the distinct tokens (1) or of all n-grams in their order."""
         if not self.n_tokens:
             return np.zeros(len(token))
+
+        def levels(n: int, key: np.ndarray, limit: np.ndarray) -> np.ndarray:
+            return np.minimum(read(n), limit) if read else self.levels(key, limit)
+
         distinct, at = np.unique(token, return_inverse=True)
-        own = self.levels(distinct, np.full(len(distinct), self.most[0]))[at]
+        own = levels(1, distinct, np.full(len(distinct), self.most[0]))[at]
         p = (self.middle(own) + 0.5) / (self.n_tokens + 0.5 * (self.n_words + 1))
         history, history_level = np.arange(len(token)), own  # level of the n-gram that ends at each token
         for n in range(2, self.order + 1):
@@ -201,7 +230,7 @@ class Filter:
             before = np.full(len(token), 0)
             before[1:] = history_level[:-1]
             limit = np.minimum(np.minimum(before[last], own[last]), self.most[n - 1])
-            level = self.levels(key, limit)
+            level = levels(n, key, limit)
             whole, part = self.middle(before[last]), np.minimum(self.middle(level), self.middle(before[last]))
             p[last] = (part + self.prior * p[last]) / (whole + self.prior)
             history_level = np.zeros(len(token), np.int64)
@@ -209,7 +238,15 @@ class Filter:
         return np.log10(p)
 
 
-def build(
+def by_part(ids: np.ndarray) -> tuple[pa.Array, pa.Array, list[tuple[int, int]]]:
+    """Ascending ids, one row for each part of the filter: the part, its ids in ``planes``, and where they stand."""
+    part = part_of(ids)
+    cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    ends = list(zip(cut[:-1], cut[1:]))
+    return pa.array([int(part[a]) for a, _ in ends], pa.int32()), pa.array([planes(ids[a:b]) for a, b in ends], pa.binary()), ends
+
+
+def filter_parts(
     unigrams: DataFrame,
     texts: DataFrame,
     order: int = ORDER,
@@ -217,34 +254,30 @@ def build(
     prior: float = PRIOR,
     bits_per_key: int = BITS_PER_KEY,
     hashes: int = HASHES,
-    most_bytes: int = MOST_BYTES,
-) -> Filter:
-    """The filter of all training texts; ``unigrams`` are their token counts (``key``, ``count``).
+    most_bytes: int | None = None,
+) -> tuple[Filter, DataFrame]:
+    """The filter of all training texts without its bits, and those by ``part`` as ``bytes`` (with ``n_set``, how many
+    are set); ``unigrams`` are the texts' token counts (``key``, ``count``).
 
     Tasks send their n-grams' partial counts packed by part of the filter; each
-    part sums them and sets its bits. The driver gathers the parts' bytes only.
+    part sums them and sets its bits. Only a caller that gives ``most_bytes`` has the filter kept below a size, at the
+    price of more absent n-grams that seem present.
     """
     stats = unigrams.agg(F.count("*").alias("words"), F.sum("count").alias("tokens")).head()
     n_tokens = int(stats["tokens"] or 0)
     # Room for every n-gram that occurs, were all of them different.
     wanted = (n_tokens * (order - 1) + stats["words"]) * bits_per_key
-    blocks = max(1, min(-(-wanted // (PARTS * BLOCK_BITS)), most_bytes * 8 // (PARTS * BLOCK_BITS)))
-
-    def packed(key: np.ndarray, count: np.ndarray, n: int) -> pa.RecordBatch:
-        part = part_of(key)
-        by_part = np.argsort(part, kind="stable")
-        part, key, count = part[by_part], key[by_part], count[by_part].astype("<u4" if count.max() < 2**32 else "<u8")
-        cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-        ends = list(zip(cut[:-1], cut[1:]))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([int(part[a]) for a, _ in ends], pa.int32()),
-                pa.array([n] * len(ends), pa.int32()),
-                pa.array([key[a:b].astype("<u8").tobytes() for a, b in ends], pa.binary()),
-                pa.array([count[a:b].tobytes() for a, b in ends], pa.binary()),
-            ],
-            names=["part", "n", "keys", "counts"],
-        )
+    blocks = max(1, -(-wanted // (PARTS * BLOCK_BITS)))
+    if most_bytes is not None:
+        blocks = max(1, min(blocks, most_bytes * 8 // (PARTS * BLOCK_BITS)))
+
+    def counted(key: np.ndarray, count: np.ndarray, n: int) -> pa.RecordBatch:
+        ids = ident(key)
+        order = np.argsort(ids)
+        part, keys, ends = by_part(ids[order])
+        count = count[order].astype("<u4" if count.max() < 2**32 else "<u8")
+        counts = pa.array([count[a:b].tobytes() for a, b in ends], pa.binary())
+        return pa.RecordBatch.from_arrays([part, pa.array([n] * len(ends), pa.int32()), keys, counts], names=["part", "n", "keys", "counts"])
 
     schema = "part int, n int, keys binary, counts binary"
 
@@ -252,14 +285,14 @@ def build(
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for key, count in partial_counts(batches, n):
                 if len(key):
-                    yield packed(key, count, n)
+                    yield counted(key, count, n)
 
         return texts.select("text").mapInArrow(run, schema)
 
     def repack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield packed(np.asarray(batch.column("key")).astype(U64), np.asarray(batch.column("count")), 1)
+                yield counted(np.asarray(batch.column("key")).astype(U64), np.asarray(batch.column("count")), 1)
 
     rows = unigrams.mapInArrow(repack, schema)
     for n in range(2, order + 1):
@@ -268,22 +301,95 @@ def build(
     def fill(key, table):
         keys, counts, most = [], [], {}
         for n, k, c in zip(*(table.column(x).to_pylist() for x in ("n", "keys", "counts"))):
-            k = np.frombuffer(k, "<u8")
+            k = from_planes(k)
             keys.append(k)
             counts.append(np.frombuffer(c, "<u4" if len(c) == 4 * len(k) else "<u8").astype(np.int64))
             most.setdefault(n, []).append(len(keys) - 1)
         top = {n: int(level_of(combined([keys[i] for i in at], [counts[i] for i in at])[1], base).max()) for n, at in most.items()}
         k, c = combined(keys, counts)
-        data = filled(k, c, blocks, hashes, base).tobytes()
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "most": pa.array([[top.get(n, 0) for n in range(1, order + 1)]], pa.list_(pa.int32())), "bytes": pa.array([data], pa.binary())})
+        bits = filled(k, c, blocks, hashes, base)
+        return pa.table(
+            {
+                "part": pa.array([key[0].as_py()], pa.int32()),
+                "most": pa.array([[top.get(n, 0) for n in range(1, order + 1)]], pa.list_(pa.int32())),
+                "n_set": pa.array([int(np.unpackbits(bits).sum())], pa.int64()),
+                "bytes": pa.array([bits.tobytes()], pa.binary()),
+            }
+        )
 
-    parts = materialize(rows.groupBy("part").applyInArrow(fill, "part int, most array<int>, bytes binary"), "filter")
-    bits = np.zeros(PARTS * blocks * BLOCK_BITS // 8, np.uint8)
-    size, most = blocks * BLOCK_BITS // 8, np.zeros(order, int)
-    for row in parts.toLocalIterator():  # most_bytes in all
-        bits[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bytes"], np.uint8)
+    parts = materialize(rows.groupBy("part").applyInArrow(fill, "part int, most array<int>, n_set bigint, bytes binary"), "filter")
+    most = np.zeros(order, int)
+    for row in parts.select("most").collect():  # one row per part
         most = np.maximum(most, row["most"])
-    return Filter(bits, blocks, hashes, base, n_tokens, int(stats["words"]), tuple(most.tolist()), order, prior)
+    return Filter(np.zeros(0, np.uint8), blocks, hashes, base, n_tokens, int(stats["words"]), tuple(most.tolist()), order, prior), parts
+
+
+def build(unigrams: DataFrame, texts: DataFrame, **options) -> Filter:
+    """The filter with its bits, gathered on the driver: for small models; see ``filter_parts``."""
+    model, parts = filter_parts(unigrams, texts, **options)
+    size = model.blocks * BLOCK_BITS // 8
+    bits = np.zeros(PARTS * size, np.uint8)
+    for row in parts.toLocalIterator():
+        bits[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bytes"], np.uint8)
+    return replace(model, bits=bits)
+
+
+def all_ids(token: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
+    """Ids of the distinct tokens and of the n-grams of each higher order, in their order."""
+    return [ident(np.unique(token)), *(ident(ngrams(token, doc, n)[0]) for n in range(2, order + 1))]
+
+
+def model_scores(texts: DataFrame, model: Filter, parts: DataFrame) -> DataFrame:
+    """``_row`` and ``score`` of texts (``_row``, ``_group``, ``text``), from the filter's parts."""
+    top = max(model.most)
+
+    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(group: int, ids: list[np.ndarray]) -> pa.RecordBatch:
+            part, keys, ends = by_part(np.unique(np.concatenate(ids)))
+            return pa.RecordBatch.from_arrays([part, keys, pa.array([group] * len(ends), pa.int64())], names=["part", "keys", "_group"])
+
+        group, ids = None, []
+        for batch in slices(batches, "text"):
+            groups = np.asarray(batch.column("_group"))
+            cut = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+            for a, b in zip(cut[:-1], cut[1:]):
+                if ids and group != groups[a]:
+                    yield sent(group, ids)
+                    ids = []
+                group = int(groups[a])
+                ids += all_ids(*tokens(encoded(batch.column("text").slice(a, b - a))), model.order)
+        if ids:
+            yield sent(group, ids)
+
+    def read(part: pa.Table, probes: pa.Table) -> pa.Table:
+        found: dict[int, list[np.ndarray]] = {}
+        for group, keys in zip(probes.column("_group").to_pylist(), probes.column("keys").to_pylist()):
+            found.setdefault(group, []).append(from_planes(keys))
+        # A group that two tasks have read sends its n-grams in two pieces.
+        asked = {g: k[0] if len(k) == 1 else np.unique(np.concatenate(k)) for g, k in found.items()}
+        out = {g: np.zeros(len(k), "<u2") for g, k in asked.items()}
+        if part.num_rows and asked:
+            own = replace(model, bits=np.frombuffer(part.column("bytes")[0].as_py(), np.uint8))
+            key, ends = np.concatenate(list(asked.values())), np.cumsum([len(k) for k in asked.values()])
+            pieces = [key[i : i + PROBED] for i in range(0, len(key), PROBED)]
+            level = np.concatenate([own.read(k, np.zeros(len(k), np.int64), np.full(len(k), top)) for k in pieces])
+            out = dict(zip(asked, (x.astype("<u2") for x in np.split(level, ends[:-1]))))
+        number = (probes if probes.num_rows else part).column("part")[0].as_py()
+        return pa.table({"_group": pa.array(out, pa.int64()), "part": pa.array([number] * len(out), pa.int32()), "levels": pa.array([x.tobytes() for x in out.values()], pa.binary())})
+
+    def score(docs: pa.Table, levels: pa.Table) -> pa.Table:
+        token, doc = tokens(encoded(docs.column("text").combine_chunks()))
+        ids = all_ids(token, doc, model.order)
+        _, at = np.unique(np.concatenate(ids), return_inverse=True)
+        # Parts in order, and the ids of each ascending: the order of all ids.
+        level = np.frombuffer(b"".join(levels.sort_by("part").column("levels").to_pylist()), "<u2").astype(np.int64)[at]
+        by_order = np.split(level, np.cumsum([len(x) for x in ids])[:-1])
+        value = model.log10(token, doc, lambda n: by_order[n - 1])
+        return pa.table({"_row": docs.column("_row"), "score": pa.array(np.bincount(doc, value, docs.num_rows))})
+
+    probes = texts.select("_group", "text").mapInArrow(probe, "part int, keys binary, _group bigint")
+    levels = parts.select("part", "bytes").groupBy("part").cogroup(probes.groupBy("part")).applyInArrow(read, "_group bigint, part int, levels binary")
+    return texts.groupBy("_group").cogroup(levels.groupBy("_group")).applyInArrow(score, "_row bigint, score double")
 
 
 def frequent_words(unigrams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -310,14 +416,14 @@ def scored(df: DataFrame, train: DataFrame, frequent: int = FREQUENT, **options)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = df.sparkSession
-    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_row", "_rare", "_times")
+    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_row", "_group", "_rare", "_times")
     df = df.drop(*new)
     unigrams = materialize(unigram_counts(train), "unigrams")
-    model = build(unigrams, train, **options)
+    model, parts = filter_parts(unigrams, train, **options)
     keys, counts = frequent_words(unigrams, frequent)
     all_words = len(keys) == model.n_words
-    shared = spark.sparkContext.broadcast((model, keys, counts))
-    own = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
+    shared = spark.sparkContext.broadcast((keys, counts))
+    own = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("_group", T.LongType())]
     lists = [T.StructField("_rare", T.ArrayType(T.LongType())), T.StructField("_times", T.ArrayType(T.LongType()))]
     target = T.StructType([df.schema[c] for c in df.columns] + own + lists)
     schema = to_arrow_schema(target)
@@ -325,12 +431,16 @@ def scored(df: DataFrame, train: DataFrame, frequent: int = FREQUENT, **options)
     floor = total + 0.5 * (distinct + 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, known, count = shared.value
+        known, count = shared.value
+        group, held = TaskContext.get().partitionId() << 33, 0
         for batch in slices(batches, "text"):
             texts = encoded(batch.column("text"))
             token, doc = tokens(texts)
             n = len(texts)
-            model_score = np.bincount(doc, lm.log10(token, doc), n)
+            # Texts of about GROUP tokens in all, in the task's order, make a group.
+            sizes = np.bincount(doc, minlength=n)
+            groups = group + (held + np.cumsum(sizes) - sizes) // GROUP
+            held += int(sizes.sum())
             at = np.minimum(np.searchsorted(known, token), max(0, len(known) - 1))
             is_known = known[at] == token if len(known) else np.zeros(len(token), bool)
             base = np.zeros(len(token))
@@ -349,30 +459,35 @@ def scored(df: DataFrame, train: DataFrame, frequent: int = FREQUENT, **options)
                 rare = pa.ListArray.from_arrays(offsets, pa.array(key[first].astype(np.int64)))
                 times = pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(first, len(key)))))
             own = [
-                pa.array(np.bincount(doc, minlength=n)),
+                pa.array(sizes),
                 pa.array(np.bincount(doc, is_known, n).astype(np.int64)),
                 pa.array(np.bincount(doc, base, n)),
-                pa.array(model_score),
+                pa.array(groups),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own, rare, times], schema=schema)
 
-    first = df.mapInArrow(run, target)
-    if all_words:
-        return first.select(*df.columns, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-    # The rows are stored with a number, by which the exact counts of their rare words come back.
-    stored = materialize(first.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    rare = stored.select("_row", F.inline(F.arrays_zip(F.col("_rare").alias("key"), F.col("_times").alias("times"))))
-    met = rare.join(unigrams, "key", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    sums = met.groupBy("_row").agg(
-        F.sum(F.col("times") * F.log10((F.col("count") + 0.5) / F.lit(floor))).alias("_base"),
-        F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("_known"),
-    )
-    out = stored.drop("_rare", "_times").join(sums, "_row", "left")
+    # The rows are stored with a number, by which the scores and the exact counts of their rare words come back.
+    stored = materialize(df.mapInArrow(run, target).withColumn("_row", F.monotonically_increasing_id()), "scored")
+    out = stored.drop("_rare", "_times", "_group")
+    if total:
+        out = out.join(model_scores(stored.select("_row", "_group", "text"), model, parts), "_row", "left")
+    else:
+        out = out.withColumn("score", F.lit(0.0))
+    extra = {"_base": F.lit(0.0), "_known": F.lit(0)}
+    if not all_words:
+        rare = stored.select("_row", F.inline(F.arrays_zip(F.col("_rare").alias("key"), F.col("_times").alias("times"))))
+        met = rare.join(unigrams, "key", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+        sums = met.groupBy("_row").agg(
+            F.sum(F.col("times") * F.log10((F.col("count") + 0.5) / F.lit(floor))).alias("_base"),
+            F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("_known"),
+        )
+        out = out.join(sums, "_row", "left")
+        extra = {"_base": F.coalesce("_base", F.lit(0.0)), "_known": F.coalesce("_known", F.lit(0))}
     return out.select(
         *df.columns,
         "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + extra["_known"]).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
+        (F.col("base_score") + extra["_base"]).alias("base_score"),
         "score",
     )

@@ -97,6 +97,28 @@ def test_small_filter_keeps_base_and_finite_scores(docs):
     assert all(math.isfinite(r["score"]) for r in out.collect())
 
 
+def test_filter_grows_with_the_training_texts(spark):
+    # Counts of a corpus of 160 million tokens, far more than 64 MB hold: only the sums decide the size.
+    counts = spark.createDataFrame([(1, 160_000_000)], "key bigint, count bigint")
+    model = ngram_lm.build(counts, spark.createDataFrame([], "text string"))
+    assert model.blocks * ngram_lm.BLOCK_BITS * ngram_lm.PARTS >= 160_000_000 * ngram_lm.BITS_PER_KEY
+
+
+def test_scores_from_parts_are_those_of_the_whole_filter(docs, monkeypatch):
+    rows = some_rows()
+    table = docs(rows)
+    learn = table.where("doc_id % 3 != 0").select("text")
+    for order in (2, 3):
+        model = ngram_lm.build(ngram_lm.unigram_counts(learn), learn, order=order)
+        for group in (50, ngram_lm.GROUP):
+            monkeypatch.setattr(ngram_lm, "GROUP", group)
+            got = ngram_lm.scored(table, learn, order=order).collect()
+            assert len(got) == len(rows)
+            for r in got:
+                want = model.log10(*ngram_lm.tokens([(r["text"] or "").encode()])).sum()
+                assert abs(r["score"] - want) <= 1e-9 * max(1, abs(want))
+
+
 def test_empty_tables(docs):
     table = docs(["a b", ""])
     out = ngram_lm.scored(table, table.select("text").limit(0)).collect()
