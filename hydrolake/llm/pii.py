@@ -94,7 +94,8 @@ def base_spans(text: str) -> list[Span]:
 # Stretches in which candidates lie.
 SEPARATOR = r"(?:[\x20()\[\].+/-]{1,3}|\x20?[(\[]?dot[)\]]?\x20?)"
 NUMBERS = re.compile(rf"[+(]{{0,2}}[0-9]+(?:{SEPARATOR}[0-9]+)*")
-TRIGGER = re.compile(r"@|[(\[]at[)\]]|\bdot\b")
+#: In every address that SPELT accepts; a plain "at" only where a label and a dot follow.
+TRIGGER = re.compile(r"@|[(\[]at[)\]]|\bdot\b|\x20at\x20[A-Za-z0-9-]{1,63}(?:\.|\x20?[(\[]dot[)\]])")
 SPELT = re.compile(
     r"[A-Za-z0-9._%+-]{1,64}(?:\x20?@\x20?|\x20?[(\[]at[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}"
     r"(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,6}"

@@ -137,6 +137,18 @@ def test_dynamic_programming_against_all_labellings():
         assert abs(chance[x] - sum(np.exp(value(v)) for v in every if x in v) / z) < 1e-9
 
 
+def test_every_way_to_write_an_address_has_a_candidate():
+    forms = set()
+    for seed in range(300):
+        new, good = pii.rewritten("john.smith@example.com", pii.EMAIL, random.Random(seed))[0]
+        forms.add(new)
+        text = "x" * 200 + f" write to {new} today " + "x" * 200
+        at = text.index(new)
+        spans = {(s.spans[i][0], s.spans[j - 1][1]) for s in pii.stretches(text) for i, j, k, _ in s.segments if k == pii.EMAIL}
+        assert good and (at, at + len(new)) in spans, new
+    assert len(forms) == 7 and "john.smith at example.com" in forms
+
+
 def test_odd_rows_and_clashing_names(docs, field, texts):
     rows = [None, "", texts[0], texts[0], "1 " * 20_000 + "é a@b.co", "é😀 a@b.co"]
     out = pii.find(docs(rows).withColumnRenamed("lang", "spans"), field)
