@@ -22,6 +22,7 @@ others pass through.
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydrolake.llm.tokens import slices
+from hydrolake.sources.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -375,14 +377,29 @@ def examples_of(texts: Iterable[str], most: int = STRETCHES) -> list[tuple[Stret
     return out[:most]
 
 
+#: What a neighbourhood holds, by pattern; the first that fits counts.
+SORTS = (r"@", r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]", r"\+[0-9]", r"[0-9]{3}")
+NEAR = r"((?s).{0,60}(?:[0-9]{3}|@|[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]).{0,80})"
+
+
+def neighbourhoods(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
+    """At most ``sample`` different neighbourhoods of digits, dotted numbers or ``@`` from about ``20 * sample``
+    different texts, those of smallest hash: four a text at most, the sorts in turn as far as each goes."""
+    text_hash = F.xxhash64("text")
+    n = docs.agg(F.approx_count_distinct(text_hash, 0.02)).head()[0]
+    chosen = docs.select("text").where(F.pmod(text_hash, F.lit(1 << 40)) < int(min(1.0, 20 * sample / max(1, n)) * (1 << 40)))
+    all_near = F.array_distinct(F.regexp_extract_all("text", F.lit(NEAR), F.lit(1)))
+    by_hash = F.array_sort(F.transform(all_near, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("text"))))
+    sort = F.coalesce(*[F.when(F.col("near.text").rlike(p), k) for k, p in enumerate(SORTS)], F.lit(len(SORTS)))
+    near = chosen.select(F.explode(F.slice(by_hash, 1, 4)).alias("near")).select("near.h", "near.text", sort.alias("sort")).distinct()
+    near = materialize(near, "neighbourhoods")
+    found = [[r["text"] for r in near.where(F.col("sort") == k).orderBy("h", "text").limit(sample).collect()] for k in range(len(SORTS) + 1)]
+    return [x for turn in itertools.zip_longest(*found) for x in turn if x is not None][:sample]
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field learnt from at most ``sample`` neighbourhoods of digits or ``@`` of about ``20 * sample`` documents,
-    those of smallest text hash."""
-    n = docs.count()
-    chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(min(1.0, 20 * sample / max(1, n)) * (1 << 40)))
-    near = chosen.where(F.col("text").rlike("[0-9]{3}|@")).select(F.explode(F.slice(F.regexp_extract_all("text", F.lit(r"((?s).{0,60}(?:[0-9]{3}|@).{0,80})"), F.lit(1)), 1, 4)).alias("text"))
-    found = near.orderBy(F.xxhash64("text"), "text").limit(sample).collect()
-    return learn(examples_of(r["text"] for r in found))
+    """A field learnt from the ``neighbourhoods`` of a sample of the texts."""
+    return learn(examples_of(neighbourhoods(docs, sample)))
 
 
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:

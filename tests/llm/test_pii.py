@@ -159,6 +159,17 @@ def test_odd_rows_and_clashing_names(docs, field, texts):
     assert pii.find(docs(["x"]).limit(0), field).collect() == []
 
 
+def test_sample_takes_copies_once_and_every_sort(docs):
+    rows = ["copied text, call 555 1234 now"] * 300
+    rows += [f"own {i}, mail u{i}@example.com" for i in range(30)] + [f"host 10.0.{i % 9}.{i} up" for i in range(30)] + [f"call +1 202 555 01{i}" for i in range(10, 40)]
+    rows.append(" ".join(f"number {i} " + "word " * 40 for i in range(100, 120)) + "mail far@example.com")
+    got = pii.neighbourhoods(docs(rows), sample=24)
+    assert len(got) == len(set(got)) == 24
+    for sign in ("@", "10.0.", "+1 202"):
+        assert sum(sign in x for x in got) >= 5, sign
+    assert sum("copied" in x for x in got) <= 1
+
+
 def test_training_on_nothing(docs):
     assert pii.train(docs(["no data here", None])).weights == {}
     assert pii.train(docs(["x"]).limit(0)).weights == {}
