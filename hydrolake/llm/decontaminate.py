@@ -46,6 +46,11 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def word_key(words: str) -> Column:
+    """Tells rows of the same id apart by their words."""
+    return F.xxhash64(words)
+
+
 def seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """Rows (other columns, ``_words``, ``_at``, ``_seed``): the hash of each mask at each place where it fits."""
     shortest = min(map(len, masks))
@@ -99,11 +104,13 @@ def contaminated(
     if size <= broadcast_bytes:
         hits = places.join(F.broadcast(known), "_seed")
     else:
-        thin = maybe_in(places.drop("_words"), "_seed", hash_filter(known, "_seed"))
-        met = thin.join(known.drop("_item"), "_seed")
-        hits = met.join(own.withColumnRenamed("doc_id", "_own"), met["doc_id"].eqNullSafe(F.col("_own"))).drop("_own")
-        own_items = items.withColumnsRenamed({"item_id": "_its", "_words": "_item"})
-        hits = hits.join(own_items, hits["item_id"].eqNullSafe(F.col("_its"))).drop("_its")
+        # Rows of one id with different words meet their own words only; a row that repeats counts each time, as above.
+        thin = maybe_in(places.withColumn("_doc", word_key("_words")).drop("_words"), "_seed", hash_filter(known, "_seed"))
+        met = thin.join(known.withColumn("_its", word_key("_item")).drop("_item"), "_seed")
+        texts = own.select(F.col("doc_id").alias("_own"), word_key("_words").alias("_own_doc"), "_words").distinct()
+        hits = met.join(texts, met["doc_id"].eqNullSafe(F.col("_own")) & (met["_doc"] == F.col("_own_doc"))).drop("_own", "_own_doc", "_doc")
+        own_items = items.select(F.col("item_id").alias("_own"), word_key("_words").alias("_own_its"), F.col("_words").alias("_item"))
+        hits = hits.join(own_items, hits["item_id"].eqNullSafe(F.col("_own")) & (hits["_its"] == F.col("_own_its"))).drop("_own", "_own_its", "_its")
     need = F.ceil(F.least(F.lit(width), F.size("_item")) * least - 1e-9)
     best = agreement(F.col("_words"), F.col("_item"), F.col("_at"), F.col("_item_at"), width, reach)
     # Behind inline(), the check stays above the join; as its condition it would have every place write the words out.

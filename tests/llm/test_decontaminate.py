@@ -40,6 +40,16 @@ def test_leaks_are_found_and_nothing_else(spark, docs, room):
     assert all(100 <= d < 200 and d % 10 == 1 for d, _ in got - leaks)
 
 
+def test_repeated_ids_give_the_same_on_both_paths(spark, docs):
+    rng = random.Random(4)
+    item, other = (" ".join(words_of(rng, 20)) for _ in range(2))
+    long = " ".join(words_of(rng, 80))
+    table = docs([(1, f"{long} {item}"), (1, f"{long} {item}"), (2, f"{long} {item}"), (2, "short one"), (2, f"{other} x"), (None, item), (None, f"y {other}")])
+    bench = spark.createDataFrame([(7, item), (7, other), (7, "a b c d e f"), (None, other)], "item_id bigint, text string")
+    near, far = (sorted(map(tuple, D.contaminated(table, bench, broadcast_bytes=room).collect()), key=str) for room in (D.BROADCAST_BYTES, 0))
+    assert near == far and len(near) >= 4
+
+
 def test_decontaminate_keeps_clean_documents(spark, docs):
     table, bench, leaks, rows = fixture(spark, docs)
     kept = {r["doc_id"] for r in D.decontaminate(table, bench).collect()}
