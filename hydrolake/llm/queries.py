@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm import ann, bpe, chat, decontaminate, lines, minhash, ngram_lm, pii, sql, suffixes, toxicity
+from hydrolake.llm import ann, bpe, chat, decontaminate, lines, minhash, ngram_lm, periods, pii, sql, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,35 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+#: Words of the texts that the query on periodic runs reads.
+WORD = r"[^\\x20\\x09-\\x0D]+"
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which those with crc32(doc_id) divisible by ten repeat a stretch of their words up to their end."""
+    hashed = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string")))
+    cut = hashed.withColumn("words", F.expr(f"CASE WHEN h % 10 = 0 THEN regexp_extract_all(coalesce(text, ''), '{WORD}', 0) END"))
+    placed = cut.withColumns({"n": F.expr("CASE WHEN size(words) > 0 THEN size(words) END"), "g": F.expr("h div 10")})
+    placed = placed.withColumns({"a": F.expr("g % n"), "p": F.expr("1 + (n - g % n) div (3 + g % 8)")})
+    again = F.expr("array_join(transform(words, (w, i) -> CASE WHEN i < a THEN w ELSE words[int(a + (i - a) % p)] END), ' ')")
+    return placed.select("doc_id", F.when(F.col("n").isNull(), F.col("text")).otherwise(again).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periods.collapse(docs).select("doc_id", "runs", "collapsed")
+    best = "array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))"
+    listed = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')"
+    return found.withColumn("best", F.expr(best)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.expr("-best.start").alias("start"),
+        F.expr("best.length").alias("length"),
+        F.expr("-best.period").alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.expr(listed), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
