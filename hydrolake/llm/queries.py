@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm import ann, bpe, chat, decontaminate, lines, minhash, ngram_lm, periods, pii, sql, suffixes, toxicity
+from hydrolake.llm import ann, bpe, chat, decontaminate, lines, minhash, ngram_lm, periods, pii, ranking, sql, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.expr(listed), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_nra_search", sql.RANKING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
