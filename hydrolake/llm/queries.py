@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm import ann, bpe, chat, decontaminate, lines, minhash, ngram_lm, periods, pii, ranking, sql, suffixes, toxicity
+from hydrolake.llm import ann, bpe, chat, decontaminate, licenses, lines, minhash, ngram_lm, periods, pii, ranking, sql, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,23 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_nra_search", sql.RANKING_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_license_scan")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.corpus_index(docs)).withColumn("base", F.filter("places", lambda p: p["base"]))
+
+    def labels(places: str):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.start").alias("first_word"),
+        F.array_max("base.start").alias("last_word"),
+        labels("base").alias("base_labels"),
+        labels("places").alias("labels"),
+        F.coalesce(F.array_max("places.score"), F.lit(0.0)).alias("score"),
+    )
