@@ -1,7 +1,11 @@
 """The same events in different batches must give the same tables."""
 
+import datetime
+import random
+
 from hydrolake import adapters as A
 from hydrolake.sources.shared import new_path
+from hydrolake.streaming import newest
 from hydrolake.streaming import readings as S
 
 
@@ -28,3 +32,59 @@ def test_replayed_batch_changes_nothing(spark, sf):
     first = sorted(tuple(r) for r in spark.read.parquet(records).collect()), spark.read.parquet(alerts).count()
     run(batch, 0)
     assert first == (sorted(tuple(r) for r in spark.read.parquet(records).collect()), spark.read.parquet(alerts).count())
+
+
+EVENTS = "station_code string, date date, event_id bigint, wqi double, ts timestamp"
+
+
+def event(station, day, number, wqi=None, hour=6):
+    at = datetime.datetime(2000, 1, day, hour, 30, 1, 123456)
+    return (station, at.date(), number, float(number) if wqi is None else wqi, at)
+
+
+def newest_of(spark, batches, delay="2 days", checkpoint=None, folder=None, out=None):
+    """Runs the batches as one file each, in their order, and returns (station, day, event, index, time)."""
+    folder, out = folder or new_path(spark, "events"), out or new_path(spark, "newest")
+    for rows in batches:
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.createDataFrame([], EVENTS).schema
+    stream = newest.newest_per_day(S.read_stream(spark, folder, schema, files_per_batch=1), delay)
+    rows = S.run_available(stream, out, checkpoint).collect()
+    return sorted((r["station_code"], r["date"].day, r["event_id"], r["wqi"], r["ts"].microsecond) for r in rows)
+
+
+def test_newest_wins_in_any_batching(spark):
+    rng = random.Random(1)
+    events = [event(f"S0{rng.randrange(1, 4)}", 1 + i // 40, i, hour=rng.randrange(24)) for i in range(400)]
+    events = [e for k in range(0, 400, 40) for e in rng.sample(events[k : k + 40], 40)]
+    want = {}
+    for e in events:
+        if e[1].day < 10 - 2:
+            key = (e[0], e[1].day)
+            want[key] = max(want.get(key, (-1,)), (e[2], e[3], 123456))
+    want = sorted((*k, *v) for k, v in want.items())
+    for n in (1, 3, 7):
+        cut = [events[i * 400 // n : (i + 1) * 400 // n] for i in range(n)]
+        assert newest_of(spark, cut) == want
+
+
+def test_late_days_ties_nulls_and_restarts(spark):
+    first = [event("S01", 1, 5), event("S01", 1, 3), event("S02", 1, 9, wqi=1.0), event("S02", 1, 9, wqi=2.0), event(None, 1, 1), event("S03", 1, None, wqi=0.0)]
+    folder, out, checkpoint = (new_path(spark, x) for x in ("events", "newest", "checkpoint"))
+    args = {"folder": folder, "out": out, "checkpoint": checkpoint}
+    assert newest_of(spark, [first], **args) == []  # no day is closed yet
+    # An older event does not replace, a newer one of the same open day does; then day 9 closes them.
+    assert newest_of(spark, [[event("S01", 1, 4), event("S02", 1, 10, wqi=7.5)], [event("S01", 9, 20)]], **args) == [
+        ("S01", 1, 5, 5.0, 123456),
+        ("S02", 1, 10, 7.5, 123456),
+    ]
+    # Day 1 is closed: a newer event of it changes nothing; day 8 is still open.
+    assert len(newest_of(spark, [[event("S01", 1, 99), event("S01", 8, 98), event("S01", 15, 100)]], **args)) == 4
+    assert newest_of(spark, [[]], **args)[-3:] == [("S01", 8, 98, 98.0, 123456), ("S01", 9, 20, 20.0, 123456), ("S02", 1, 10, 7.5, 123456)]
+
+
+def test_newest_on_a_table(spark):
+    rows = spark.createDataFrame([event("S01", 1, i) for i in range(30_000)] + [event("S02", 2, 1)], EVENTS)
+    got = newest.newest_per_day(rows)
+    assert got.columns == rows.columns and got.dtypes == rows.dtypes
+    assert sorted((r["station_code"], r["event_id"]) for r in got.collect()) == [("S01", 29_999), ("S02", 1)]

@@ -66,7 +66,7 @@ def union_of_sources(spark, sf):
 
 @query(
     "a02_first_listed_source_wins",
-    f"""SELECT station_code, count(*) AS n, round(sum(cod), 4) AS sum_cod FROM (SELECT station_code, date, CASE WHEN late > 0 THEN late_cod ELSE early_cod END AS cod FROM
+    f"""SELECT station_code, count(*) AS n, CAST(sum(round(cod * 10000)) AS BIGINT) AS sum_cod FROM (SELECT station_code, date, CASE WHEN late > 0 THEN late_cod ELSE early_cod END AS cod FROM
       (SELECT station_code, date, count(*) FILTER (l_linenumber > 3) AS late, arg_min(cod, ({ORD})) FILTER (l_linenumber > 3) AS late_cod,
         arg_min(cod, ({ORD})) FILTER (l_linenumber <= 3) AS early_cod FROM measurements GROUP BY ALL)) GROUP BY 1""",
 )
@@ -76,7 +76,8 @@ def first_listed_source_wins(spark, sf):
     late, early = (cleaning.dedup_first(rows.filter(c)) for c in ("_ord.l_linenumber > 3", "_ord.l_linenumber <= 3"))
     sources = [_write_csv(late.select(*CSV_COLUMNS), "z-late"), _write_csv(early.select(*CSV_COLUMNS), "a-early")]
     both = cleaning.dedup_first(cleaning.coerce_numeric(monitoring.read_many(spark, sources)))
-    return rounded(both.groupBy("station_code").agg(F.count("*").alias("n"), F.sum("cod").alias("sum_cod")), 4)
+    # Summed as whole numbers: a sum of doubles may round either way.
+    return both.groupBy("station_code").agg(F.count("*").alias("n"), F.sum(F.round(F.col("cod") * 10000).cast("long")).alias("sum_cod"))
 
 
 @query(

@@ -9,6 +9,7 @@ from hydrolake.functions.rivers import river_of_station
 from hydrolake.functions.wqi import status
 from hydrolake.sources.shared import new_path
 from hydrolake.sources.sinks import replace_readings
+from hydrolake.streaming import newest
 from hydrolake.streaming import readings as S
 from workload.registry import band, query, rounded
 
@@ -36,11 +37,35 @@ def stream_ingest(spark, sf):
     return rounded(out.select("event_id", "station_code", "river_name", "date", "wqi", "river_status"))
 
 
+def _in_order(spark, sf, batches):
+    """The events as files written one after the other, each later in time than the one before."""
+    folder = new_path(spark, "events")
+    events = A.table(spark, sf, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * i / batches for i in range(1, batches)]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events if low is None else events.filter(F.col("ts") >= low)
+        (part if high is None else part.filter(F.col("ts") < high)).write.mode("append").parquet(folder)
+    return S.with_status(A.stream_readings(S.read_stream(spark, folder, events.schema, files_per_batch=1)))
+
+
 @query("k02_stream_dedup", _STREAM + "SELECT DISTINCT station_code, date FROM srs")
 def stream_dedup(spark, sf):
     return S.run_available(S.dedup_stream(_stream(spark, sf, 1)), new_path(spark, "deduped")).select("station_code", "date")
 
 
+@query(
+    "k02_stream_newest",
+    _STREAM
+    + """SELECT station_code, date, max(event_id) AS event_id, round(max_by(wqi, event_id), 6) AS wqi FROM srs
+    GROUP BY ALL HAVING date < (SELECT max(date) FROM srs) - 2""",
+)
+def stream_newest(spark, sf):
+    """Days are final two days after their end; the newest event of a day is the one with the highest id."""
+    out = S.run_available(newest.newest_per_day(_in_order(spark, sf, 3), "2 days"), new_path(spark, "newest"))
+    return rounded(out.select("station_code", "date", "event_id", "wqi"))
+
+
 @query(
     "k03_stream_upsert",
     _STREAM + "SELECT station_code, date, max(event_id) AS event_id, round(max_by(wqi, event_id), 6) AS wqi FROM srs GROUP BY ALL",
