@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hydrolake.constants import PARAMETERS
+from hydrolake.operators.grouped_quantiles import grouped_quantiles
 from hydrolake.operators.quantiles import exact_quantiles
 
 
@@ -99,6 +100,24 @@ def impute(df: DataFrame, strategy: str = "median", cols: Sequence[str] | None =
     return fit_imputer(df, strategy, cols).transform(df)
 
 
+def impute_by_group(df: DataFrame, keys: Sequence[str], strategy: str = "median", cols: Sequence[str] | None = None) -> DataFrame:
+    """Missing parameters get the exact median or the mean of their group (such as one sheet of many).
+
+    All groups are fitted together, whatever their number and size; a column without any
+    value in a group stays NULL there.
+    """
+    cols, keys = list(cols or present_parameters(df)), list(keys)
+    if strategy == "median":
+        fitted = grouped_quantiles(df, keys, cols)
+    elif strategy == "mean":
+        fitted = df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols])
+    else:
+        raise ValueError("strategy must be 'median' or 'mean'")
+    fills = fitted.select(F.struct(*keys).alias("_group"), F.struct(*cols).alias("_fill"))
+    filled = {c: F.coalesce(F.col(c), F.col("_fill")[c]) for c in cols}
+    return df.withColumn("_group", F.struct(*keys)).join(fills, "_group", "left").withColumns(filled).drop("_group", "_fill")
+
+
 def quality_gate(df: DataFrame) -> DataFrame:
     """One row: at least one non-blank date, and at least one station name with a letter."""
     has_date = F.max(F.trim(F.col("date").cast("string")) != "")

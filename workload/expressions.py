@@ -11,6 +11,7 @@ from hydrolake.constants import PARAMETERS
 from hydrolake.functions import calendar as cal
 from hydrolake.functions import rivers, wqi
 from hydrolake.operators import alerts, cleaning, history, marts
+from hydrolake.operators.grouped_quantiles import grouped_quantiles
 from hydrolake.sources.shared import materialize
 from workload.registry import AS_OF, END, ORD, WQI_SQL, band, query, rounded, si
 
@@ -86,6 +87,28 @@ def impute_mean(spark, sf):
     return rounded(cleaning.impute(rows, "mean").select("station_code", "date", "cod", "tss"))
 
 
+@query(
+    "b05_impute_median_by_group",
+    f"""SELECT {ORD}, round(coalesce(cod, median(cod) OVER g), 6) AS cod, round(coalesce(tss, median(tss) OVER g), 6) AS tss
+    FROM holed WINDOW g AS (PARTITION BY l_orderkey)""",
+)
+def impute_median_by_group(spark, sf):
+    """One group per order: thousands of groups of a few rows."""
+    rows = A.measurements(spark, sf, with_nulls=True).withColumn("sheet", F.col("_ord.l_orderkey"))
+    return rounded(cleaning.impute_by_group(rows, ["sheet"], "median", ["cod", "tss"]).select("_ord.*", "cod", "tss"))
+
+
+@query(
+    "b05_group_quantiles",
+    """SELECT station_code, year(date) AS year, round(quantile_cont(do_, 0.9), 6) AS do_, round(quantile_cont(cod, 0.9), 6) AS cod, round(quantile_cont(tss, 0.9), 6) AS tss
+    FROM holed GROUP BY ALL""",
+)
+def group_quantiles(spark, sf):
+    """A few groups, most of them too large for one buffer of the given size."""
+    rows = A.measurements(spark, sf, with_nulls=True).withColumn("year", F.year("date"))
+    return rounded(grouped_quantiles(rows, ["station_code", "year"], ["do_", "cod", "tss"], 0.9, single_task_rows=50))
+
+
 @query(
     "b05_impute_drop",
     "SELECT station_code, count(*) AS n FROM holed WHERE cod IS NOT NULL AND tss IS NOT NULL GROUP BY 1",
