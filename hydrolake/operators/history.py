@@ -377,8 +377,8 @@ def tag_reading(df: DataFrame, source: str | None, data_type: str | None = None)
     )
 
 
-def to_readings(df: DataFrame) -> DataFrame:
-    """Any loaded table -> readings, with code and name standing in for each other."""
+def to_readings(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Any loaded table -> readings, with code and name standing in for each other; the columns ``keep`` stay."""
 
     def text(c: str) -> Column:
         return F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in df.columns else F.lit(None).cast("string")
@@ -388,7 +388,7 @@ def to_readings(df: DataFrame) -> DataFrame:
     named = F.when(registered != UNKNOWN_RIVER, registered)
     name = F.coalesce(text("station_name"), named, text("station_code"), F.lit("Unknown"))
     wqi = F.coalesce(F.col("wqi").try_cast("double"), F.lit(0.0))
-    labelled = df.select(code.alias("station_code"), name.alias("station_name"), "date", wqi.alias("wqi"))
+    labelled = df.select(code.alias("station_code"), name.alias("station_name"), "date", wqi.alias("wqi"), *keep)
     return labelled.select(
         "station_code",
         "station_name",
@@ -396,6 +396,7 @@ def to_readings(df: DataFrame) -> DataFrame:
         "date",
         "wqi",
         status("wqi", null_as=POLLUTED).alias("river_status"),
+        *keep,
     )
 
 

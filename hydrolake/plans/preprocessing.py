@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from hydrolake.constants import CUTOFF_YEAR, LAG_ROWS, PARAMETERS, ROLLING_ROWS
 from hydrolake.functions.wqi import add_wqi
-from hydrolake.operators.cleaning import coerce_numeric, dedup_first, drop_all_null, impute
+from hydrolake.operators.cleaning import coerce_numeric, dedup, dedup_first, drop_all_null, impute, impute_by_group
 from hydrolake.operators.history import append_dedup, filter_years, to_readings, to_record_rows
 from hydrolake.operators.scaling import LinearScaler, fit_minmax, fit_scaler, varying_columns
 from hydrolake.operators.series import engineer_features, numeric_feature_columns
 from hydrolake.operators.splits import chronological_split
-from hydrolake.sources.monitoring import load_sheet
+from hydrolake.sources.monitoring import ORDER
 from hydrolake.sources.shared import materialize
+from hydrolake.sources.sheets import read_sheets
 from hydrolake.sources.sinks import upsert_table
 
 
@@ -129,7 +130,15 @@ def rebuild_readings(sheets: Sequence[tuple[int, DataFrame]], cutoff_year: int =
     return append_dedup(stacked.limit(0), stacked, order="dataset_id", cutoff_year=cutoff_year)
 
 
-def rebuild_from_registry(spark: SparkSession, registry: DataFrame, cutoff_year: int = CUTOFF_YEAR) -> DataFrame:
-    """``rebuild_readings`` over the files a registry names (one row per registered dataset)."""
-    entries = registry.select("dataset_id", "file_path").collect()
-    return rebuild_readings([(r.dataset_id, load_sheet(spark, r.file_path)) for r in entries], cutoff_year)
+def rebuild_from_registry(spark: SparkSession, registry: DataFrame, folder: str | Sequence[str], cutoff_year: int = CUTOFF_YEAR) -> DataFrame:
+    """Readings from all files below ``folder`` that a registry (dataset_id, file_path) names.
+
+    One job for all of them, however many files and layouts: sheets are read together,
+    cleaned and imputed with the medians of their own dataset, then the highest dataset id wins.
+    """
+    sheets = read_sheets(spark, folder, registry.select("dataset_id", "file_path"))
+    first = dedup(coerce_numeric(sheets), ["dataset_id", "station_code", "date"], [F.asc(ORDER)])
+    cleaned = materialize(drop_all_null(first).drop(ORDER), "sheets")
+    scored = filter_years(add_wqi(impute_by_group(cleaned, ["dataset_id"])), year_to=cutoff_year)
+    rows = to_readings(scored, keep=["dataset_id"])
+    return append_dedup(rows.limit(0), rows, order="dataset_id", cutoff_year=cutoff_year)

@@ -64,27 +64,36 @@ def canonical_header(header: str) -> str | None:
     return None
 
 
-def normalize_columns(df: DataFrame) -> DataFrame:
-    """Rename parameter headers to their canonical names. Metadata only: the first
-    of several columns with one name is kept, all others keep their header."""
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    kept, seen = [], set()
-    for i, header in enumerate(df.columns):
+def kept_columns(headers: Sequence[str]) -> dict[str, int]:
+    """Name -> place of the columns that a normalised sheet keeps: of several with one name the first."""
+    names, seen = {}, set()
+    for i, header in enumerate(headers):
         name = canonical_header(header) or header.replace("﻿", "").replace("\r", "").strip()
         if name.lower() == "wqi":
             name = "wqi"
         if name.lower() not in seen:
             seen.add(name.lower())
-            kept.append(F.col(f"c{i}").alias(name))
-    return plain.select(*kept)
+            names[name] = i
+    return names
 
 
-def first_header(df: DataFrame, candidates: Sequence[str]) -> str | None:
+def normalize_columns(df: DataFrame) -> DataFrame:
+    """Rename parameter headers to their canonical names. Metadata only: the first
+    of several columns with one name is kept, all others keep their header."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{i}").alias(name) for name, i in kept_columns(df.columns).items()])
+
+
+def first_of(names: Sequence[str], candidates: Sequence[str]) -> str | None:
     """First candidate present, ignoring case and surrounding blanks."""
-    present = {c.strip().lower(): c for c in df.columns}
+    present = {c.strip().lower(): c for c in names}
     return next((present[c.strip().lower()] for c in candidates if c.strip().lower() in present), None)
 
 
+def first_header(df: DataFrame, candidates: Sequence[str]) -> str | None:
+    return first_of(df.columns, candidates)
+
+
 def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -120,18 +129,6 @@ def load_sheet(spark: SparkSession, path: str, multiline: bool = False) -> DataF
     return resolve_columns(normalize_columns(read_monitoring_csv(spark, path, multiline)))
 
 
-def read_many(spark: SparkSession, sources: Sequence[str], multiline: bool = False) -> DataFrame:
-    """Union of sources with different headers; each source may itself be a folder or glob."""
-    if not sources:
-        raise ValueError("no sources given")
-    out = None
-    for place, path in enumerate(sources):
-        # Rows of a source that is listed earlier come first, whatever the paths are called.
-        sheet = load_sheet(spark, path, multiline).withColumn(ORDER, F.struct(F.lit(place).alias("source"), F.col(ORDER).alias("at")))
-        out = sheet if out is None else out.unionByName(sheet, allowMissingColumns=True)
-    return out
-
-
 def _stem(path: Column) -> Column:
     """File name without folder and extension, percent-decoded."""
     return F.url_decode(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))

@@ -10,11 +10,12 @@ from hydrolake import adapters as A
 from hydrolake.constants import PARAMETERS
 from hydrolake.functions.wqi import status
 from hydrolake.ml import classify, forecast, isolation, regress
-from hydrolake.operators import metrics, scaling, series, splits
+from hydrolake.operators import cleaning, metrics, scaling, series, splits
 from hydrolake.plans import preprocessing, training
+from hydrolake.sources import monitoring, sheets
 from hydrolake.sources.shared import materialize, new_path
 from hydrolake.sources.sinks import write_metrics
-from workload.registry import WQI_SQL, band, query, rounded
+from workload.registry import ORD, WQI_SQL, band, query, rounded
 from workload.series_queries import fill_sql, lag_sql
 
 KEEP = ["station_code", "date", *PARAMETERS, "wqi", "river_status"]
@@ -451,3 +452,44 @@ def rebuild_readings(spark, sf):
     return out.select("station_code", "date", F.col("dataset_id").cast("int").alias("dataset_id"))
 
 
+
+
+_SHEETS = f""", dealt AS (SELECT *, l_orderkey % 12 AS dataset_id FROM holed),
+  sheet AS (SELECT * EXCLUDE (rn) REPLACE (CASE WHEN dataset_id % 4 = 2 THEN NULL ELSE cod END AS cod) FROM
+    (SELECT *, row_number() OVER (PARTITION BY dataset_id, station_code, date ORDER BY {ORD}) AS rn FROM dealt) WHERE rn = 1 AND dataset_id < 11),
+  fitted AS (SELECT * REPLACE (coalesce(cod, median(cod) OVER g) AS cod, coalesce(tss, median(tss) OVER g) AS tss) FROM sheet WINDOW g AS (PARTITION BY dataset_id)),
+  scored AS (SELECT *, CASE WHEN dataset_id % 4 = 3 THEN CAST(l_quantity AS DOUBLE) ELSE {WQI_SQL} END AS wqi
+    FROM (SELECT f.*, l.l_quantity FROM fitted f JOIN lineitem l USING (l_orderkey, l_linenumber, l_partkey, l_suppkey)) WHERE year(date) <= 2000)
+"""
+
+
+def _write_sheets(spark, sf):
+    """Twelve datasets in four layouts: plain; export headers; other order without COD; with a supplied index."""
+    root = new_path(spark, "sheets")
+    rows = A.measurements(spark, sf, with_nulls=True).withColumn("dataset", F.col("_ord.l_orderkey") % 12)
+    rows = cleaning.dedup(rows, ["dataset", "station_code", "date"], [F.asc("_ord")])
+    plain = ["date", "station_code", "do_", "bod", "cod", "an", "tss", "ph"]
+    layouts = [
+        [F.col(c) for c in plain],
+        [F.col("station_code").alias("ID STN BARU"), F.col("do_").alias("DO mg/l"), F.col("bod").alias("BOD mg/l"), F.col("cod").alias("COD mg/l"),
+         F.col("an").alias("NH3-N mg/l"), F.col("tss").alias("SS mg/l"), F.col("ph").alias("pH"), F.lit("x, y").alias("REMARKS"), F.col("date").alias("SMP-DAT")],
+        [F.col(c) for c in ("tss", "ph", "an", "station_code", "bod", "do_", "date")],
+        [*[F.col(c) for c in plain], F.round(F.col("do_") * 5).alias("WQI")],
+    ]
+    for style, columns in enumerate(layouts):
+        part = rows.filter(F.col("dataset") % 4 == style).select("dataset", *columns)
+        part.write.partitionBy("dataset").option("header", True).csv(f"{root}/layout {style}")
+    listed = monitoring.list_files(spark, root)
+    dataset = F.regexp_extract("file_path", "dataset=([0-9]+)", 1).cast("long")
+    # The registry has plain paths, without a scheme; one dataset is not registered.
+    return root, listed.select(dataset.alias("dataset_id"), sheets.plain_path(F.col("file_path")).alias("file_path")).filter("dataset_id < 11")
+
+
+@query(
+    "j04_rebuild_registry",
+    _SHEETS
+    + """SELECT station_code, date, max(dataset_id) AS dataset_id, round(max_by(wqi, dataset_id), 6) AS wqi FROM scored GROUP BY ALL""",
+)
+def rebuild_registry(spark, sf):
+    root, registry = _write_sheets(spark, sf)
+    return rounded(preprocessing.rebuild_from_registry(spark, registry, root, A.CUTOFF).select("station_code", "date", "dataset_id", "wqi"))

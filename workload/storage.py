@@ -11,7 +11,7 @@ from hydrolake.constants import PARAMETERS
 from hydrolake.functions.rivers import river_of_station
 from hydrolake.operators import cleaning, history, marts, metrics, splits
 from hydrolake.operators.scaling import LinearScaler, fit_minmax
-from hydrolake.sources import metadata, monitoring, sinks
+from hydrolake.sources import metadata, monitoring, sheets, sinks
 from hydrolake.sources.shared import new_path
 from workload.expressions import hist
 from workload.registry import AS_OF, END, ORD, WQI_SQL, band, query, rounded
@@ -54,7 +54,7 @@ def union_of_sources(spark, sf):
     rows = A.measurements(spark, sf)
     early = rows.filter("_ord.l_linenumber <= 3").select("date", "station_code", F.col("tss").alias("SS"))
     late = rows.filter("_ord.l_linenumber > 3").select(*CSV_COLUMNS)
-    both = monitoring.read_many(spark, [_write_csv(early, "early"), _write_csv(late, "late")])
+    both = sheets.read_many(spark, [_write_csv(early, "early"), _write_csv(late, "late")])
     both = cleaning.coerce_numeric(both)
     return rounded(
         both.groupBy("station_code").agg(
@@ -75,7 +75,7 @@ def first_listed_source_wins(spark, sf):
     rows = A.measurements(spark, sf)
     late, early = (cleaning.dedup_first(rows.filter(c)) for c in ("_ord.l_linenumber > 3", "_ord.l_linenumber <= 3"))
     sources = [_write_csv(late.select(*CSV_COLUMNS), "z-late"), _write_csv(early.select(*CSV_COLUMNS), "a-early")]
-    both = cleaning.dedup_first(cleaning.coerce_numeric(monitoring.read_many(spark, sources)))
+    both = cleaning.dedup_first(cleaning.coerce_numeric(sheets.read_many(spark, sources)))
     # Summed as whole numbers: a sum of doubles may round either way.
     return both.groupBy("station_code").agg(F.count("*").alias("n"), F.sum(F.round(F.col("cod") * 10000).cast("long")).alias("sum_cod"))
 
