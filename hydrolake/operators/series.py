@@ -19,6 +19,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from hydrolake.constants import LAG_ROWS, MODEL_LAGS, ROLLING_ROWS
 from hydrolake.functions.calendar import monsoon_flags, month_cyclical
+from hydrolake.sources.shared import materialize
 
 STATION = "station_code"
 
@@ -35,27 +36,39 @@ def daily_mean(df: DataFrame, value: str = "wqi") -> DataFrame:
 # --- hot series --------------------------------------------------------------
 
 
-def with_position(df: DataFrame, order: Sequence[str], block: Column) -> DataFrame:
-    """0-based row position within the station, without ranking a whole station in one task.
+def ordered_blocks(df: DataFrame, order: Sequence[Column | str], partitions: int | None = None) -> DataFrame:
+    """The rows in order of station and ``order``, stored with ``_part`` and ``_row`` (from 0 inside a part).
 
-    ``block`` must grow with ``order`` (for example the month of the date).
-    Rows are ranked inside (station, block); the offset of a block comes from
-    the small table of block sizes.
+    Parts follow each other in that order and hold about equally many rows whatever the
+    keys are: the place where a row was read is the last sort key, so the sampled bounds also
+    cut through rows that are equal in all others.
     """
-    blocked = df.withColumn("_block", block)
-    before = Window.partitionBy(STATION).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(STATION, "_block")
-        .agg(F.count("*").alias("_size"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .drop("_size")
-    )
-    rank = F.row_number().over(Window.partitionBy(STATION, "_block").orderBy(*order))
-    return (
-        blocked.withColumn("_rank", rank)
-        .join(offsets, [STATION, "_block"])
-        .withColumn("position", F.col("_offset") + F.col("_rank") - 1)
-        .drop("_block", "_rank", "_offset")
+    by = [F.col(STATION), *order, "_read"]
+    ranged = df.withColumn("_read", F.monotonically_increasing_id())
+    ranged = ranged.repartitionByRange(partitions, *by) if partitions else ranged.repartitionByRange(*by)
+    at = F.monotonically_increasing_id()  # the partition, then 33 bits for the row in it
+    stored = materialize(ranged.sortWithinPartitions(*by).withColumn("_at", at).drop("_read"), "ordered")
+    return stored.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
+
+
+def with_position(df: DataFrame, order: Sequence[Column | str], partitions: int | None = None, position: str = "position") -> DataFrame:
+    """0-based row position within the station in ``order`` (columns or sort orders), without a hot task.
+
+    Neither a station nor a day is ever sorted in one task: all rows are dealt by range, and
+    a position is the row's place in its part plus the sizes of the parts before it,
+    less that sum for the station's first row. Equal rows are placed in the order in which they are read.
+    """
+    rows = ordered_blocks(df, order, partitions)
+    # One row per part.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    offsets = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")))
+    starts = rows.groupBy(F.col(STATION).alias("_station")).agg(F.min_by(F.struct("_part", "_row"), "_at").alias("_first"))
+    starts = starts.select("_station", F.col("_first._part").alias("_part"), F.col("_first._row").alias("_row"))
+    starts = starts.join(offsets, "_part").select("_station", (F.col("_offset") + F.col("_row")).alias("_start"))
+    placed = rows.join(offsets, "_part").join(starts, F.col("_station").eqNullSafe(F.col(STATION)))
+    return placed.withColumn(position, F.col("_offset") + F.col("_row") - F.col("_start")).drop(
+        "_part", "_row", "_at", "_offset", "_station", "_start"
     )
 
 
@@ -318,8 +331,8 @@ def gap_fill(df: DataFrame, end: date, method: str = "locf") -> DataFrame:
 
 def date_series(df: DataFrame, order: str, as_of: date) -> DataFrame:
     """Date an undated series: consecutive days that end at ``as_of``."""
-    newest_first = Window.partitionBy(STATION).orderBy(F.desc(order))
-    return df.withColumn("date", F.date_sub(F.lit(as_of), F.row_number().over(newest_first) - 1))
+    placed = with_position(df, [F.desc(order)], position="_age")
+    return placed.withColumn("date", F.date_sub(F.lit(as_of), F.col("_age").cast("int"))).drop("_age")
 
 
 # --- summaries of a series --------------------------------------------------------

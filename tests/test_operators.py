@@ -3,6 +3,7 @@ from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hydrolake.operators import cleaning, history, marts, quality, scaling, series, splits
 from hydrolake.operators.quantiles import exact_quantiles, ordered_values
@@ -87,7 +88,7 @@ def test_quality_gate_and_numeric_names(spark):
 
 def test_chunked_window_equals_one_big_window(spark):
     df = daily(spark, [500, 3, 120])
-    placed = series.with_position(df, ["date"], F.trunc("date", "month"))
+    placed = series.with_position(df, ["date"])
     chunked = series.chunked_window(placed, 6, lambda w: series.rolling_columns(w), chunk_rows=50)
     cols = ["station_code", "date", "wqi_rolling_mean", "wqi_rolling_std"]
     a = pairs(chunked.select(*cols[:2], *[F.round(c, 9).alias(c) for c in cols[2:]]), *cols)
@@ -96,6 +97,21 @@ def test_chunked_window_equals_one_big_window(spark):
     assert pairs(placed.filter("position = 0"), "station_code") == [("S00",), ("S01",), ("S02",)]
 
 
+def test_positions_of_a_hot_day_without_a_hot_task(spark):
+    """A day with a third of all rows, half of them equal in all columns, is spread over the parts."""
+    n = 300_000
+    number = F.when(F.col("id") % 6 == 0, 0).otherwise(F.col("id"))
+    station = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("S"), F.col("id") % 50))
+    day = F.when(F.col("id") % 3 == 0, 0).otherwise((F.col("id") % 365).cast("int"))
+    df = spark.range(0, n, 1, 6).select(station.alias("station_code"), F.date_add(F.lit(date(2020, 1, 1)), day).alias("date"), number.alias("number"))
+    sizes = [r[0] for r in series.ordered_blocks(df, ["date", F.desc("number")], 12).groupBy("_part").count().select("count").collect()]
+    assert sum(sizes) == n and len(sizes) == 12 and max(sizes) <= 2 * sorted(sizes)[6]
+    got = series.with_position(df, ["date", F.desc("number")], 12)
+    assert got.columns == ["station_code", "date", "number", "position"]
+    rank = F.row_number().over(Window.partitionBy("station_code").orderBy("date", F.desc("number"))) - 1
+    assert got.exceptAll(df.withColumn("position", rank.cast("long"))).isEmpty() and got.count() == n
+
+
 def test_first_rolling_deviation_is_zero_and_fill_stays_inside_station(spark):
     df = daily(spark, [3, 3])
     first = series.rolling(df).filter(F.col("date") == F.lit(D0))

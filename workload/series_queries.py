@@ -46,7 +46,7 @@ _RAW_ORDER = "date, l_orderkey, l_linenumber, l_partkey, l_suppkey"
 def rolling_raw_rows(spark, sf):
     """All rows, several per day, in chunks: no station is ever one window group."""
     rows = A.measurements(spark, sf).select("station_code", "date", "tss", "_ord")
-    placed = series.with_position(rows, ["date", "_ord"], F.trunc("date", "month"))
+    placed = series.with_position(rows, ["date", "_ord"])
     out = series.chunked_window(placed, 6, lambda w: series.rolling_columns(w, "tss"), chunk_rows=1000)
     return rounded(
         out.select("_ord.l_orderkey", "_ord.l_linenumber", "_ord.l_partkey", "_ord.l_suppkey", "date", "tss_rolling_mean")
