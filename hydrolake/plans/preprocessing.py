@@ -15,10 +15,10 @@ from hydrolake.operators.history import append_dedup, filter_years, to_readings,
 from hydrolake.operators.scaling import LinearScaler, fit_minmax, fit_scaler, varying_columns
 from hydrolake.operators.series import engineer_features, numeric_feature_columns
 from hydrolake.operators.splits import chronological_split
+from hydrolake.sources.generations import GenerationTable
 from hydrolake.sources.monitoring import ORDER
 from hydrolake.sources.shared import materialize
 from hydrolake.sources.sheets import read_sheets
-from hydrolake.sources.sinks import upsert_table
 
 
 def clean(df: DataFrame, order: str = "_ord") -> DataFrame:
@@ -112,9 +112,10 @@ def ingest_upload(
     source: str,
     cutoff_year: int = CUTOFF_YEAR,
 ) -> DataFrame:
-    """Add one upload: durable upsert of its records, and the readings with its rows (newest wins)."""
+    """Add one upload: its records as generation ``dataset_id``, and the readings with its rows (newest wins)."""
     rows = materialize(prepare_upload(df, cutoff_year), "prepared")
-    upsert_table(to_record_rows(rows, dataset_id, source, cutoff_year).withColumn("_ord", F.lit(0)), records_path)
+    records = to_record_rows(rows, dataset_id, source, cutoff_year).withColumn("_ord", F.lit(0))
+    GenerationTable(records_path).append(records, dataset_id)
     new = to_readings(rows).withColumn("dataset_id", F.lit(dataset_id).cast("long")).withColumn("_ord", F.lit(1))
     return append_dedup(readings.withColumn("_ord", F.lit(0)), new, cutoff_year=cutoff_year).drop("_ord")
 

@@ -24,7 +24,8 @@ from hydrolake.operators.metrics import class_report, classification_metrics, co
 from hydrolake.operators.series import trend
 from hydrolake.plans.preprocessing import base_frame, feature_frame
 from hydrolake.sources.shared import materialize
-from hydrolake.sources.sinks import append_events, upsert_table
+from hydrolake.sources.generations import GenerationTable
+from hydrolake.sources.sinks import append_events
 
 
 def metric_rows(section: str, row: DataFrame) -> DataFrame:
@@ -138,7 +139,8 @@ def run_forecast(
             "date", "station_code", "station_name", "wqi", F.col("river_status").alias("pollution_status"),
             F.lit("forecast").alias("data_source"), F.lit(True).alias("is_predicted"), F.lit(0).alias("_ord"),
         )
-        upsert_table(records, records_path)
+        table = GenerationTable(records_path)
+        table.append(records, table.next_generation(records.sparkSession))
     if events_path:
         append_events(to_alert_events(alerts), events_path, run_id)
     return ForecastRun(points, to_log(points), alerts)

@@ -52,10 +52,10 @@ def _by_year(df: DataFrame) -> DataFrame:
     return grouped.sortWithinPartitions("station_code", "date")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+def read_table(spark: SparkSession, path: str, options: dict | None = None) -> DataFrame | None:
     """A stored table, or None when nothing has been written yet."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.options(**(options or {})).parquet(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None

@@ -19,8 +19,11 @@ from hydrolake.functions.rivers import river_of_station
 from hydrolake.functions.wqi import status
 from hydrolake.operators.alerts import reading_alert_message, severity_of
 from hydrolake.operators.history import latest_per_station, measured_until
+from hydrolake.sources.generations import GenerationTable
 from hydrolake.sources.shared import new_path
-from hydrolake.sources.sinks import upsert_table
+
+#: Batches between two compactions of a stream's table.
+COMPACT_EVERY = 32
 
 
 def read_stream(
@@ -78,12 +81,21 @@ def run_available(stream: DataFrame, path: str, checkpoint: str | None = None) -
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def upsert_batch(records_path: str, alerts_path: str | None, cutoff_year: int = CUTOFF_YEAR) -> Callable[[DataFrame, int], None]:
-    """Batch function: upsert the readings, then write the alerts of this batch.
+def records_table(path: str) -> GenerationTable:
+    """The stored readings of a stream: the newest event wins whatever batch brought it."""
+    return GenerationTable(path, by_order=True)
+
+
+def upsert_batch(
+    records_path: str, alerts_path: str | None, cutoff_year: int = CUTOFF_YEAR, compact_every: int = COMPACT_EVERY
+) -> Callable[[DataFrame, int], None]:
+    """Batch function: add the readings as a generation, then write the alerts of this batch.
 
-    The newest event wins whatever batch brought it, so neither the file order
-    nor a replay changes the table; a replay also rewrites the same alert partition.
+    The newest event wins, so neither the file order nor a replay changes the table; a replay
+    rewrites the same generation and the same alert partition. What is written is as large as the
+    batch; every ``compact_every`` batches are folded.
     """
+    table = records_table(records_path)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read several times below; a lost executor recomputes it from the files
@@ -93,7 +105,9 @@ def upsert_batch(records_path: str, alerts_path: str | None, cutoff_year: int =
                 "river_status", F.lit("historical").alias("data_type"), F.lit(False).alias("is_predicted"),
                 F.col("event_id").alias("_ord"), F.col("event_id").alias("id"),
             )
-            upsert_table(rows, records_path, by_order=True)
+            table.append(rows, batch_id)
+            if (batch_id + 1) % compact_every == 0:
+                table.compact(batch.sparkSession)
             if alerts_path:
                 newest = latest_per_station(rows.withColumn("id", F.col("_ord")))
                 alerts = newest.filter(F.col("river_status").isin(SLIGHT, POLLUTED)).select(
@@ -115,10 +129,11 @@ def start_upsert(
     available_now: bool = True,
     interval: str = "1 minute",
     cutoff_year: int = CUTOFF_YEAR,
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Durable, replay-safe ingest of a readings stream (once, or every ``interval``)."""
     writer = (
-        stream.writeStream.foreachBatch(upsert_batch(records_path, alerts_path, cutoff_year))
+        stream.writeStream.foreachBatch(upsert_batch(records_path, alerts_path, cutoff_year, compact_every))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
@@ -138,5 +153,5 @@ def daily_refresh(
     measurement replaces them."""
     query = start_upsert(stream, records_path, None, checkpoint, cutoff_year=cutoff_year)
     query.awaitTermination()
-    records = stream.sparkSession.read.parquet(records_path)
+    records = records_table(records_path).read(stream.sparkSession)
     return latest_per_station(measured_until(records, as_of))

@@ -17,7 +17,7 @@ def run_upsert(spark, sf, files, per_batch):
     checkpoint = new_path(spark, "checkpoint")
     S.start_upsert(stream, records, None, checkpoint).awaitTermination()
     S.start_upsert(stream, records, None, checkpoint).awaitTermination()  # nothing new: nothing changes
-    return sorted(tuple(r) for r in spark.read.parquet(records).select("station_code", "date", "wqi", "_ord").collect())
+    return sorted(tuple(r) for r in S.records_table(records).read(spark).select("station_code", "date", "wqi", "_ord").collect())
 
 
 def test_batching_does_not_change_the_table(spark, sf):
@@ -29,9 +29,9 @@ def test_replayed_batch_changes_nothing(spark, sf):
     batch = S.with_status(A.stream_readings(A.table(spark, sf, "events")))
     run = S.upsert_batch(records, alerts)
     run(batch, 0)
-    first = sorted(tuple(r) for r in spark.read.parquet(records).collect()), spark.read.parquet(alerts).count()
+    first = sorted(tuple(r) for r in S.records_table(records).read(spark).collect()), spark.read.parquet(alerts).count()
     run(batch, 0)
-    assert first == (sorted(tuple(r) for r in spark.read.parquet(records).collect()), spark.read.parquet(alerts).count())
+    assert first == (sorted(tuple(r) for r in S.records_table(records).read(spark).collect()), spark.read.parquet(alerts).count())
 
 
 EVENTS = "station_code string, date date, event_id bigint, wqi double, ts timestamp"

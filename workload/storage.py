@@ -12,6 +12,7 @@ from hydrolake.functions.rivers import river_of_station
 from hydrolake.operators import cleaning, history, marts, metrics, splits
 from hydrolake.operators.scaling import LinearScaler, fit_minmax
 from hydrolake.sources import metadata, monitoring, sheets, sinks
+from hydrolake.sources.generations import GenerationTable
 from hydrolake.sources.shared import new_path
 from workload.expressions import hist
 from workload.registry import AS_OF, END, ORD, WQI_SQL, band, query, rounded
@@ -272,6 +273,19 @@ def upsert_table(spark, sf):
     return rounded(back.groupBy("year", "station_code").agg(F.count("*").alias("n"), F.sum("tss").alias("sum_tss")), 4)
 
 
+@query("a13_upsert_generations", _UPSERT_SQL + "SELECT station_code, date, do_, bod, round(cod, 6) AS cod, an, tss, ph FROM merged")
+def upsert_generations(spark, sf):
+    table = GenerationTable(new_path(spark, "records"))
+    stored, updates = _stored(spark, sf)
+    table.append(stored, 0)
+    early = F.col("date") <= F.lit(date(1996, 12, 31))
+    table.append(updates.filter(early), 1)
+    table.compact(spark)
+    table.append(updates, 2)
+    table.append(updates, 2)  # a replay must change nothing
+    return table.read(spark).select("station_code", "date", *PARAMETERS).withColumn("cod", F.round("cod", 6))
+
+
 @query("a14_replace_readings", "SELECT year(date) AS year, count(*) AS n, round(avg(wqi), 6) AS avg_wqi FROM readings GROUP BY 1")
 def replace_readings(spark, sf):
     path = new_path(spark, "readings")

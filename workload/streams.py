@@ -8,7 +8,6 @@ from hydrolake import adapters as A
 from hydrolake.functions.rivers import river_of_station
 from hydrolake.functions.wqi import status
 from hydrolake.sources.shared import new_path
-from hydrolake.sources.sinks import replace_readings
 from hydrolake.streaming import newest
 from hydrolake.streaming import readings as S
 from workload.registry import band, query, rounded
@@ -72,9 +71,9 @@ def stream_newest(spark, sf):
 )
 def stream_upsert(spark, sf):
     records, raised = new_path(spark, "records"), new_path(spark, "alerts")
-    S.start_upsert(_stream(spark, sf), records, raised, new_path(spark, "checkpoint")).awaitTermination()
+    S.start_upsert(_stream(spark, sf), records, raised, new_path(spark, "checkpoint"), compact_every=3).awaitTermination()
     assert spark.read.parquet(raised).filter("river_status = 'clean'").isEmpty()
-    out = spark.read.parquet(records)
+    out = S.records_table(records).read(spark)
     return rounded(out.select("station_code", "date", F.col("_ord").alias("event_id"), "wqi"))
 
 
@@ -99,7 +98,7 @@ def daily_refresh(spark, sf):
         F.lit("predicted_historical").alias("data_type"), F.lit(True).alias("is_predicted"),
         F.lit(-1).cast("long").alias("_ord"), F.lit(-1).cast("long").alias("id"),
     )
-    replace_readings(predicted, records)
+    S.records_table(records).append(predicted, -1)
     arriving = _stream(spark, sf, 2).filter("station_code <> 'S04'")
     out = S.daily_refresh(arriving, records, new_path(spark, "checkpoint"), as_of)
     return rounded(out.select("station_code", "date", "wqi", "is_predicted"))
