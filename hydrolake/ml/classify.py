@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,11 +17,15 @@ from pyspark.sql import functions as F
 from hydrolake.constants import LEAKY_TOKENS, PARAMETERS, STATUSES
 from hydrolake.operators.metrics import classification_metrics, labelled
 from hydrolake.operators.splits import SEED, fold_count, group_folds, group_split, random_split, stratified_folds
+from hydrolake.sources.shared import materialize
 
 GROUP_COLUMNS = ("station_code", "station_name", "river_name")
 NON_FEATURES = {"river_status", "date", "station_code", "station", "station_name", "river_name"}
-#: Partitions of a training table. Trees depend on how rows are dealt, so neither cores nor sizes may decide it.
-TRAIN_PARTITIONS = 64
+#: Rows of a partition of a training table, and partitions at least. Trees depend on how rows are dealt, so
+#: the table alone decides it, not the cluster; each partition holds the statistics of all nodes of a level.
+TRAIN_ROWS, LEAST_PARTITIONS = 250_000, 4
+#: Memory for the statistics of the nodes that one pass over the rows splits, in a task.
+LEVEL_MB = 256
 NUMERIC = ("double", "float", "long", "integer", "short")
 
 
@@ -62,7 +68,11 @@ def balanced_weight(counts: dict, label: str = "label") -> Column:
     return weight
 
 
-def dealt(df: DataFrame, key: Sequence[str], partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+def training_partitions(rows: int) -> int:
+    return max(LEAST_PARTITIONS, -(-rows // TRAIN_ROWS))
+
+
+def dealt(df: DataFrame, key: Sequence[str], partitions: int) -> DataFrame:
     """Rows dealt to a fixed number of partitions by a hash of ``key`` and put in its order,
     so that the same rows and seed give the same trees on every cluster."""
     columns = [c for c in df.columns if c not in key and c != "_deal"]
@@ -109,13 +119,13 @@ def fit_forest(
     min_leaf: int = 5,
     seed: int = SEED,
     key: Sequence[str] = ("station_code", "date"),
-    partitions: int = TRAIN_PARTITIONS,
+    partitions: int | None = None,
 ) -> StatusClassifier:
     """Fit on rows that carry ``label``; classes are weighted to equal shares."""
     counts = {r[0]: r[1] for r in train.groupBy("label").count().collect()}  # one row per class
     weighted = fill_zero(train, features).withColumn("weight", balanced_weight(counts))
     key = [c for c in key if c in weighted.columns] or list(features)
-    weighted = dealt(weighted.select(*dict.fromkeys([*key, *features, "label", "weight"])), key, partitions)
+    weighted = dealt(weighted.select(*dict.fromkeys([*key, *features, "label", "weight"])), key, partitions or training_partitions(sum(counts.values())))
     forest = RandomForestClassifier(
         labelCol="label",
         featuresCol="features",
@@ -123,7 +133,7 @@ def fit_forest(
         numTrees=trees,
         maxDepth=depth,
         minInstancesPerNode=min_leaf,
-        maxMemoryInMB=1024,
+        maxMemoryInMB=LEVEL_MB,
         cacheNodeIds=True,
         seed=seed,
     )
@@ -157,10 +167,12 @@ def cross_validate(
     folds: int = 5,
     key: Sequence[str] = ("station_code", "date"),
     seed: int = SEED,
+    parallelism: int = 3,
     **forest,
 ) -> DataFrame:
     """Accuracy per fold. Stations never straddle folds, and there are at most as
-    many folds as stations or rows of the rarest class."""
+    many folds as stations or rows of the rarest class. The folded features are stored
+    once, and ``parallelism`` folds are fitted at a time."""
     features = select_features(df)
     rows = labelled(df, target)
     group = group_column(rows)
@@ -170,13 +182,19 @@ def cross_validate(
         folded, k = group_folds(rows, group, fold_count(groups, smallest, folds), seed)
     else:
         folded, k = stratified_folds(rows, key, "label", folds, seed)
-    scores = None
-    for i in range(k):
-        model = fit_forest(folded.filter(F.col("fold") != i), features, seed=seed, **forest)
-        score = classification_metrics(model.predict(folded.filter(F.col("fold") == i)))
-        score = score.select(F.lit(i).alias("fold"), "n", "accuracy")
-        scores = score if scores is None else scores.unionByName(score)
-    return scores.filter("n > 0")
+    spark = df.sparkSession
+    kept = [c for c in dict.fromkeys([*key, *features, "label", "fold"]) if c in folded.columns]
+    stored = materialize(fill_zero(folded, features).select(*kept), "folds")
+
+    def one(i: int) -> tuple[int, int, float] | None:
+        model = fit_forest(stored.filter(F.col("fold") != i), features, seed=seed, key=key, **forest)
+        row = classification_metrics(model.predict(stored.filter(F.col("fold") == i))).first()
+        return (i, row["n"], row["accuracy"]) if row["n"] else None
+
+    # Folds are fitted side by side: the levels of one forest leave cores idle that another can use.
+    with ThreadPool(min(parallelism, k)) as pool:
+        scores = pool.map(inheritable_thread_target(spark)(one), range(k))
+    return spark.createDataFrame([s for s in scores if s], "fold int, n long, accuracy double")
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:

@@ -104,12 +104,10 @@ def _narrow(inputs: DataFrame, searches: list[_Search]) -> None:
 def _finish(inputs: DataFrame, searches: list[_Search]) -> None:
     if not searches:
         return
-    exprs = []
-    for i, s in enumerate(searches):
-        x = F.col(s.name)
-        p = s.rank / (s.inside - 1) if s.inside > 1 else 0.0
-        exprs.append(F.percentile(F.when(s.rows(x), x), p).alias(f"v{i}"))
-    row = inputs.agg(*exprs).first()
+    left = inputs.select(*[F.when(s.rows(F.col(s.name)), F.col(s.name)).alias(f"v{i}") for i, s in enumerate(searches)])
+    # The value itself: an interpolated one may miss it by a rounding error, and with it a row at a threshold.
+    exprs = [f"percentile_disc({(s.rank + 0.5) / s.inside!r}D) WITHIN GROUP (ORDER BY v{i}) AS v{i}" for i, s in enumerate(searches)]
+    row = left.agg(*map(F.expr, exprs)).first()
     for i, s in enumerate(searches):
         s.value = row[f"v{i}"]
 

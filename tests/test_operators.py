@@ -307,3 +307,12 @@ def test_gap_fill_keeps_rows_after_the_end(spark):
 def test_chronological_split_is_exact_when_days_repeat(spark):
     rows = spark.range(1000).select(F.lit("S01").alias("station_code"), F.date_add(F.lit(D0), (F.col("id") % 10).cast("int")).alias("date"), "id")
     assert splits.chronological_split(rows, 0.25).filter("split = 'test'").count() == 250
+
+
+def test_ordered_values_are_values_of_the_column(spark):
+    """Every rank, also where its share of the rows is no exact fraction."""
+    rng = random.Random(5)
+    values = [rng.random() * 10**rng.randrange(16) for _ in range(1201)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    ranks = list(range(0, 1201, 7))
+    assert ordered_values(df, {"x": (F.col("x"), ranks)})["x"] == [sorted(values)[r] for r in ranks]

@@ -161,6 +161,60 @@ def predict_labels(spark, sf):
     return scored.groupBy("river_status", "predicted_status").agg(F.count("*").alias("n"))
 
 
+def _threshold_rows(spark, sf):
+    """Daily rows of one group whose status is a threshold of one column: a forest must learn it without an error."""
+    rows = A.daily_measurements(spark, sf).select(F.col("station_code").alias("site"), "date", *PARAMETERS)
+    return materialize(rows.withColumn("river_status", F.when(F.col("an") >= 0.5, "clean").otherwise("polluted")), "threshold")
+
+
+@query(
+    "i08_threshold_folds",
+    """, c AS (SELECT an >= 0.5 AS c, count(*) AS n FROM daily GROUP BY 1)
+    SELECT CAST(k AS INTEGER) AS fold, CAST(sum((n*(k+1))//5 - (n*k)//5) AS BIGINT) AS n, 1e0 AS accuracy FROM c, generate_series(0, 4) t(k) GROUP BY k""",
+)
+def threshold_folds(spark, sf):
+    return classify.cross_validate(_threshold_rows(spark, sf), key=["site", "date"])
+
+
+@query(
+    "i09_threshold_forest",
+    """, c AS (SELECT CASE WHEN an >= 0.5 THEN 'clean' ELSE 'polluted' END AS river_status, count(*) AS n FROM daily GROUP BY 1)
+    SELECT river_status, river_status AS predicted_status, CAST(greatest(1, round(n*0.2e0)) AS BIGINT) AS n FROM c""",
+)
+def threshold_forest(spark, sf):
+    _, scored = classify.train_classifier(_threshold_rows(spark, sf), key=["site", "date"])
+    return scored.groupBy("river_status", "predicted_status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "i10_threshold_labels",
+    """SELECT station_code, date, CASE WHEN an >= 0.5 THEN 'clean' ELSE 'polluted' END AS predicted_status, count(*) AS n FROM measurements GROUP BY ALL""",
+)
+def threshold_labels(spark, sf):
+    """Fitted on one row per station and day, applied to every measurement."""
+    rows = metrics.labelled(_threshold_rows(spark, sf))
+    model = classify.fit_forest(rows, classify.select_features(rows), key=["site", "date"])
+    scored = model.predict(A.measurements(spark, sf))
+    return scored.groupBy("station_code", "date", "predicted_status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "i12_threshold_regression",
+    """SELECT coalesce(CASE WHEN l_partkey % 5 <> 0 THEN station_code END, 'none') AS station_code, an >= 0.5 AS high, count(*) AS n,
+      CASE WHEN an >= 0.5 THEN 80e0 ELSE 20e0 END AS y_pred FROM daily GROUP BY ALL""",
+)
+def threshold_regression(spark, sf):
+    """An index that is a step of one column, and a fifth of the stations missing."""
+    wqi = F.when(F.col("an") >= 0.5, 80.0).otherwise(20.0)
+    station = F.when(F.col("_ord.l_partkey") % 5 != 0, F.col("station_code"))
+    rows = A.daily_measurements(spark, sf).withColumns({"wqi": wqi, "station_code": station, "n": F.lit(1)})
+    rows = materialize(rows.select("station_code", "date", *PARAMETERS, "wqi"), "steps")
+    scored = regress.score_regressor(regress.fit_regressor(rows), rows)
+    # Means of leaves on either side of the step; the forest's mean is off by trees that never drew the column.
+    near = F.when(F.col("y_pred") >= 50, 80.0).otherwise(20.0)
+    return scored.groupBy(F.coalesce("station_code", F.lit("none")).alias("station_code"), (F.col("y_true") == 80).alias("high"), near.alias("y_pred")).agg(F.count("*").alias("n"))
+
+
 _CLASSES = f""", cls AS (SELECT {band('y_true')} AS t, {band('y_pred')} AS p FROM predictions),
   codes AS (SELECT CASE t WHEN 'clean' THEN 0 WHEN 'slightly_polluted' THEN 1 ELSE 2 END AS label, CASE p WHEN 'clean' THEN 0 WHEN 'slightly_polluted' THEN 1 ELSE 2 END AS prediction FROM cls),
   rep AS (SELECT c AS class, (SELECT count(*) FROM codes WHERE label = c) AS support, (SELECT count(*) FROM codes WHERE prediction = c) AS predicted,
