@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -204,30 +205,35 @@ def wqi_data(
     )
 
 
-def filter_readings(
-    df: DataFrame,
+def readings_filter(
     station_name: str | None = None,
     river: str | None = None,
     year: int | None = None,
     status_is: str | None = None,
     date_from: date | None = None,
     date_to: date | None = None,
-) -> DataFrame:
-    """Compound readings filter; no argument means no restriction."""
+) -> Column:
+    """Compound readings filter as one condition; no argument means no restriction."""
+    conditions = []
     if river and river.strip():
-        df = df.filter(matches_river(river))
+        conditions.append(matches_river(river))
     if station_name:
-        df = df.filter(_display_name() == station_name)
+        conditions.append(_display_name() == station_name)
     if year is not None:
-        df = df.filter(within_year(year))
+        conditions.append(within_year(year))
     if status_is:
         wanted = status_is.strip().lower().replace(" ", "_")
-        df = df.filter(status(F.coalesce("wqi", F.lit(0.0)), null_as=POLLUTED) == wanted)
+        conditions.append(status(F.coalesce("wqi", F.lit(0.0)), null_as=POLLUTED) == wanted)
     if date_from:
-        df = df.filter(F.col("date") >= F.lit(date_from))
+        conditions.append(F.col("date") >= F.lit(date_from))
     if date_to:
-        df = df.filter(F.col("date") <= F.lit(date_to))
-    return df
+        conditions.append(F.col("date") <= F.lit(date_to))
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def filter_readings(df: DataFrame, *args, **conditions) -> DataFrame:
+    """Rows that ``readings_filter`` with the same arguments keeps."""
+    return df.filter(readings_filter(*args, **conditions))
 
 
 def filter_forecast(

@@ -179,26 +179,26 @@ def canonical_station_table(stations: DataFrame) -> DataFrame:
 def calendar(hist: DataFrame, year: int, station: str | None = None) -> DataFrame:
     """Every day of ``year`` for each station, WQI where there is a reading.
 
-    The days come from a sequence per distinct station, so no calendar table is
-    crossed with anything. A station that is asked for has its days also
-    without any reading.
+    One pass over the slice: it is reduced to a row per station and day of the year, then
+    to one map of at most 366 days per station, out of which the sequence of days is
+    filled. A station that is asked for has its days also without any reading.
     """
     first, last = date(year, 1, 1), date(year, 12, 31)
     rows = hist.withColumn("station_code", F.upper(F.trim("station_code")))
     if station:
         rows = rows.filter(F.col("station_code") == station.strip().upper())
-        codes = hist.sparkSession.range(1).select(F.lit(station.strip().upper()).alias("station_code"))
-    else:
-        codes = rows.select("station_code").distinct()
-    spine = codes.withColumn(
-        "date", F.explode(F.sequence(F.lit(first), F.lit(last)))
-    )
-    day = (
-        rows.filter(F.col("date").between(F.lit(first), F.lit(last)))
-        .groupBy("station_code", "date")
-        .agg(F.max_by(F.coalesce("wqi", F.lit(0.0)), F.col("id")).alias("_wqi"))
+    inside = F.when(F.col("date").between(F.lit(first), F.lit(last)), F.col("date"))
+    day = rows.groupBy("station_code", inside.alias("_day")).agg(F.max_by(F.coalesce("wqi", F.lit(0.0)), F.col("id")).alias("_wqi"))
+    found = F.collect_list(F.when(F.col("_day").isNotNull(), F.struct("_day", "_wqi")))
+    days = day.groupBy("station_code").agg(F.map_from_entries(found).alias("_days"))
+    if station:
+        asked = hist.sparkSession.range(1).select(F.lit(station.strip().upper()).alias("station_code"))
+        days = asked.join(days, "station_code", "left")
+    spine = days.filter(F.col("station_code").isNotNull()).select(
+        "station_code", "_days", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("date")
     )
-    return spine.join(day, ["station_code", "date"], "left").select(
+    cells = spine.select("station_code", "date", F.try_element_at("_days", F.col("date")).alias("_wqi"))
+    return cells.select(
         "station_code",
         "date",
         F.round("_wqi", 2).alias("wqi"),
@@ -290,18 +290,28 @@ def summary(
 ) -> DataFrame:
     """KPI row: station count, mean index and band counts over the newest row per
     station, unread alerts, and the predicted mean. Zeros when nothing matches."""
-    scope = hist.filter(matches_river(river)) if river else hist
-    band = status(F.coalesce("wqi", F.lit(0.0)), null_as=POLLUTED)
-    kpis = latest_per_station(scope).agg(
-        F.count("*").alias("total_stations"),
-        F.coalesce(F.avg("wqi"), F.lit(0.0)).alias("avg_wqi"),
-        F.count_if(band == CLEAN).alias("clean_count"),
-        F.count_if(band == SLIGHT).alias("slightly_polluted_count"),
-        F.count_if(band == POLLUTED).alias("polluted_count"),
+    band = status(F.coalesce("_wqi", F.lit(0.0)), null_as=POLLUTED)
+    # One pass over the slice: rows per station, and its newest row among those of the river.
+    newest = F.when(matches_river(river), F.struct("date", "id"))
+    stations = (
+        hist.withColumn("_key", station_key())
+        .groupBy("_key")
+        .agg(F.count("*").alias("_n"), F.max(newest).alias("_at"), F.max_by("wqi", newest).alias("_wqi"))
+    )
+    counted = (F.col("_key") != "") & F.col("_at").isNotNull()
+    kpis = stations.agg(
+        F.count_if(counted).alias("total_stations"),
+        F.coalesce(F.avg(F.when(counted, F.col("_wqi"))), F.lit(0.0)).alias("avg_wqi"),
+        F.count_if(counted & (band == CLEAN)).alias("clean_count"),
+        F.count_if(counted & (band == SLIGHT)).alias("slightly_polluted_count"),
+        F.count_if(counted & (band == POLLUTED)).alias("polluted_count"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_records"),
     )
     unread = alerts.agg(F.count_if(~F.coalesce("is_read", F.lit(False))).alias("recent_alerts_count"))
-    records = hist.agg(F.count("*").alias("total_records"))
-    return one_row(kpis, unread, records, predicted_average(points, as_of, end, river))
+    return one_row(kpis, unread, predicted_average(points, as_of, end, river)).select(
+        "total_stations", "avg_wqi", "clean_count", "slightly_polluted_count", "polluted_count",
+        "recent_alerts_count", "total_records", "predicted_avg_wqi",
+    )
 
 
 def overview(hist: DataFrame, as_of: date, end: date = FORECAST_END) -> DataFrame:

@@ -7,19 +7,19 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrolake.operators.history import filter_readings, latest_per_station
+from hydrolake.operators.history import latest_per_station, readings_filter
 from hydrolake.operators.marts import one_row
 from hydrolake.operators.series import gaps
 
 
 def check_filters(hist: DataFrame, station_name: str) -> DataFrame:
     """Without arguments the filter keeps everything; with a station it keeps something."""
-    base = hist.agg(F.count("*").alias("base_count"))
-    unfiltered = filter_readings(hist).agg(F.count("*").alias("unfiltered_count"))
-    station = filter_readings(hist, station_name=station_name).agg(F.count("*").alias("station_count"))
-    return one_row(base, unfiltered, station).withColumn(
-        "passed", (F.col("base_count") == F.col("unfiltered_count")) & (F.col("station_count") > 0)
+    counts = hist.agg(
+        F.count("*").alias("base_count"),
+        F.count_if(readings_filter()).alias("unfiltered_count"),
+        F.count_if(readings_filter(station_name=station_name)).alias("station_count"),
     )
+    return counts.withColumn("passed", (F.col("base_count") == F.col("unfiltered_count")) & (F.col("station_count") > 0))
 
 
 def check_kpis(summary_row: DataFrame, hist: DataFrame, expected_stations: int) -> DataFrame:

@@ -62,15 +62,15 @@ def test_a_batch_writes_what_it_brings(spark, tmp_path):
     table.compact(spark)
     after = files(tmp_path)
     # Only the month of the batch is rewritten, and what was folded is gone.
-    assert {f for f in before if f not in after} == {f for f in before if "month=1995-05" in f}
-    assert all("month=1995-05" in f for f in after if f not in before) and not any(f.startswith("level=0") for f in after)
+    assert {f for f in before if f not in after} == {f for f in before if "period=1995-05" in f}
+    assert all("period=1995-05" in f for f in after if f not in before) and not any(f.startswith("level=0") for f in after)
     assert table.read(spark).count() == 200_000
 
 
 def test_remains_of_a_failed_compaction_do_not_matter(spark, tmp_path):
     table = GenerationTable(str(tmp_path))
     table.append(rows(spark, ("S01", 1, 1, 1.0, 0)), 0)
-    table._write(table._newest(spark.read.parquet(f"{tmp_path}/level=0/part=000000000000").drop("month")), f"{tmp_path}/level=1/part=left")
+    table._write(table._newest(spark.read.parquet(f"{tmp_path}/level=0/part=000000000000").drop("period")), f"{tmp_path}/level=1/part=left")
     table.append(rows(spark, ("S01", 1, 1, 2.0, 0)), 1)
     assert content(table, spark) == [("S01", 1, 1, 2.0)]
     table.compact(spark)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hydrolake import adapters as A
 from hydrolake.constants import POLLUTED, SLIGHT
 from hydrolake.operators import alerts, marts, quality
+from hydrolake.sources.shared import materialize
 from workload.expressions import hist
 from workload.registry import AS_OF, END, query, rounded
 
@@ -171,7 +172,7 @@ def check_filters(spark, sf):
     "SELECT count(*) AS total_stations, count(*) AS recomputed_stations, round(avg(wqi), 6) AS avg_wqi, round(avg(wqi), 6) AS recomputed_avg, count(*) = 7 AS passed FROM latest",
 )
 def check_kpis(spark, sf):
-    slice_ = hist(spark, sf)
+    slice_ = materialize(hist(spark, sf), "slice")  # read by the summary and by the check
     kpis = marts.summary(slice_, A.alerts_log(spark, sf), A.forecast_points(spark, sf), A.AS_OF, A.END)
     return rounded(quality.check_kpis(kpis, slice_, 7))
 

@@ -275,7 +275,7 @@ def upsert_table(spark, sf):
 
 @query("a13_upsert_generations", _UPSERT_SQL + "SELECT station_code, date, do_, bod, round(cod, 6) AS cod, an, tss, ph FROM merged")
 def upsert_generations(spark, sf):
-    table = GenerationTable(new_path(spark, "records"))
+    table = GenerationTable(new_path(spark, "records"), period="yyyy")
     stored, updates = _stored(spark, sf)
     table.append(stored, 0)
     early = F.col("date") <= F.lit(date(1996, 12, 31))
