@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hydrolake import adapters as A
 from hydrolake.constants import PARAMETERS
 from hydrolake.functions.wqi import with_envelope
-from hydrolake.operators import alerts, cleaning, history, marts, series
+from hydrolake.operators import alerts, cleaning, history, marts, register, series
 from hydrolake.plans.dashboard import DashboardState
 from hydrolake.sources.shared import materialize, new_path
 from workload.expressions import STRESS_SQL, hist
@@ -593,3 +593,66 @@ def canonical_station_table(spark, sf):
         F.col("river_name").alias("station_code"), "river_name", F.date_sub("last_reading_date", 400).alias("last_reading_date")
     )
     return marts.canonical_station_table(rows.unionByName(legacy))
+
+
+_REGISTER = """, reg AS (SELECT 'ST' || CAST(s_suppkey AS VARCHAR) AS station_code, 'Sungai ' || s_name AS river_name, s_nationkey AS district FROM supplier),
+  labels AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_linenumber % 4 WHEN 0 THEN ' st' || CAST(l_suppkey AS VARCHAR) || ' ' WHEN 3 THEN 'X' || CAST(l_suppkey AS VARCHAR) ELSE NULL END AS code,
+    CASE l_linenumber % 4 WHEN 1 THEN s_name WHEN 2 THEN 'Sungai ' || s_name WHEN 3 THEN 'Weir' END AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+  resolved AS (SELECT l.*, CASE WHEN l_linenumber % 4 IN (0, 2) THEN reg.station_code WHEN l_linenumber % 4 = 3 THEN upper(code) ELSE name END AS station_code,
+    CASE WHEN l_linenumber % 4 IN (0, 2) THEN reg.river_name WHEN l_linenumber % 4 = 3 THEN 'Weir (' || upper(code) || ')' ELSE name END AS river_name,
+    CASE WHEN l_linenumber % 4 IN (0, 2) THEN district END AS district, l_linenumber % 4 IN (0, 2) AS is_registered
+    FROM labels l JOIN reg ON reg.station_code = 'ST' || CAST(l_suppkey AS VARCHAR))
+"""
+
+
+def _register(spark, sf):
+    """The suppliers as a register of stations."""
+    return A.table(spark, sf, "supplier").select(
+        F.concat(F.lit("ST"), "s_suppkey").alias("station_code"), F.concat(F.lit("Sungai "), "s_name").alias("river_name"), F.col("s_nationkey").alias("district")
+    )
+
+
+def _labels(spark, sf):
+    """Line items with the station's code in another spelling, its name, its river or an unknown code."""
+    kind, names = F.col("l_linenumber") % 4, A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    code = F.when(kind == 0, F.concat(F.lit(" st"), "l_suppkey", F.lit(" "))).when(kind == 3, F.concat(F.lit("X"), "l_suppkey"))
+    name = F.when(kind == 1, F.col("s_name")).when(kind == 2, F.concat(F.lit("Sungai "), "s_name")).when(kind == 3, "Weir")
+    return A.table(spark, sf, "lineitem").join(names, "l_suppkey").select("l_orderkey", "l_linenumber", "l_suppkey", code.alias("station_code"), name.alias("station_name"))
+
+
+@query(
+    "b17_resolve_by_register",
+    _REGISTER + "SELECT station_code, river_name, district, is_registered, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orders FROM resolved GROUP BY ALL",
+)
+def resolve_by_register(spark, sf):
+    found = register.resolve_stations(_labels(spark, sf), _register(spark, sf))
+    by = ["station_code", "river_name", "district", "is_registered"]
+    return found.groupBy(*by).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("orders"))
+
+
+@query(
+    "b19_rows_of_registered_river",
+    _REGISTER + "SELECT l_orderkey, l_linenumber FROM resolved WHERE river_name = (SELECT min(river_name) FROM reg) OR station_code = (SELECT min(river_name) FROM reg)",
+)
+def rows_of_registered_river(spark, sf):
+    river = _register(spark, sf).agg(F.min("river_name")).first()[0]
+    return register.rows_of_river(_labels(spark, sf), _register(spark, sf), f" {river} ").select("l_orderkey", "l_linenumber")
+
+
+@query(
+    "a22_upload_check_by_register",
+    _REGISTER
+    + """SELECT DISTINCT upper(trim(code)) AS station_code, CASE WHEN l_linenumber % 4 = 0 THEN river_name ELSE 'Unknown River' END AS river_name, l_linenumber % 4 = 0 AS is_registered,
+    CASE WHEN l_linenumber % 4 = 3 THEN 'Station code ' || upper(code) || ' is not registered; readings will use ''Unknown River''.' END AS warning
+    FROM resolved WHERE code IS NOT NULL""",
+)
+def upload_check_by_register(spark, sf):
+    return register.upload_check(_labels(spark, sf), _register(spark, sf))
+
+
+@query(
+    "c05_registered_without_rows",
+    _REGISTER + "SELECT station_code, river_name FROM reg WHERE station_code NOT IN (SELECT station_code FROM resolved WHERE is_registered AND l_orderkey % 500 = 1)",
+)
+def registered_without_rows(spark, sf):
+    return register.not_yet_present(_register(spark, sf), _labels(spark, sf).filter("l_orderkey % 500 = 1")).select("station_code", "river_name")
