@@ -1,21 +1,24 @@
-"""Line deduplication: repeated multi-line passages go, the first copy stays.
-
-A rolling hash over the hashes of a line and the lines before it decides where
-a chunk ends, so the same lines are cut alike wherever they stand. Chunks of
-several lines whose hash occurs more than once are compared byte by byte; of
-equal chunks the first, by doc_id and place, stays and the others are removed
-with their line ends.
-
-DataFrame expressions only. Chunk hashes are counted with a map-side combine;
-only chunks that pass a bitmap of repeated hashes (2 MB, whatever the input)
+"""Line deduplication: repeated passages of lines go, the first copy stays.
+
+A rolling hash over the hashes of ``WINDOW`` neighbouring lines that are not blank is
+taken at every line. Windows whose hash occurs more than once anywhere are
+compared byte by byte; of equal windows the first, by doc_id and place, stays. The
+others, joined where they overlap, are the chunks to remove: a chunk begins and ends
+where the text stops being a copy, so its boundaries depend on the repeated lines alone and
+not on what stands around them. A line of more than ``LONG`` words is a window by itself.
+(Boundaries that one line's hash decides leave passages without a whole chunk.)
+
+DataFrame expressions only. Window hashes are counted with a map-side combine;
+only windows that pass a bitmap of repeated hashes (2 MB, whatever the input)
 send their text to another machine, and equal texts are combined before. Joins back to the occurrences carry
 one row per text on one side, so a hot text is a skewed join that Spark splits.
 
-Null texts stay null and hold no lines. Rows with the same doc_id and text
-count as one document and are treated alike; a null doc_id comes before all
-others. Chunks of blank lines only are never removed. A text of one line has
-no chunk to lose. An empty table gives an empty table. Columns named like a
-result column are replaced; others pass through.
+The first copy of any line stays: no window with it can have stood earlier. Null texts stay
+null and hold no lines. Rows with the same doc_id and text count as one document and are
+treated alike; a null doc_id comes before all others. Blank lines (empty, or spaces only) are
+in no window; they go with the lines around them where a removed window spans them. An empty
+table gives an empty table. Columns named like a result column are replaced; others pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,93 +29,87 @@ from pyspark.sql import functions as F
 from hydrolake.llm.filters import hash_filter, maybe_in
 from hydrolake.sources.shared import materialize
 
-#: Lines that the rolling hash sees, the mean length of chunks in lines, and the fewest lines of a chunk that may go.
-WINDOW, DIVISOR, LEAST_LINES = 2, 2, 2
-#: Multiplier between the hashes of neighbouring lines.
-FACTOR = 31
+#: Lines that the rolling hash sees, and words beyond which a line is a passage by itself.
+WINDOW, LONG = 2, 50
+#: Words of a line.
+WORD = r"[^\x20\x09-\x0D]+"
 
 KEY = ("_id", "_text_hash")
 
 
 def place() -> Column:
-    """Where a chunk stands, in the order that decides which copy stays."""
+    """Where a window stands, in the order that decides which copy stays."""
     return F.struct(*KEY, "_k")
 
 
-
 def keyed(docs: DataFrame) -> DataFrame:
-    """Key that tells documents apart even where doc_id is null or repeats."""
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_text_hash": F.xxhash64("text")})
-
-
-def line_hashes(lines: Column) -> Column:
-    return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-
-
-def with_chunks(df: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """Add ``_lines`` and ``_ends``: the last line of each chunk, counted from 1; both null for null texts."""
-
-    def rolled(hashes: Column, i: Column) -> Column:
-        total = F.lit(0)
-        for back in range(window):
-            total = total + F.when(i > back, F.get(hashes, i - 1 - back)).otherwise(0) * FACTOR**back
-        return total
-
-    def ends(lines: Column, hashes: Column) -> Column:
-        n = F.size(lines)
-        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (rolled(hashes, i) % divisor == 0))
-
-    lines = df.withColumn("_lines", F.split("text", "\n", -1))
-    # inline() keeps each array computed once: the optimizer does not copy expressions through it.
-    hashed = lines.select("*", F.inline(F.array(F.struct(line_hashes(F.col("_lines")).alias("_hashes")))))
-    return hashed.withColumn("_ends", ends(F.col("_lines"), F.col("_hashes"))).drop("_hashes")
-
-
-def chunks(df: DataFrame, least_lines: int = LEAST_LINES, keep: tuple[str, ...] = KEY) -> DataFrame:
-    """One row per chunk of several lines: the key, its number ``_k`` and its text ``_chunk``."""
-    cut = df.select(*keep, "_lines", "_ends", F.posexplode("_ends").alias("_k", "_end"))
-    first = F.when(F.col("_k") > 0, F.get("_ends", F.col("_k") - 1) + 1).otherwise(1)
-    long = cut.withColumn("_first", first).where(F.col("_end") - F.col("_first") + 1 >= least_lines)
-    text = F.array_join(F.slice("_lines", F.col("_first"), F.col("_end") - F.col("_first") + 1), "\n")
-    return long.select(*keep, "_k", text.alias("_chunk")).where(F.trim("_chunk") != "")
-
-
-def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> DataFrame:
-    """Chunks to remove: the document's key and the array ``_gone`` of chunk numbers."""
-    found = chunks(with_chunks(docs.select(*KEY, "text"), window, divisor), least_lines).withColumn("_h", F.xxhash64("_chunk"))
-    # A document that repeats with its id counts once: its chunks share a place.
-    twice = found.groupBy("_h").agg(F.min(place()).alias("_a"), F.max(place()).alias("_b")).where("_a < _b")
-    suspects = materialize(maybe_in(found, "_h", hash_filter(twice, "_h")), "chunk-suspects")
+    """The text with a key that tells documents apart even where doc_id is null or repeats; column i of the input is ``_c<i>``."""
+    own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    identity = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return docs.select(*own, identity.alias("_id"), F.xxhash64("text").alias("_text_hash"), F.col("text").alias("_text"))
+
+
+def is_long(line: Column) -> Column:
+    return F.when(F.length(line) > 2 * LONG, F.regexp_count(line, F.lit(WORD)) > LONG).otherwise(False)
+
+
+def windows(df: DataFrame) -> DataFrame:
+    """One row per window: the key, its number ``_k``, its hash ``_h``, its text ``_chunk`` and its lines ``_from`` to ``_to`` (from 1)."""
+    lines = F.transform(F.split("_text", "\n", -1), lambda x, i: F.struct((i + 1).alias("at"), x.alias("line"), F.xxhash64(x).alias("h")))
+    full = F.filter(lines, lambda x: F.trim(x["line"]) != "")
+    # inline() keeps the array computed once: the optimizer does not copy expressions through it.
+    listed = df.where(F.col("_text").isNotNull()).select(*KEY, F.inline(F.array(F.struct(full.alias("_full")))))
+
+    def window(k: Column, size: int) -> Column:
+        seen = [F.get("_full", k + ahead) for ahead in range(size)]
+        return F.struct(
+            k.alias("_k"),
+            F.xxhash64(*[x["h"] for x in seen], F.lit(size)).alias("_h"),
+            F.concat_ws("\n", *[x["line"] for x in seen]).alias("_chunk"),
+            seen[0]["at"].alias("_from"),
+            seen[-1]["at"].alias("_to"),
+        )
+
+    several = F.transform(F.slice("_full", 1, F.greatest(F.size("_full") - (WINDOW - 1), F.lit(0))), lambda x, k: window(k, WINDOW))
+    single = F.filter(F.transform("_full", lambda x, k: F.when(is_long(x["line"]), window(k, 1))), lambda x: x.isNotNull())
+    return listed.select(*KEY, F.inline(F.concat(several, single)))
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """Lines to remove: the document's key and the array ``_gone`` of line numbers (from 1, some more than once)."""
+    found = windows(docs)
+    # Rows that repeat with their id are counted too; the places below sort them out.
+    twice = found.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1")
+    suspects = materialize(maybe_in(found, "_h", hash_filter(twice, "_h")), "window-suspects")
     # Stored, so that the join below shuffles both sides itself and Spark can split a hot text.
     firsts = suspects.groupBy("_h", "_chunk").agg(F.min(place()).alias("_first"), F.max(place()).alias("_last")).where("_first < _last")
-    firsts = materialize(firsts.drop("_last"), "chunk-firsts")
+    firsts = materialize(firsts.drop("_last"), "window-firsts")
     again = suspects.join(firsts, ["_h", "_chunk"]).where(place() > F.col("_first"))
-    return again.groupBy(*KEY).agg(F.collect_set("_k").alias("_gone"))
+    return again.groupBy(*KEY).agg(F.flatten(F.collect_set(F.sequence("_from", "_to"))).alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> DataFrame:
-    """All documents, ``text`` without repeated chunks, with ``n_lines`` before and ``n_removed`` lines gone.
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """All documents, ``text`` without repeated passages, with ``n_lines`` before and ``n_removed`` lines gone.
 
-    A text that loses all its chunks becomes empty. ``n_chars``, if there is
+    A text that loses all its lines becomes empty. ``n_chars``, if there is
     such a column, is counted anew where lines went.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = keyed(docs.select(*columns))
-    joined = base.join(repeated_chunks(base, window, divisor, least_lines), list(KEY), "left")
+    own = [f"_c{i}" for i in range(len(columns))]
+    joined = base.join(repeated_lines(base), list(KEY), "left")
     # Only texts that lose something are cut again; for the others all of this is null.
-    cut = with_chunks(joined.withColumns({"_whole": F.col("text"), "text": F.when(F.col("_gone").isNotNull(), F.col("text"))}), window, divisor)
-    spans = F.transform(
-        "_ends",
-        lambda end, k: F.struct(F.when(k > 0, F.get("_ends", k - 1) + 1).otherwise(1).alias("first"), end.alias("last"), F.array_contains("_gone", k).alias("gone")),
-    )
-    kept = F.flatten(F.transform(F.filter(spans, lambda s: ~s["gone"]), lambda s: F.slice("_lines", s["first"], s["last"] - s["first"] + 1)))
-    left = cut.select("*", F.inline(F.array(F.struct(kept.alias("_kept"))))).withColumn("_new", F.array_join("_kept", "\n"))
-    out = {"text": F.coalesce("_new", "_whole")}
+    lines = F.split(F.when(F.col("_gone").isNotNull(), F.col("_text")), "\n", -1)
+    cut = joined.select(*own, "_text", "_gone", F.inline(F.array(F.struct(lines.alias("_lines")))))
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("_lines")), "_gone"), lambda i: F.get("_lines", i - 1))
+    left = cut.select(*own, "_text", F.size("_lines").alias("_before"), F.inline(F.array(F.struct(kept.alias("_kept")))))
+    new = F.array_join("_kept", "\n")
+    out = {"text": F.coalesce(new, "_text")}
     if "n_chars" in columns:
-        out["n_chars"] = F.coalesce(F.length("_new").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
-    all_lines = F.coalesce(F.length("_whole") - F.length(F.replace("_whole", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+        out["n_chars"] = F.coalesce(F.length(new).cast(docs.schema["n_chars"].dataType), F.col(own[columns.index("n_chars")]))
+    all_lines = F.coalesce(F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     return left.select(
-        *[out[c].alias(c) if c in out else F.col(c) for c in columns],
+        *[out.get(c, F.col(o)).alias(c) for c, o in zip(columns, own)],
         all_lines.alias("n_lines"),
-        F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("_kept").isNotNull(), F.col("_before") - F.size("_kept")).otherwise(0).cast("long").alias("n_removed"),
     )

@@ -40,18 +40,16 @@ FROM turns GROUP BY conv_id"""
 
 
 LINES_SQL = f"""
-WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
-numbered AS (SELECT doc_id, len(parts) AS n, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM cut),
-hashed AS (SELECT *, CAST(concat('0x', substr(md5(line), 1, 8)) AS BIGINT) AS h FROM numbered),
-ended AS (SELECT *, CASE WHEN i = n OR (h + {lines.FACTOR} * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % {lines.DIVISOR} = 0
-  THEN 1 ELSE 0 END AS last FROM hashed),
-placed AS (SELECT *, sum(last) OVER (PARTITION BY doc_id ORDER BY i) - last AS k FROM ended),
-chunks AS (SELECT doc_id, k, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS chunk FROM placed GROUP BY doc_id, k),
-judged AS (SELECT *, size >= {lines.LEAST_LINES} AND trim(chunk) <> ''
-  AND row_number() OVER (PARTITION BY size >= {lines.LEAST_LINES}, chunk ORDER BY doc_id, k) > 1 AS gone FROM chunks)
-SELECT doc_id, CAST(sum(size) AS BIGINT) AS n_lines, CAST(coalesce(sum(size) FILTER (gone), 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+numbered AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM cut),
+full_lines AS (SELECT *, row_number() OVER d AS k, lead(line) OVER d AS next_line, lead(i) OVER d AS next_i FROM numbered WHERE trim(line) <> ''
+  WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+chunks AS (SELECT doc_id, k, line || chr(10) || next_line AS chunk, i AS a, next_i AS b FROM full_lines WHERE next_i IS NOT NULL
+  UNION ALL SELECT doc_id, k, line, i, i FROM full_lines WHERE len(regexp_extract_all(line, '{lines.WORD}')) > {lines.LONG}),
+judged AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM chunks),
+out_lines AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM judged WHERE gone)
+SELECT n.doc_id, count(*) AS n_lines, count(o.i) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY n.i) FILTER (o.i IS NULL), '')) AS kept_sha256
+FROM numbered n LEFT JOIN out_lines o ON o.doc_id = n.doc_id AND o.i = n.i GROUP BY n.doc_id"""
 
 
 def seeds_sql(source: str) -> str:

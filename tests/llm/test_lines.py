@@ -1,6 +1,7 @@
-import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from hydrolake.llm import lines
 from hydrolake.llm.queries import QUERIES, ORACLES
 from tests.llm.conftest import words_of
@@ -8,23 +9,30 @@ from tests.oracle import compare
 
 
 def brute(rows):
-    """(n_lines, n_removed, text) of each (doc_id, text), by a walk in order of id and text hash."""
-
-    def ends(parts):
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in parts]
-        return [i + 1 for i in range(len(h)) if i == len(h) - 1 or (h[i] + 31 * (h[i - 1] if i else 0)) % 2 == 0]
-
+    """(n_lines, n_removed, text) of each (doc_id, text), by maximal runs of lines that stood earlier in that order."""
     seen, out = set(), {}
     for d, text in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0)):
-        parts, low, keep = text.split("\n"), 0, []
-        for high in ends(parts):
-            chunk = "\n".join(parts[low:high])
-            if not (high - low > 1 and chunk.strip(" ") and chunk in seen):
-                keep += parts[low:high]
-            if high - low > 1:
-                seen.add(chunk)
-            low = high
-        out[d] = (len(parts), len(parts) - len(keep), "\n".join(keep))
+        parts = text.split("\n")
+        full = [i for i, x in enumerate(parts) if x.strip(" ")]
+        gone, k = set(), 0
+        new = set()
+        while k < len(full):
+            # The longest run of neighbours that each stood earlier, here or in a document before.
+            end = k
+            while end + 1 < len(full) and (pair := (parts[full[end]], parts[full[end + 1]])) in seen | new:
+                end += 1
+            if end > k:
+                gone |= set(range(full[k], full[end] + 1))
+            if end + 1 < len(full):
+                new.add((parts[full[end]], parts[full[end + 1]]))
+            k = end + 1
+        for i in full:
+            if len(parts[i].split()) > 50:
+                if (parts[i],) in seen | new:
+                    gone.add(i)
+                new.add((parts[i],))
+        seen |= new
+        out[d] = (len(parts), len(gone), "\n".join(x for i, x in enumerate(parts) if i not in gone))
     return out
 
 
@@ -61,19 +69,37 @@ def test_as_brute_force(spark, docs):
 def test_copies_of_a_row_keep_their_text(docs):
     text = "\n".join(f"line number {i}" for i in range(30))
     out = lines.dedup_lines(docs([(1, text), (1, text), (2, text)])).collect()
-    assert sorted((r["doc_id"], r["n_removed"] > 0) for r in out) == [(1, False), (1, False), (2, True)]
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out) == [(1, 0), (1, 0), (2, 30)]
 
 
-def test_passage_is_found_at_any_place(docs):
+def test_whole_passage_goes_at_any_place(docs):
     rng = random.Random(8)
-    passage = [" ".join(words_of(rng, 9)) for _ in range(20)]
-    rows = [(i, "\n".join([f"own {i} {k}" for k in range(i)] + passage + [f"end {i}"])) for i in range(6)]
-    table = docs(rows)
-    # Where the passage is cut does not depend on what stands before it, but for its first line.
-    cut = {r["doc_id"]: [r["_lines"][e - 1] for e in r["_ends"]] for r in lines.with_chunks(table).collect()}
-    assert len({tuple(x for x in cut[i] if x in passage[1:]) for i in cut}) == 1
-    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(table).collect()}
-    assert got[0] == 0 and all(got[i] >= len(passage) // 3 for i in range(1, 6))
+    for size in (2, 3, 5, 20):
+        passage = [" ".join(words_of(rng, 26)) for _ in range(size)]
+        passage[size // 2 : size // 2] = ["", "  "]  # blank lines in it go as well
+        rows = [(i, "\n".join([f"own {size} {i} {k}" for k in range(i)] + passage + [f"end {size} {i}"])) for i in range(6)]
+        got = {r["doc_id"]: r for r in lines.dedup_lines(docs(rows)).collect()}
+        assert got[0]["n_removed"] == 0 and all(got[i]["n_removed"] == size + 2 for i in range(1, 6))
+        assert all(got[i]["text"].split("\n") == [*(f"own {size} {i} {k}" for k in range(i)), f"end {size} {i}"] for i in range(1, 6))
+
+
+def test_equal_lines_and_long_lines(docs):
+    long, short = " ".join(words_of(random.Random(1), 51)), " ".join(words_of(random.Random(2), 50))
+    rows = [(1, "\n".join(["same"] * 50)), (2, "\n".join(["same"] * 50)), (3, f"a\n{long}\nb"), (4, f"c\n{long}\nd"), (5, short), (6, f"x\n{short}"), (7, "\n \n\n"), (8, "\n \n\n")]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(docs(rows)).collect()}
+    # Of equal lines the first stays; one line of fifty words is no passage.
+    assert [got[i]["n_removed"] for i in range(1, 9)] == [49, 50, 0, 1, 0, 0, 0, 0]
+    assert (got[1]["text"], got[2]["text"], got[4]["text"]) == ("same", "", "c\nd")
+
+
+def test_clashing_names_pass_through(docs):
+    names = ["_id", "_text_hash", "_k", "_h", "_chunk", "_gone", "_kept", "_lines", "_row", "_text", "_first", "_full", "_before"]
+    text = "\n".join(f"line {i}" for i in range(9))
+    table = docs([(1, text), (2, text), (3, "other")]).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    out = lines.dedup_lines(table)
+    assert out.columns == [*table.columns, "n_lines", "n_removed"]
+    for r in out.collect():
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in names) and r["n_removed"] == (9 if r["doc_id"] == 2 else 0)
 
 
 def test_empty_table(docs):
