@@ -5,7 +5,9 @@ one substituted word on a 0 does not change the hash. Hashes of all masks at
 all word positions of the documents meet those of the benchmark items. Around
 each hit the words of document and item are compared one to one on that
 alignment: a window of ``width`` words (the whole item, if shorter) must agree
-in ``least`` of its words.
+in ``least`` of its words. Items shorter than ``width`` also have masks as long as
+themselves, which ignore every set of substitutions that the window allows them; an item of
+fewer than five words allows none, so its mask is the whole item.
 
 DataFrame expressions only. The items' seeds, each with its item's word
 hashes, are broadcast while their counted size is below ``BROADCAST_BYTES``,
@@ -14,8 +16,7 @@ bitmap of the seeds are joined to them by a shuffle, and the words of document
 and item are joined to the hits by their ids.
 
 Words are maximal runs of letters and digits, in lower case. Null texts count
-as empty. Items with fewer words than the longest mask spans have no seed and
-are never found. Repeated documents and items are reported each by its id;
+as empty, and an item without words is never found. Repeated documents and items are reported each by its id;
 rows that repeat an id and a text give one row. Documents with the same id are
 one document; a null id is an id. Empty tables give an empty table. Other columns of the inputs are not
 carried, whatever their names.
@@ -23,6 +24,9 @@ carried, whatever their names.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,17 +55,47 @@ def word_key(words: str) -> Column:
     return F.xxhash64(words)
 
 
-def seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """Rows (other columns, ``_words``, ``_at``, ``_seed``): the hash of each mask at each place where it fits."""
-    shortest = min(map(len, masks))
-    n = F.size("_words")
-    places = df.where(n >= shortest).withColumn("_at", F.explode(F.sequence(F.lit(0), n - shortest)))
+def whole_masks(n: int, least: float) -> list[str]:
+    """Masks of length ``n`` of which one reads none of any n - ceil(n * least) positions."""
+    free = n - ceil(n * least - 1e-9)
+    if not free:
+        return ["1" * n]
+    # Positions are dealt to two groups more than there are substitutions; each mask ignores as many groups.
+    return ["".join("0" if i % (free + 2) in out else "1" for i in range(n)) for out in combinations(range(free + 2), free)]
+
+
+def numbered_masks(lengths: list[int], least: float) -> list[tuple[int, str]]:
+    return [(1000 * length + k, m) for length in lengths for k, m in enumerate(whole_masks(length, least))]
+
+
+def seeds(df: DataFrame, masks: tuple[str, ...], short: list[tuple[int, str]] = ()) -> DataFrame:
+    """Rows (other columns, ``_words``, ``_at``, ``_seed``): the hash of each mask at each place where it fits.
+
+    The masks ``short`` are those of whole items. What they read must lie inside the words, what they
+    ignore need not: words beyond the ends of a text count as substituted.
+    """
+    n, at = F.size("_words"), F.col("_at")
+    shortest = 1 if short else min(map(len, masks))
+    lead = max((m.index("1") for _, m in short), default=0)
+    places = df.where(n >= shortest).withColumn("_at", F.explode(F.sequence(F.lit(-lead), n - shortest)))
+
+    def hashed(number: int, mask: str, inside: Column) -> Column:
+        parts = [F.get("_words", at + i) for i, bit in enumerate(mask) if bit == "1"]
+        return F.when(inside, F.xxhash64(F.lit(number), *parts))
+
+    found = [hashed(k, m, (at >= 0) & (at + len(m) <= n) if short else at + len(m) <= n) for k, m in enumerate(masks)]
+    found += [hashed(k, m, (at + m.index("1") >= 0) & (at + m.rindex("1") < n)) for k, m in short]
+    return places.withColumn("_seed", F.explode(F.array(*found))).where(F.col("_seed").isNotNull())
 
-    def hashed(number: int, mask: str) -> Column:
-        parts = [F.get("_words", F.col("_at") + i) for i, bit in enumerate(mask) if bit == "1"]
-        return F.when(F.col("_at") + len(mask) <= n, F.xxhash64(F.lit(number), *parts))
 
-    return places.withColumn("_seed", F.explode(F.array(*[hashed(k, m) for k, m in enumerate(masks)]))).where(F.col("_seed").isNotNull())
+def item_seeds(items: DataFrame, masks: tuple[str, ...], short: list[tuple[int, str]]) -> DataFrame:
+    """Seeds of the items; the masks ``short`` are read at the begin of items of their length only."""
+    known = seeds(items, masks)
+    if not short:
+        return known
+    own = F.array(*[F.when(F.size("_words") == len(m), F.xxhash64(F.lit(k), *[F.get("_words", F.lit(i)) for i, bit in enumerate(m) if bit == "1"])) for k, m in short])
+    whole = items.withColumn("_at", F.lit(0)).withColumn("_seed", F.explode(own)).where(F.col("_seed").isNotNull())
+    return known.unionByName(whole)
 
 
 def bound(value: Column, use) -> Column:
@@ -96,11 +130,14 @@ def contaminated(
     """One row per document and item found in it: ``doc_id``, ``item_id``, ``n_hits`` (seed hits that were
     confirmed) and ``agreeing`` (words that agree in the best window)."""
     items = with_words(benchmark.select("item_id", "text")).distinct()
-    known = seeds(items, masks).withColumnsRenamed({"_words": "_item", "_at": "_item_at"})
+    # At most width - 1 lengths.
+    lengths = sorted(r[0] for r in items.select(F.size("_words")).where(F.size("_words").between(1, width - 1)).distinct().collect())
+    short = numbered_masks(lengths, least)
+    known = item_seeds(items, masks, short).withColumnsRenamed({"_words": "_item", "_at": "_item_at"})
     reach = max(map(len, masks))
     size = known.agg(F.coalesce(F.sum(F.size("_item") * 8 + 40), F.lit(0))).head()[0]
     own = with_words(docs.select("doc_id", "text"))
-    places = seeds(own, masks)
+    places = seeds(own, masks, short)
     if size <= broadcast_bytes:
         hits = places.join(F.broadcast(known), "_seed")
     else:
@@ -120,5 +157,6 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no benchmark item was found, all columns as they were."""
-    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_found")), "left_anti")
+    name = max(["_found", *docs.columns], key=len) + "_"  # longer than any other, so no column of the table
+    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")

@@ -308,5 +308,6 @@ def joined_components(found: DataFrame, more: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, the one with the smallest id; texts without words all stay."""
-    out = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    name = max(["_kept", *docs.columns], key=len) + "_"  # longer than any other, so no column of the table
+    out = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(out, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")

@@ -52,18 +52,25 @@ SELECT n.doc_id, count(*) AS n_lines, count(o.i) AS n_removed, sha256(coalesce(s
 FROM numbered n LEFT JOIN out_lines o ON o.doc_id = n.doc_id AND o.i = n.i GROUP BY n.doc_id"""
 
 
-def seeds_sql(source: str) -> str:
+def seeds_sql(source: str, whole: bool) -> str:
+    """Seeds of general masks, and of those of short items: items as a whole, documents at every place."""
     parts = []
     for number, mask in enumerate(decontaminate.MASKS):
         key = ", ".join(f"words[pos + {i + 1}]" for i, bit in enumerate(mask) if bit == "1")
         parts.append(f"SELECT id, words, pos, concat_ws(' ', '{number}', {key}) AS seed FROM (SELECT *, unnest(range(0, len(words) - {len(mask) - 1})) AS pos FROM {source})")
+    for n in range(1, decontaminate.WIDTH):
+        for number, mask in enumerate(decontaminate.whole_masks(n, decontaminate.LEAST)):
+            key = ", ".join(f"words[pos + {i + 1}]" for i, bit in enumerate(mask) if bit == "1")
+            places = "[0]" if whole else f"range({-mask.index('1')}, len(words) - {mask.rindex('1')})"
+            rows = f"len(words) = {n}" if whole else f"{n} IN (SELECT len(words) FROM b)"
+            parts.append(f"SELECT id, words, pos, concat_ws(' ', '{n}/{number}', {key}) AS seed FROM (SELECT *, unnest({places}) AS pos FROM {source} WHERE {rows})")
     return " UNION ALL ".join(parts)
 
 
 DECONTAMINATE_SQL = f"""
 WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM documents),
 b AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM benchmark),
-ds AS ({seeds_sql("d")}), bs AS ({seeds_sql("b")}),
+ds AS ({seeds_sql("d", False)}), bs AS ({seeds_sql("b", True)}),
 hits AS (SELECT ds.id AS doc_id, bs.id AS item_id, ds.words AS dw, bs.words AS iw, ds.pos - bs.pos AS shift, bs.pos AS pos,
   least({decontaminate.WIDTH}, len(bs.words)) AS need FROM ds JOIN bs ON ds.seed = bs.seed),
 bits AS (SELECT doc_id, item_id, need, list_transform(

@@ -1,6 +1,9 @@
+import itertools
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hydrolake.llm import decontaminate as D
 from hydrolake.llm.queries import ORACLES, QUERIES
@@ -50,6 +53,44 @@ def test_repeated_ids_give_the_same_on_both_paths(spark, docs):
     assert near == far and len(near) >= 4
 
 
+def brute(doc, item, width=D.WIDTH, least=D.LEAST):
+    """Whether a window of the item agrees with the document on some alignment, without any seed."""
+    need = min(width, len(item))
+    for shift in range(-len(item), len(doc)):
+        same = [item[t] == doc[t + shift] for t in range(max(0, -shift), min(len(item), len(doc) - shift))]
+        if any(sum(same[i : i + need]) >= math.ceil(need * least - 1e-9) for i in range(len(same))):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("room", [D.BROADCAST_BYTES, 0])
+def test_short_items_with_every_allowed_substitution(spark, docs, room):
+    rng = random.Random(3)
+    items = {n: [f"item{n}word{i}" for i in range(n)] for n in range(1, 21)}
+    rows = []
+    for n, item in items.items():
+        free = min(n, D.WIDTH) - math.ceil(min(n, D.WIDTH) * D.LEAST - 1e-9)
+        places = list(itertools.combinations(range(n), free))
+        for out in places if n <= D.WIDTH else rng.sample(places, 30):
+            words = [f"other{i}" if i in out else w for i, w in enumerate(item)]
+            rows.append([*words_of(rng, 3), *words, *words_of(rng, 3)])
+        if n < D.WIDTH:
+            rows += [item[free:], item[: n - free], item[free:] + words_of(rng, 4), [*words_of(rng, 4), *item[: n - free]]]
+            rows += [item[free + 1 :], [f"other{i}" if i <= free else w for i, w in enumerate(item)]]  # one too many
+    want = {(d, n) for d, r in enumerate(rows) for n, item in items.items() if brute(r, item)}
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id bigint, text string")
+    got = D.contaminated(docs([" ".join(r) for r in rows]), bench, broadcast_bytes=room)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 300
+
+
+def test_short_item_word_for_word_and_clashing_columns(spark, docs):
+    table = docs(["so alpha beta gamma delta eps it is", "alpha beta gamma", "eps"]).withColumns({n: F.lit(1) for n in ("_found", "_words", "_seed", "item_id")})
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta eps", 2)], "item_id bigint, text string, doc_id int")
+    assert [(r["doc_id"], r["item_id"]) for r in D.contaminated(table, bench).collect()] == [(0, 1)]
+    kept = D.decontaminate(table, bench)
+    assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
 def test_decontaminate_keeps_clean_documents(spark, docs):
     table, bench, leaks, rows = fixture(spark, docs)
     kept = {r["doc_id"] for r in D.decontaminate(table, bench).collect()}

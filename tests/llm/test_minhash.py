@@ -126,3 +126,9 @@ def test_query(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r["doc_id"]: r["class_id"] for r in QUERIES["op10_dart_minhash"](spark, sf).collect()}
     assert got == {d: c for (d, _), c in brute(rows).items()}
+
+
+def test_clashing_column_passes_through(docs):
+    table = docs([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n")]).withColumnRenamed("lang", "_kept")
+    out = minhash.drop_near_duplicates(table)
+    assert out.columns == table.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
