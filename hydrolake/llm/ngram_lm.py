@@ -50,10 +50,11 @@ from hydrolake.sources.shared import materialize
 ORDER, LEVEL_BASE, PRIOR = 2, 2.0, 8.0
 #: Bits of the filter for each n-gram and level, and hash functions.
 BITS_PER_KEY, HASHES = 8, 3
-#: Bits of a block, which holds all bits of an n-gram's level, and parts of the filter, built apart (powers of two).
-BLOCK_BITS, PARTS = 1 << 13, 512
-#: Bits that tell n-grams apart in the filter: with 5e9 n-grams, one absent n-gram in a million is taken for another.
-ID_BITS = 52
+#: Bits of a block, which holds all bits of an n-gram's level, and parts of the filter, built apart: so many (a power of
+#: two), doubled until none has more than ``PART_BYTES``.
+BLOCK_BITS, PARTS, PART_BYTES = 1 << 13, 512, 16 << 20
+#: An n-gram's id has so many bits more than the number of training tokens: an absent one is taken for another once in 4,096.
+SPARE_BITS, LEAST_ID_BITS = 12, 40
 #: Words whose exact counts are broadcast; the others' are joined.
 FREQUENT = 500_000
 #: Partial counts that a task holds at a time, tokens of the texts whose levels are read together, and probes made at a time.
@@ -121,23 +122,37 @@ def unigram_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key bigint, count bigint").groupBy("key").agg(F.sum("count").alias("count"))
 
 
-def ident(key: np.ndarray) -> np.ndarray:
-    """The ``ID_BITS`` bits by which the filter knows an n-gram; the highest tell its part."""
-    return mix(key) >> U64(64 - ID_BITS)
+@dataclass(frozen=True)
+class Ids:
+    """How the filter knows n-grams: by ids of ``bits`` bits, the highest of which tell the part, one of ``parts``."""
 
+    bits: int
+    parts: int
 
-def part_of(ids: np.ndarray) -> np.ndarray:
-    """The part of the filter that holds all levels of an n-gram."""
-    return (ids >> U64(ID_BITS - PARTS.bit_length() + 1)).astype(np.int64)
+    def of(self, key: np.ndarray) -> np.ndarray:
+        return mix(key) >> U64(64 - self.bits)
 
+    def part(self, ids: np.ndarray) -> np.ndarray:
+        """The part of the filter that holds all levels of an n-gram."""
+        return (ids >> U64(self.bits - self.parts.bit_length() + 1)).astype(np.int64)
 
-def planes(ids: np.ndarray) -> bytes:
-    """Ascending numbers as differences, bytes of one rank together, so that what is zero compresses."""
-    return np.diff(ids, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers with the bytes of one rank together, so that what is zero compresses."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=U64)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def rising(ids: np.ndarray) -> bytes:
+    """Ascending numbers as the ``planes`` of their differences."""
+    return planes(np.diff(ids, prepend=U64(0)))
+
+
+def from_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data), dtype=U64)
 
 
 def level_of(count: np.ndarray, base: float) -> np.ndarray:
@@ -173,6 +188,7 @@ class Filter:
     """The filter's bytes and what is needed to read counts from it."""
 
     bits: np.ndarray
+    ids: Ids
     blocks: int
     hashes: int
     base: float
@@ -188,8 +204,8 @@ class Filter:
 
     def levels(self, key: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Level of each n-gram, 0 if absent, never above ``limit``."""
-        ids = ident(key)
-        return self.read(ids, part_of(ids), limit)
+        ids = self.ids.of(key)
+        return self.read(ids, self.ids.part(ids), limit)
 
     def read(self, ids: np.ndarray, part: np.ndarray, limit: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
@@ -238,12 +254,12 @@ class Filter:
         return np.log10(p)
 
 
-def by_part(ids: np.ndarray) -> tuple[pa.Array, pa.Array, list[tuple[int, int]]]:
-    """Ascending ids, one row for each part of the filter: the part, its ids in ``planes``, and where they stand."""
-    part = part_of(ids)
+def by_part(how: Ids, ids: np.ndarray) -> tuple[pa.Array, pa.Array, list[tuple[int, int]]]:
+    """Ascending ids, one row for each part of the filter: the part, its ids packed, and where they stand."""
+    part = how.part(ids)
     cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
     ends = list(zip(cut[:-1], cut[1:]))
-    return pa.array([int(part[a]) for a, _ in ends], pa.int32()), pa.array([planes(ids[a:b]) for a, b in ends], pa.binary()), ends
+    return pa.array([int(part[a]) for a, _ in ends], pa.int32()), pa.array([rising(ids[a:b]) for a, b in ends], pa.binary()), ends
 
 
 def filter_parts(
@@ -267,16 +283,20 @@ def filter_parts(
     n_tokens = int(stats["tokens"] or 0)
     # Room for every n-gram that occurs, were all of them different.
     wanted = (n_tokens * (order - 1) + stats["words"]) * bits_per_key
-    blocks = max(1, -(-wanted // (PARTS * BLOCK_BITS)))
     if most_bytes is not None:
-        blocks = max(1, min(blocks, most_bytes * 8 // (PARTS * BLOCK_BITS)))
+        wanted = min(wanted, most_bytes * 8)
+    n_parts = PARTS
+    while wanted > n_parts * PART_BYTES * 8:
+        n_parts *= 2
+    blocks = max(1, -(-wanted // (n_parts * BLOCK_BITS)))
+    how = Ids(min(60, max(LEAST_ID_BITS, n_tokens.bit_length() + SPARE_BITS)), n_parts)
 
     def counted(key: np.ndarray, count: np.ndarray, n: int) -> pa.RecordBatch:
-        ids = ident(key)
+        ids = how.of(key)
         order = np.argsort(ids)
-        part, keys, ends = by_part(ids[order])
-        count = count[order].astype("<u4" if count.max() < 2**32 else "<u8")
-        counts = pa.array([count[a:b].tobytes() for a, b in ends], pa.binary())
+        part, keys, ends = by_part(how, ids[order])
+        count = count[order]
+        counts = pa.array([planes(count[a:b]) for a, b in ends], pa.binary())
         return pa.RecordBatch.from_arrays([part, pa.array([n] * len(ends), pa.int32()), keys, counts], names=["part", "n", "keys", "counts"])
 
     schema = "part int, n int, keys binary, counts binary"
@@ -301,9 +321,8 @@ def filter_parts(
     def fill(key, table):
         keys, counts, most = [], [], {}
         for n, k, c in zip(*(table.column(x).to_pylist() for x in ("n", "keys", "counts"))):
-            k = from_planes(k)
-            keys.append(k)
-            counts.append(np.frombuffer(c, "<u4" if len(c) == 4 * len(k) else "<u8").astype(np.int64))
+            keys.append(from_rising(k))
+            counts.append(from_planes(c).astype(np.int64))
             most.setdefault(n, []).append(len(keys) - 1)
         top = {n: int(level_of(combined([keys[i] for i in at], [counts[i] for i in at])[1], base).max()) for n, at in most.items()}
         k, c = combined(keys, counts)
@@ -318,78 +337,96 @@ def filter_parts(
         )
 
     parts = materialize(rows.groupBy("part").applyInArrow(fill, "part int, most array<int>, n_set bigint, bytes binary"), "filter")
-    most = np.zeros(order, int)
-    for row in parts.select("most").collect():  # one row per part
-        most = np.maximum(most, row["most"])
-    return Filter(np.zeros(0, np.uint8), blocks, hashes, base, n_tokens, int(stats["words"]), tuple(most.tolist()), order, prior), parts
+    most = tuple(x or 0 for x in parts.agg(*[F.max(F.col("most")[i]) for i in range(order)]).head())
+    return Filter(np.zeros(0, np.uint8), how, blocks, hashes, base, n_tokens, int(stats["words"]), most, order, prior), parts
 
 
 def build(unigrams: DataFrame, texts: DataFrame, **options) -> Filter:
     """The filter with its bits, gathered on the driver: for small models; see ``filter_parts``."""
     model, parts = filter_parts(unigrams, texts, **options)
     size = model.blocks * BLOCK_BITS // 8
-    bits = np.zeros(PARTS * size, np.uint8)
+    bits = np.zeros(model.ids.parts * size, np.uint8)
     for row in parts.toLocalIterator():
         bits[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bytes"], np.uint8)
     return replace(model, bits=bits)
 
 
-def all_ids(token: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
+def all_ids(how: Ids, token: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
     """Ids of the distinct tokens and of the n-grams of each higher order, in their order."""
-    return [ident(np.unique(token)), *(ident(ngrams(token, doc, n)[0]) for n in range(2, order + 1))]
+    return [how.of(np.unique(token)), *(how.of(ngrams(token, doc, n)[0]) for n in range(2, order + 1))]
 
 
 def model_scores(texts: DataFrame, model: Filter, parts: DataFrame) -> DataFrame:
     """``_row`` and ``score`` of texts (``_row``, ``_group``, ``text``), from the filter's parts."""
     top = max(model.most)
+    small = "u1" if top < 256 else "<u2"
+
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in slices(batches, "text"):
+            groups = np.asarray(batch.column("_group"))
+            cut = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+            for a, b in zip(cut[:-1], cut[1:]):
+                yield int(groups[a]), batch.slice(a, b - a)
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(group: int, ids: list[np.ndarray]) -> pa.RecordBatch:
-            part, keys, ends = by_part(np.unique(np.concatenate(ids)))
+            part, keys, ends = by_part(model.ids, np.unique(np.concatenate(ids)))
             return pa.RecordBatch.from_arrays([part, keys, pa.array([group] * len(ends), pa.int64())], names=["part", "keys", "_group"])
 
         group, ids = None, []
-        for batch in slices(batches, "text"):
-            groups = np.asarray(batch.column("_group"))
-            cut = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
-            for a, b in zip(cut[:-1], cut[1:]):
-                if ids and group != groups[a]:
-                    yield sent(group, ids)
-                    ids = []
-                group = int(groups[a])
-                ids += all_ids(*tokens(encoded(batch.column("text").slice(a, b - a))), model.order)
+        for at, batch in runs(batches):
+            if ids and group != at:
+                yield sent(group, ids)
+                ids = []
+            group = at
+            ids += all_ids(model.ids, *tokens(encoded(batch.column("text"))), model.order)
         if ids:
             yield sent(group, ids)
 
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, batch in runs(batches):
+            texts = encoded(batch.column("text"))
+            row = [group, planes(np.asarray(batch.column("_row")).astype(U64)), planes(np.array([len(t) for t in texts])), pa.compress(b"".join(texts), "zstd", asbytes=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["_group", "rows", "sizes", "texts"])
+
     def read(part: pa.Table, probes: pa.Table) -> pa.Table:
         found: dict[int, list[np.ndarray]] = {}
         for group, keys in zip(probes.column("_group").to_pylist(), probes.column("keys").to_pylist()):
-            found.setdefault(group, []).append(from_planes(keys))
+            found.setdefault(group, []).append(from_rising(keys))
         # A group that two tasks have read sends its n-grams in two pieces.
         asked = {g: k[0] if len(k) == 1 else np.unique(np.concatenate(k)) for g, k in found.items()}
-        out = {g: np.zeros(len(k), "<u2") for g, k in asked.items()}
+        out = {g: np.zeros(len(k), small) for g, k in asked.items()}
         if part.num_rows and asked:
             own = replace(model, bits=np.frombuffer(part.column("bytes")[0].as_py(), np.uint8))
             key, ends = np.concatenate(list(asked.values())), np.cumsum([len(k) for k in asked.values()])
             pieces = [key[i : i + PROBED] for i in range(0, len(key), PROBED)]
             level = np.concatenate([own.read(k, np.zeros(len(k), np.int64), np.full(len(k), top)) for k in pieces])
-            out = dict(zip(asked, (x.astype("<u2") for x in np.split(level, ends[:-1]))))
+            out = dict(zip(asked, (x.astype(small) for x in np.split(level, ends[:-1]))))
         number = (probes if probes.num_rows else part).column("part")[0].as_py()
         return pa.table({"_group": pa.array(out, pa.int64()), "part": pa.array([number] * len(out), pa.int32()), "levels": pa.array([x.tobytes() for x in out.values()], pa.binary())})
 
     def score(docs: pa.Table, levels: pa.Table) -> pa.Table:
-        token, doc = tokens(encoded(docs.column("text").combine_chunks()))
-        ids = all_ids(token, doc, model.order)
+        rows, texts = [], []
+        for row, sizes, data in zip(*(docs.column(c).to_pylist() for c in ("rows", "sizes", "texts"))):
+            ends = np.cumsum(from_planes(sizes).astype(np.int64)).tolist()
+            data = pa.decompress(data, ends[-1], "zstd", asbytes=True)
+            rows.append(from_planes(row).astype(np.int64))
+            texts += [data[a:b] for a, b in zip([0, *ends], ends)]
+        if not texts:
+            return pa.table({"_row": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        token, doc = tokens(texts)
+        ids = all_ids(model.ids, token, doc, model.order)
         _, at = np.unique(np.concatenate(ids), return_inverse=True)
         # Parts in order, and the ids of each ascending: the order of all ids.
-        level = np.frombuffer(b"".join(levels.sort_by("part").column("levels").to_pylist()), "<u2").astype(np.int64)[at]
+        level = np.frombuffer(b"".join(levels.sort_by("part").column("levels").to_pylist()), small).astype(np.int64)[at]
         by_order = np.split(level, np.cumsum([len(x) for x in ids])[:-1])
         value = model.log10(token, doc, lambda n: by_order[n - 1])
-        return pa.table({"_row": docs.column("_row"), "score": pa.array(np.bincount(doc, value, docs.num_rows))})
+        return pa.table({"_row": pa.array(np.concatenate(rows)), "score": pa.array(np.bincount(doc, value, len(texts)))})
 
     probes = texts.select("_group", "text").mapInArrow(probe, "part int, keys binary, _group bigint")
     levels = parts.select("part", "bytes").groupBy("part").cogroup(probes.groupBy("part")).applyInArrow(read, "_group bigint, part int, levels binary")
-    return texts.groupBy("_group").cogroup(levels.groupBy("_group")).applyInArrow(score, "_row bigint, score double")
+    packed = texts.select("_row", "_group", "text").mapInArrow(pack, "_group bigint, rows binary, sizes binary, texts binary")
+    return packed.groupBy("_group").cogroup(levels.groupBy("_group")).applyInArrow(score, "_row bigint, score double")
 
 
 def frequent_words(unigrams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
