@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hydrolake.constants import CUTOFF_YEAR, LAG_ROWS, PARAMETERS, ROLLING_ROWS
@@ -80,19 +80,21 @@ def prepare_training(
 ) -> TrainingSet:
     """load -> clean -> impute -> index -> select -> scale -> chronological split.
 
-    Row counts per stage come from one scan each over stored tables.
+    Row counts per stage are observed while the stages are stored: no job only counts them.
     """
-    cleaned = materialize(clean(df).drop("_ord"), "cleaned")
-    imputed = impute(cleaned, strategy)
-    scored = materialize(add_wqi(imputed), "scored")
+    seen = {name: Observation(name) for name in ("raw", "clean", "imputed", "sides")}
+    n = F.count(F.lit(1)).alias("n")
+    cleaned = materialize(clean(df.observe(seen["raw"], n)).drop("_ord").observe(seen["clean"], n), "cleaned")
+    scored = materialize(add_wqi(impute(cleaned, strategy)).observe(seen["imputed"], n), "scored")
     features = [c for c in (*PARAMETERS, "wqi") if c in scored.columns]
     if drop_low_variance:
         features = varying_columns(scored, features)
     scaler = fit_scaler(scored, features, method)
     split = chronological_split(scaler.transform(scored), test, tie)
-    counts = {"raw": df.count(), "clean": cleaned.count(), "imputed": scored.count()}
-    counts |= {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}  # two rows
-    return TrainingSet(split, features, scaler, counts)
+    sides = [F.count_if(F.col("split") == side).alias(side) for side in ("train", "test")]
+    split = materialize(split.observe(seen["sides"], *sides), "split")
+    counts = {name: seen[name].get["n"] for name in ("raw", "clean", "imputed")} | seen["sides"].get
+    return TrainingSet(split, features, scaler, {name: count for name, count in counts.items() if count or name not in ("train", "test")})
 
 
 def prepare_upload(df: DataFrame, cutoff_year: int = CUTOFF_YEAR) -> DataFrame:

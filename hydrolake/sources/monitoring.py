@@ -146,22 +146,52 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFra
     )
 
 
+def _sheet(path: Column) -> Column:
+    """Path of the sheet that a file belongs to: the file itself, or the folder of files that a job
+    has written side by side (``part-...``), so a sheet may be as large as a table."""
+    return F.regexp_replace(path, r"/part-[^/]*$", "")
+
+
+def list_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """``list_files`` by sheet, with ``n_files``: a folder of part files counts as one sheet, named like the folder
+    (``River.csv/part-...``) or, in a partitioned table, like its value (``river_name=River/part-...``)."""
+    path = F.col("file_path")
+    last = F.regexp_extract(path, r"[^/]+$", 0)
+    # Partition folders escape their values once more than paths do.
+    value = F.url_decode(F.url_decode(F.regexp_extract(last, r"^[^=]*=(.*)$", 1)))
+    in_table = (F.col("n_parts") > 0) & last.contains("=")
+    sheets = list_files(spark, folder).groupBy(_sheet(path).alias("file_path")).agg(
+        F.sum("size_bytes").alias("size_bytes"),
+        F.max("modified").alias("modified"),
+        F.count("*").alias("n_files"),
+        F.count_if(_sheet(path) != path).alias("n_parts"),
+    )
+    return sheets.select(
+        "file_path",
+        F.when(in_table, value).otherwise(F.url_decode(last)).alias("file_name"),
+        F.when(in_table, value).otherwise(_stem(path)).alias("stem"),
+        "size_bytes",
+        "modified",
+        "n_files",
+    )
+
+
 def catalog_one_per_river(spark: SparkSession, folder: str) -> DataFrame:
-    """One file per river (file stem, ignoring case): the largest, then the first by path."""
-    files = list_files(spark, folder).withColumn("_key", F.lower(F.trim("stem")))
-    return dedup(files, ["_key"], [F.desc("size_bytes"), F.asc("file_path")]).drop("_key")
+    """One sheet per river (its stem, ignoring case): the largest, then the first by path."""
+    found = list_sheets(spark, folder).withColumn("_key", F.lower(F.trim("stem")))
+    return dedup(found, ["_key"], [F.desc("size_bytes"), F.asc("file_path")]).drop("_key")
 
 
 def file_row_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Data rows per CSV file (no column is parsed for the count)."""
+    """Data rows per sheet (no column is parsed for the count)."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder, header=True)
-    return rows.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count("*").alias("row_count"))
+    return rows.groupBy(_sheet(F.col("_metadata.file_path")).alias("file_path")).agg(F.count("*").alias("row_count"))
 
 
 def dataset_catalog(spark: SparkSession, folder: str, registry: DataFrame) -> DataFrame:
-    """Registered datasets plus the unregistered files of the folder; the registry wins by name."""
+    """Registered datasets plus the unregistered sheets of the folder; the registry wins by name."""
     listed = (
-        list_files(spark, folder)
+        list_sheets(spark, folder)
         .join(file_row_counts(spark, folder), "file_path", "left")
         .select(
             F.col("file_name").alias("name"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hydrolake.functions.wqi import status_label
 from hydrolake.operators.history import upsert
 from hydrolake.operators.scaling import LinearScaler
-from hydrolake.sources.shared import materialize
+from hydrolake.sources.shared import staged
 
 
 def write_by_river(df: DataFrame, path: str) -> None:
@@ -73,7 +73,8 @@ def upsert_table(
 
     Only the years that occur among the updates are read and rewritten. The
     merged years are first written to the shared folder, then swapped in with a
-    dynamic partition overwrite, so a failed job can be run again.
+    dynamic partition overwrite, so a failed job can be run again. The staged
+    copy goes once the swap has succeeded.
     """
     spark = updates.sparkSession
     updates = updates.filter(F.col("date").isNotNull())
@@ -83,8 +84,8 @@ def upsert_table(
     else:
         years = [r[0] for r in updates.select(F.year("date")).distinct().collect()]  # one row per calendar year
         merged = upsert(stored.filter(F.col("year").isin(years)).drop("year"), updates, keys, order, by_order)
-    staged = materialize(_by_year(merged), "upsert")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    with staged(_by_year(merged), "upsert") as years:
+        years.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
 def append_events(events: DataFrame, path: str, run_id: str) -> None:

@@ -1,10 +1,13 @@
 import json
+import os
 from datetime import date
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from hydrolake.operators.cleaning import coerce_numeric, missing_columns
+from hydrolake.plans.preprocessing import prepare_training
 from hydrolake.sources import monitoring, shared, sinks
 
 
@@ -54,6 +57,42 @@ def test_one_file_per_river_keeps_the_largest(spark, tmp_path):
     assert set(got) == {"Sungai Klang", "sungai gombak"} and "/y/" in got["Sungai Klang"]
 
 
+def test_folders_of_parts_are_sheets(spark, tmp_path):
+    rivers = spark.createDataFrame([("Sungai Klang", 40), ("50% Sg: A/B", 3)], "river_name string, n int")
+    rows = rivers.select("river_name", F.explode(F.sequence(F.lit(1), "n")).alias("do_"))
+    # Two part files of a river in a partitioned table, a folder named like a file, and a plain file.
+    rows.repartition(2).write.partitionBy("river_name").option("header", True).csv(str(tmp_path / "table"))
+    rows.filter("do_ <= 2").repartition(2).write.option("header", True).csv(str(tmp_path / "Sungai Gombak.csv"))
+    (tmp_path / "sungai klang.csv").write_text("date,DO\n2023-01-01,5\n")
+    got = {r.stem: r for r in monitoring.catalog_one_per_river(spark, str(tmp_path)).collect()}
+    counts = {r.file_path: r.row_count for r in monitoring.file_row_counts(spark, str(tmp_path)).collect()}
+    assert {stem: counts[r.file_path] for stem, r in got.items()} == {"Sungai Klang": 40, "50% Sg: A/B": 3, "Sungai Gombak": 4}
+    assert (got["Sungai Klang"].n_files, got["Sungai Gombak"].file_name) == (2, "Sungai Gombak.csv")
+    out = monitoring.dataset_catalog(spark, str(tmp_path), spark.createDataFrame([], "name string, row_count long"))
+    assert sorted((r["name"], r.row_count) for r in out.collect()) == [("50% Sg: A/B", 3), ("Sungai Gombak.csv", 4), ("Sungai Klang", 40), ("sungai klang.csv", 1)]
+
+
+def test_staged_copy_goes_unless_the_block_fails(spark):
+    rows = spark.range(3)
+    with shared.staged(rows, "staged") as copy:
+        assert copy.count() == 3
+        kept = copy.inputFiles()
+    with pytest.raises(ValueError), shared.staged(rows, "staged") as copy:
+        left = copy.inputFiles()
+        raise ValueError
+    assert not any(os.path.exists(urlparse(f).path) for f in kept)
+    assert all(os.path.exists(urlparse(f).path) for f in left)
+
+
+def test_counts_of_training_set_are_observed(spark):
+    schema = "station_code string, date date, do_ double, bod double, cod double, an double, tss double, ph double, _ord long"
+    values = [("S01", date(2000, 1, 1 + i), 6.0 + i, 2.0, 20.0, 0.3, 30.0, 7.0, i) for i in range(10)]
+    rows = spark.createDataFrame([*values, (*values[0][:-1], 99)], schema)
+    made = prepare_training(rows)
+    assert made.counts == {"raw": 11, "clean": 10, "imputed": 10, "train": 8, "test": 2}
+    assert {r["split"]: r["count"] for r in made.rows.groupBy("split").count().collect()} == {"train": 8, "test": 2}
+
+
 def test_catalog_prefers_the_registry(spark, tmp_path):
     (tmp_path / "a.csv").write_text("date,DO\n2023-01-01,5\n2023-01-02,5\n")
     (tmp_path / "b.csv").write_text("date,DO\n2023-01-01,5\n")

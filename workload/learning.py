@@ -389,6 +389,20 @@ def evaluate_stored_model(spark, sf):
     return rounded(training.evaluate_classifier(spark, path, split.filter("split = 'test'").drop("split")))
 
 
+@query(
+    "i25_evaluate_stored_regressor",
+    """SELECT count(*) AS n, round(avg(CASE WHEN an >= 0.5 THEN 80e0 ELSE 20e0 END), 6) AS mean_y_true, TRUE AS explains, TRUE AS near FROM daily""",
+)
+def evaluate_stored_regressor(spark, sf):
+    """A regressor of a step of one column, stored, read again and evaluated from its folder."""
+    rows = _stored_daily(spark, sf).withColumn("wqi", F.when(F.col("an") >= 0.5, 80.0).otherwise(20.0))
+    path = new_path(spark, "regressor")
+    regress.fit_regressor(rows, trees=60).write().save(path)
+    found = training.evaluate_regressor(path, rows)
+    mean = rows.agg(F.round(F.avg("wqi"), 6).alias("mean_y_true"))
+    return found.select("n", (F.col("r2") > 0.8).alias("explains"), (F.col("mae") < 10).alias("near")).withColumn("mean_y_true", F.lit(mean.first()[0]))
+
+
 @query("i26_model_round_trip", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_different FROM readings")
 def model_round_trip(spark, sf):
     rows = _stored_daily(spark, sf)

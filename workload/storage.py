@@ -86,29 +86,15 @@ def first_listed_source_wins(spark, sf):
     """SELECT river_name AS stem, count(*) AS row_count FROM readings GROUP BY 1""",
 )
 def one_file_per_river(spark, sf):
-    # The same rivers in two folders: the larger copy of each file must be kept.
-    rows = A.readings(spark, sf).select("date", "station_code", "wqi", F.col("river_name").alias("folder"))
+    # The same rivers in two folders: the larger copy of each sheet must be kept.
+    rows = A.readings(spark, sf).select("date", "station_code", "wqi", "river_name")
     root = new_path(spark, "rivers")
-    _write_named_files(rows.filter(F.col("date") <= F.lit(date(1996, 12, 31))), f"{root}/early")
-    _write_named_files(rows, f"{root}/full")
+    sinks.write_by_river(rows.filter(F.col("date") <= F.lit(date(1996, 12, 31))), f"{root}/early")
+    sinks.write_by_river(rows, f"{root}/full")
     chosen = monitoring.catalog_one_per_river(spark, root)
     return chosen.join(monitoring.file_row_counts(spark, root), "file_path").select("stem", "row_count")
 
 
-def _write_named_files(df, path):
-    """One CSV file per station, named like a river sheet (small fixture files)."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    df.repartition(7, "folder").write.partitionBy("folder").option("header", True).csv(path)
-    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for folder in fs.listStatus(hadoop.Path(path)):
-        name = folder.getPath().getName()
-        if name.startswith("folder="):
-            for part in fs.globStatus(hadoop.Path(f"{path}/{name.replace(' ', '?').replace('%20', '?')}/part-*.csv")):
-                target = hadoop.Path(f"{path}/{name.split('=', 1)[1]}.csv")
-                fs.rename(part.getPath(), target)
-
-
 @query("a04_normalize_headers", f"SELECT date, station_code, do_, bod, round(cod, 6) AS cod, an, tss, ph, {ORD} FROM measurements")
 def normalize_headers(spark, sf):
     rows = A.measurements(spark, sf)
@@ -181,8 +167,7 @@ def numeric_names(spark, sf):
 )
 def dataset_catalog(spark, sf):
     root = new_path(spark, "uploads")
-    rows = A.readings(spark, sf).select("date", "station_code", "wqi", F.col("river_name").alias("folder"))
-    _write_named_files(rows, root)
+    sinks.write_by_river(A.readings(spark, sf).select("date", "station_code", "wqi", "river_name"), root)
     registry = A.table(spark, sf, "lineitem").agg(F.count("*").alias("row_count")).select(
         F.lit("base.csv").alias("name"), F.lit("registry").alias("file_path"), F.lit(0).cast("long").alias("file_size_bytes"),
         "row_count", F.lit("All").alias("river_name"), F.lit(1).alias("dataset_id"),
