@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hydrolake.llm.columns import apart
 from hydrolake.llm.tokens import BASE, U64, combine, encoded, mix, slices, words
 from hydrolake.sources.shared import materialize
 
@@ -453,8 +454,7 @@ def scored(df: DataFrame, train: DataFrame, frequent: int = FREQUENT, **options)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = df.sparkSession
-    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_row", "_group", "_rare", "_times")
-    df = df.drop(*new)
+    df, named = apart(df.drop("n_tokens", "n_known", "train_tokens", "base_score", "score"), ["text"])
     unigrams = materialize(unigram_counts(train), "unigrams")
     model, parts = filter_parts(unigrams, train, **options)
     keys, counts = frequent_words(unigrams, frequent)
@@ -520,7 +520,7 @@ def scored(df: DataFrame, train: DataFrame, frequent: int = FREQUENT, **options)
         )
         out = out.join(sums, "_row", "left")
         extra = {"_base": F.coalesce("_base", F.lit(0.0)), "_known": F.coalesce("_known", F.lit(0))}
-    return out.select(
+    out = out.select(
         *df.columns,
         "n_tokens",
         (F.col("n_known") + extra["_known"]).alias("n_known"),
@@ -528,3 +528,4 @@ def scored(df: DataFrame, train: DataFrame, frequent: int = FREQUENT, **options)
         (F.col("base_score") + extra["_base"]).alias("base_score"),
         "score",
     )
+    return named(out)

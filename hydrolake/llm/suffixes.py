@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hydrolake.llm.columns import apart
 from hydrolake.llm.filters import hash_filter
 from hydrolake.llm.tokens import U64, Rolling, combine, encoded, join_texts, slices
 from hydrolake.sources.shared import materialize
@@ -291,7 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     from pyspark.sql.pandas.types import to_arrow_schema
 
     results = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
-    docs = docs.drop(*[f.name for f in results])
+    docs, named = apart(docs.drop(*[f.name for f in results]), ["doc_id", "text"])
     base = keyed(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     spans = repeated_spans(base, length, anchor, **options)
     digests = base.select(*KEY, F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("high")).where(F.col("high") >= length)
@@ -320,4 +321,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 pieces.append(len(merged))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept_columns], pa.array(sizes), pa.array(removed), pa.array(pieces), pa.array(kept, pa.binary())], schema=schema)
 
-    return joined.select(*kept_columns, "text", "_spans").mapInArrow(run, target)
+    return named(joined.select(*kept_columns, "text", "_spans").mapInArrow(run, target))

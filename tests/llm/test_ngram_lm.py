@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from hydrolake.llm import ngram_lm
 from hydrolake.llm.queries import QUERIES
@@ -119,6 +120,17 @@ def test_scores_from_parts_are_those_of_the_whole_filter(docs, monkeypatch):
                 assert abs(r["score"] - want) <= 1e-9 * max(1, abs(want))
 
 
+def test_columns_named_like_internal_ones_pass_through(docs):
+    extra = ["_row", "_group", "_rare", "_times", "_base", "_known", "key", "count", "a.b"]
+    table = docs(some_rows()[:30]).withColumns({c: F.lit(c) for c in extra})
+    learn = table.select("text")
+    for frequent in (10, 10**6):
+        out = ngram_lm.scored(table, learn, frequent=frequent)
+        assert out.columns == [*table.columns, *RESULT]
+        rows = out.collect()
+        assert len(rows) == 30 and all(r[c] == c for r in rows for c in extra)
+
+
 def test_empty_tables(docs):
     table = docs(["a b", ""])
     out = ngram_lm.scored(table, table.select("text").limit(0)).collect()

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hydrolake.llm import suffixes
 from hydrolake.llm.queries import QUERIES
@@ -87,6 +88,16 @@ def test_every_string_names_the_leftmost_smallest_anchor():
     assert named == want
 
 
+def test_columns_named_like_internal_ones_pass_through(docs):
+    text = "".join(random.Random(1).choice("abcdef") for _ in range(300))
+    extra = ["_id", "_text_hash", "_spans", "low", "high", "digest", "a.b"]
+    table = docs([text, text, "short"]).withColumns({c: F.lit(c) for c in extra})
+    out = suffixes.remove_repeats(table)
+    assert out.columns == [c for c in table.columns if c != "text"] + ["n_bytes", "n_removed", "n_spans", "kept"]
+    rows = out.collect()
+    assert sorted(r["n_removed"] for r in rows) == [0, 300, 300] and all(r[c] == c for r in rows for c in extra)
+
+
 def test_null_and_repeated_ids_and_empty_table(docs):
     text = "".join(random.Random(1).choice("abcdef") for _ in range(300))
     out = suffixes.remove_repeats(docs([(None, text), (1, text), (1, text), (1, text[:150] + "!" + text[150:])])).collect()
