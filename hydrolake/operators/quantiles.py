@@ -45,6 +45,8 @@ def ordered_values(
     df: DataFrame, wanted: dict[str, tuple[Column, list[int]]], single_task_rows: int = SINGLE_TASK_ROWS
 ) -> dict[str, list[float | None]]:
     """Value at each 0-based ascending rank of each named expression (NULLs do not count)."""
+    if not wanted:
+        return {}
     inputs = df.select(*[x.cast("double").alias(n) for n, (x, _) in wanted.items()])
     counts = inputs.agg(*[F.count(n).alias(n) for n in wanted]).first().asDict()
     searches = [

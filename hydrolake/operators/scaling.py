@@ -46,19 +46,20 @@ def _filled(c: str):
 
 
 def fit_minmax(df: DataFrame, cols: Sequence[str]) -> LinearScaler:
-    """Scale to 0..1; a constant column becomes 0."""
+    """Scale to 0..1; a constant column becomes 0. Without rows, values stay as they are."""
     row = df.agg(
         *[F.min(_filled(c)).alias(f"lo_{c}") for c in cols], *[F.max(_filled(c)).alias(f"hi_{c}") for c in cols]
     ).first()
-    return LinearScaler({c: row[f"lo_{c}"] for c in cols}, {c: row[f"hi_{c}"] - row[f"lo_{c}"] for c in cols})
+    low, high = ({c: row[f"{end}_{c}"] or 0.0 for c in cols} for end in ("lo", "hi"))
+    return LinearScaler(low, {c: high[c] - low[c] for c in cols})
 
 
 def fit_standard(df: DataFrame, cols: Sequence[str]) -> LinearScaler:
-    """Zero mean, unit population deviation."""
+    """Zero mean, unit population deviation. Without rows, values stay as they are."""
     row = df.agg(
         *[F.avg(_filled(c)).alias(f"m_{c}") for c in cols], *[F.stddev_pop(_filled(c)).alias(f"s_{c}") for c in cols]
     ).first()
-    return LinearScaler({c: row[f"m_{c}"] for c in cols}, {c: row[f"s_{c}"] for c in cols})
+    return LinearScaler({c: row[f"m_{c}"] or 0.0 for c in cols}, {c: row[f"s_{c}"] or 0.0 for c in cols})
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], method: str = "minmax") -> LinearScaler:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,16 @@ class TrainingSet:
     counts: dict[str, int]
 
 
+def _observed(observation: Observation) -> dict[str, int]:
+    """The counts observed; none where the optimizer has proved the table empty and dropped what observes it."""
+    try:
+        return observation.get
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e.java_exception):
+            raise
+        return {}
+
+
 def prepare_training(
     df: DataFrame,
     strategy: str = "median",
@@ -93,7 +104,7 @@ def prepare_training(
     split = chronological_split(scaler.transform(scored), test, tie)
     sides = [F.count_if(F.col("split") == side).alias(side) for side in ("train", "test")]
     split = materialize(split.observe(seen["sides"], *sides), "split")
-    counts = {name: seen[name].get["n"] for name in ("raw", "clean", "imputed")} | seen["sides"].get
+    counts = {name: _observed(seen[name]).get("n", 0) for name in ("raw", "clean", "imputed")} | _observed(seen["sides"])
     return TrainingSet(split, features, scaler, {name: count for name, count in counts.items() if count or name not in ("train", "test")})
 
 

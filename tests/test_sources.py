@@ -93,6 +93,15 @@ def test_counts_of_training_set_are_observed(spark):
     assert {r["split"]: r["count"] for r in made.rows.groupBy("split").count().collect()} == {"train": 8, "test": 2}
 
 
+@pytest.mark.parametrize("method", ["minmax", "standard"])
+def test_training_set_of_no_rows(spark, method):
+    schema = "station_code string, date date, do_ double, bod double, cod double, an double, tss double, ph double, _ord long"
+    empty = spark.createDataFrame([], schema)
+    for rows in (empty, empty.filter("false"), empty.limit(0)):
+        made = prepare_training(rows, method=method)
+        assert made.counts == {"raw": 0, "clean": 0, "imputed": 0} and made.rows.collect() == []
+
+
 def test_catalog_prefers_the_registry(spark, tmp_path):
     (tmp_path / "a.csv").write_text("date,DO\n2023-01-01,5\n2023-01-02,5\n")
     (tmp_path / "b.csv").write_text("date,DO\n2023-01-01,5\n")
