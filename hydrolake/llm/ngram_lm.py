@@ -16,11 +16,13 @@ ones, the probabilities are smoothed with Dirichlet priors:
 
 Every training n-gram is counted, by a shuffle of (hash, count) rows that tasks
 have combined before; what is gathered grows with the corpus. The filter has
-``BITS_PER_KEY`` bits for each (n-gram, level), however many there are, and
-stays in its parts: it is neither broadcast nor gathered. Texts are read in
-groups of about ``GROUP`` tokens. Each group sends its distinct n-grams to the
-parts that may hold them, and the levels come back to the group's texts, so a
-task holds one part of the filter or a few groups, not the whole.
+``BITS_PER_KEY`` bits for each (n-gram, level), however many there are. Its size
+follows from the counts alone. Up to ``BROADCAST_BYTES`` it is broadcast, and
+each task scores its texts by probing it. A larger one stays in its parts: texts
+are read in groups of about ``GROUP`` tokens, each group sends its distinct
+n-grams to the parts that may hold them, and the levels come back to the
+group's texts, so a task holds one part of the filter or a few groups, not the
+whole. Both ways read the same levels and give the same scores.
 
 Tokens are words split at ASCII spaces, A-Z in lower case, then one end token
 per text. Words are told apart by a 64-bit hash. Null texts count as empty:
@@ -56,6 +58,8 @@ BITS_PER_KEY, HASHES = 8, 3
 BLOCK_BITS, PARTS, PART_BYTES = 1 << 13, 512, 16 << 20
 #: An n-gram's id has so many bits more than the number of training tokens: an absent one is taken for another once in 4,096.
 SPARE_BITS, LEAST_ID_BITS = 12, 40
+#: Bytes up to which the whole filter is broadcast.
+BROADCAST_BYTES = 128 << 20
 #: Words whose exact counts are broadcast; the others' are joined.
 FREQUENT = 500_000
 #: Partial counts that a task holds at a time, tokens of the texts whose levels are read together, and probes made at a time.
@@ -342,16 +346,26 @@ def filter_parts(
     return Filter(np.zeros(0, np.uint8), how, blocks, hashes, base, n_tokens, int(stats["words"]), most, order, prior), parts
 
 
-def build(unigrams: DataFrame, texts: DataFrame, **options) -> Filter:
-    """The filter with its bits, gathered on the driver: for small models; see ``filter_parts``."""
-    model, parts = filter_parts(unigrams, texts, **options)
+def whole_bytes(model: Filter) -> int:
+    """Bytes of all parts together."""
+    return model.ids.parts * model.blocks * BLOCK_BITS // 8
+
+
+def gathered(model: Filter, parts: DataFrame) -> Filter:
+    """The filter with its bits, on the driver; the caller knows that ``whole_bytes`` is small."""
     size = model.blocks * BLOCK_BITS // 8
-    bits = np.zeros(model.ids.parts * size, np.uint8)
-    for row in parts.toLocalIterator():
-        bits[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bytes"], np.uint8)
+    bits = np.zeros(whole_bytes(model), np.uint8)
+    found = parts.select("part", "bytes").toArrow()
+    for part, data in zip(found.column("part").to_pylist(), found.column("bytes")):
+        bits[part * size : (part + 1) * size] = np.frombuffer(data.as_buffer(), np.uint8)
     return replace(model, bits=bits)
 
 
+def build(unigrams: DataFrame, texts: DataFrame, **options) -> Filter:
+    """The filter with its bits, gathered on the driver: for small models; see ``filter_parts``."""
+    return gathered(*filter_parts(unigrams, texts, **options))
+
+
 def all_ids(how: Ids, token: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
     """Ids of the distinct tokens and of the n-grams of each higher order, in their order."""
     return [how.of(np.unique(token)), *(how.of(ngrams(token, doc, n)[0]) for n in range(2, order + 1))]
@@ -448,9 +462,10 @@ def frequent_words(unigrams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarr
     return key[order], count[order]
 
 
-def scored(df: DataFrame, train: DataFrame, frequent: int = FREQUENT, **options) -> DataFrame:
+def scored(df: DataFrame, train: DataFrame, frequent: int = FREQUENT, broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
     """``df`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (exact smoothed unigrams) and
-    ``score`` (the filter's model) of ``text``; ``train`` holds the texts to learn from."""
+    ``score`` (the filter's model) of ``text``; ``train`` holds the texts to learn from. A filter of more than
+    ``broadcast_bytes`` stays in its parts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = df.sparkSession
@@ -459,16 +474,18 @@ def scored(df: DataFrame, train: DataFrame, frequent: int = FREQUENT, **options)
     model, parts = filter_parts(unigrams, train, **options)
     keys, counts = frequent_words(unigrams, frequent)
     all_words = len(keys) == model.n_words
-    shared = spark.sparkContext.broadcast((keys, counts))
+    total, distinct = model.n_tokens, model.n_words
+    in_parts = total > 0 and whole_bytes(model) > broadcast_bytes
+    shared = spark.sparkContext.broadcast((keys, counts, None if in_parts else gathered(model, parts)))
     own = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("_group", T.LongType())]
+    own.append(T.StructField("_score", T.DoubleType()))
     lists = [T.StructField("_rare", T.ArrayType(T.LongType())), T.StructField("_times", T.ArrayType(T.LongType()))]
     target = T.StructType([df.schema[c] for c in df.columns] + own + lists)
     schema = to_arrow_schema(target)
-    total, distinct = model.n_tokens, model.n_words
     floor = total + 0.5 * (distinct + 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = shared.value
+        known, count, whole = shared.value
         group, held = TaskContext.get().partitionId() << 33, 0
         for batch in slices(batches, "text"):
             texts = encoded(batch.column("text"))
@@ -500,16 +517,17 @@ def scored(df: DataFrame, train: DataFrame, frequent: int = FREQUENT, **options)
                 pa.array(np.bincount(doc, is_known, n).astype(np.int64)),
                 pa.array(np.bincount(doc, base, n)),
                 pa.array(groups),
+                pa.nulls(n, pa.float64()) if whole is None else pa.array(np.bincount(doc, whole.log10(token, doc), n)),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own, rare, times], schema=schema)
 
-    # The rows are stored with a number, by which the scores and the exact counts of their rare words come back.
-    stored = materialize(df.mapInArrow(run, target).withColumn("_row", F.monotonically_increasing_id()), "scored")
-    out = stored.drop("_rare", "_times", "_group")
-    if total:
+    stored = df.mapInArrow(run, target)
+    if in_parts or not all_words:
+        # The rows are stored with a number, by which the scores and the exact counts of their rare words come back.
+        stored = materialize(stored.withColumn("_row", F.monotonically_increasing_id()), "scored")
+    out = stored.drop("_rare", "_times", "_group", "_score") if in_parts else stored.drop("_rare", "_times", "_group").withColumnRenamed("_score", "score")
+    if in_parts:
         out = out.join(model_scores(stored.select("_row", "_group", "text"), model, parts), "_row", "left")
-    else:
-        out = out.withColumn("score", F.lit(0.0))
     extra = {"_base": F.lit(0.0), "_known": F.lit(0)}
     if not all_words:
         rare = stored.select("_row", F.inline(F.arrays_zip(F.col("_rare").alias("key"), F.col("_times").alias("times"))))

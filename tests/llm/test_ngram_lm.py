@@ -113,19 +113,30 @@ def test_scores_from_parts_are_those_of_the_whole_filter(docs, monkeypatch):
         model = ngram_lm.build(ngram_lm.unigram_counts(learn), learn, order=order)
         for group in (50, ngram_lm.GROUP):
             monkeypatch.setattr(ngram_lm, "GROUP", group)
-            got = ngram_lm.scored(table, learn, order=order).collect()
+            got = ngram_lm.scored(table, learn, order=order, broadcast_bytes=0).collect()
             assert len(got) == len(rows)
             for r in got:
                 want = model.log10(*ngram_lm.tokens([(r["text"] or "").encode()])).sum()
                 assert abs(r["score"] - want) <= 1e-9 * max(1, abs(want))
 
 
+def test_broadcast_filter_and_parts_give_the_same_scores(docs):
+    rows = some_rows()
+    table = docs(rows)
+    learn = table.where("doc_id % 3 != 0").select("text")
+    size = ngram_lm.whole_bytes(ngram_lm.build(ngram_lm.unigram_counts(learn), learn))
+    for frequent in (10, 10**6):
+        found = [ngram_lm.scored(table, learn, frequent=frequent, broadcast_bytes=n).collect() for n in (size, size - 1)]
+        whole, parts = (sorted((r["n_tokens"], r["base_score"], r["score"]) for r in f) for f in found)
+        assert len(whole) == len(rows) and np.allclose(whole, parts, rtol=1e-12, atol=0)
+
+
 def test_columns_named_like_internal_ones_pass_through(docs):
-    extra = ["_row", "_group", "_rare", "_times", "_base", "_known", "key", "count", "a.b"]
+    extra = ["_row", "_group", "_rare", "_times", "_score", "_base", "_known", "key", "count", "a.b"]
     table = docs(some_rows()[:30]).withColumns({c: F.lit(c) for c in extra})
     learn = table.select("text")
-    for frequent in (10, 10**6):
-        out = ngram_lm.scored(table, learn, frequent=frequent)
+    for frequent, most in ((10, 0), (10**6, 0), (10, 2**30), (10**6, 2**30)):
+        out = ngram_lm.scored(table, learn, frequent=frequent, broadcast_bytes=most)
         assert out.columns == [*table.columns, *RESULT]
         rows = out.collect()
         assert len(rows) == 30 and all(r[c] == c for r in rows for c in extra)
