@@ -3,13 +3,15 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts
 elsewhere, in the same document or another; strings never cross documents.
 
-Suffixes are put into buckets by their first bytes and buckets are refined by
-the bucket identifiers of later offsets: the identifier of 2h bytes at p is made
-of those of h bytes at p and at p + h, so each refinement reuses the last one
-and the depth doubles until it is ``LENGTH``. Only suffixes that share a bucket
-with another are sorted again. An identifier is a hash of the bucket's
-string, the same on every machine, and the last sort adds a second,
-independent hash: 128 bits decide that two strings are equal.
+Suffixes are put into buckets by their first ``GRAM`` bytes, and a bucket's
+pointer is the place of its first suffix in the sorted order. Buckets are
+refined by sorting their suffixes on the pointers found some bytes further on:
+suffixes that agree in d bytes are told apart by the pointers at offset d, which
+stand for d bytes as well. The pointers are updated and the next refinement
+reads the updated ones, so the depth doubles until it is ``LENGTH``. Suffixes
+that are alone in their bucket are never sorted again. The first buckets are
+found by a hash of the gram, so strings that are left in one bucket are compared
+byte by byte at the end.
 
 What makes it distributed is the first, sparse bucketing. Every string of
 ``LENGTH`` bytes names one of its ``ANCHOR``-grams, the leftmost of smallest
@@ -17,9 +19,9 @@ hash; equal strings name the same one. Anchors are counted with a map-side
 combine, and a bitmap of those that occur in different texts or twice in one,
 16 MB whatever the input, tells each task which of its strings may
 repeat. Their bytes, each anchor's strings in one stretch, meet by anchor. A
-stretch that a task has already sent twice is settled there. The strings of
-anchors with very many texts meet by their own identifier instead, so
-no common passage lands in one task.
+stretch that a task has already sent twice is settled there, by a cryptographic
+digest of 128 bits. The strings of anchors with very many texts meet by such a
+digest of their own instead, so no common passage lands in one task.
 
 Documents with equal texts lose all bytes if they have ``LENGTH`` of them.
 Null texts count as empty. Rows that repeat an id and a text are documents
@@ -29,7 +31,9 @@ Columns of the input named like a result are replaced; others pass through.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +43,13 @@ from pyspark.sql import types as T
 
 from hydrolake.llm.columns import apart
 from hydrolake.llm.filters import hash_filter
-from hydrolake.llm.tokens import U64, Rolling, combine, encoded, join_texts, slices
+from hydrolake.llm.tokens import U64, Rolling, encoded, join_texts, slices
 from hydrolake.sources.shared import materialize
 
 #: Bytes of a string that must not repeat, and of the sampled anchors.
 LENGTH, ANCHOR = 200, 64
+#: Bytes of the first buckets, and strings that are compared byte by byte at a time.
+GRAM, COMPARED = 50, 50_000
 #: Bits of the bitmap of anchors that repeat.
 FILTER_BITS = 1 << 27
 #: Anchors in this many texts, or in more than this share of all anchors' occurrences, are split by string.
@@ -114,34 +120,75 @@ class Anchors:
         self.doc = np.searchsorted(self.begins, self.low, side="right") - 1
 
 
-def singles_out(key: np.ndarray) -> np.ndarray:
-    """Whether each value occurs more than once."""
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    same = s[1:] == s[:-1]
-    out = np.zeros(len(key), bool)
+def singles_out(digests: np.ndarray) -> np.ndarray:
+    """Whether each digest, a row of two numbers, occurs more than once."""
+    order = np.lexsort(digests.T)
+    same = (digests[order[1:]] == digests[order[:-1]]).all(axis=1)
+    out = np.zeros(len(digests), bool)
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of the strings of ``length`` bytes at ``starts`` occur at several of these places."""
-    depth = length
-    while depth % 2 == 0 and depth > 16:
-        depth //= 2
-    bucket = Rolling(data).windows(depth)
-    active = np.arange(len(starts))
-    active = active[singles_out(bucket[starts])]
-    while depth < length and len(active):
-        step = min(depth, length - depth)
-        bucket = combine(bucket[: len(bucket) - step], bucket[step:])
-        depth += step
-        active = active[singles_out(bucket[starts[active]])]
+def same_bytes(data: np.ndarray, at: np.ndarray, pointer: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string of ``length`` bytes at each of ``at`` is also at another place of the same bucket."""
+    order = np.argsort(pointer, kind="stable")
+    at, pointer = at[order], pointer[order]
+    first = np.flatnonzero(np.concatenate([[True], pointer[1:] != pointer[:-1]]))
+    size = np.diff(np.append(first, len(at)))
+    head = at[np.repeat(first, size)]
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)
+    equal = np.empty(len(at), bool)
+    for low in range(0, len(at), COMPARED):
+        some = slice(low, low + COMPARED)
+        equal[some] = (strings[at[some]] == strings[head[some]]).all(axis=1)
+    found = np.repeat(size > 1, size)
+    # Buckets in which the gram's hash has brought different strings together.
+    for b in np.flatnonzero(~np.logical_and.reduceat(equal, first)).tolist():
+        texts = [strings[p].tobytes() for p in at[first[b] : first[b] + size[b]].tolist()]
+        times = Counter(texts)
+        found[first[b] : first[b] + size[b]] = [times[t] > 1 for t in texts]
+    out = np.empty(len(at), bool)
+    out[order] = found
+    return out
+
+
+def repeated(data: np.ndarray, starts: np.ndarray, length: int, gram: int = GRAM) -> np.ndarray:
+    """Which of the strings of ``length`` bytes at ``starts`` (different places) occur at several of these places."""
     out = np.zeros(len(starts), bool)
-    if len(active):
-        at = starts[active]
-        out[active[singles_out(combine(bucket[at], Rolling(data, 2).of(at, at + length)) ^ bucket[at])]] = True
+    if not len(starts):
+        return out
+    depths = [min(gram, length)]
+    while depths[-1] < length:
+        depths.append(min(2 * depths[-1], length))
+    # Offsets in a string whose pointers are read at each depth.
+    offsets = [np.zeros(1, np.int64)]
+    for low, high in zip(depths[-2::-1], depths[:0:-1]):
+        offsets.insert(0, np.unique(np.concatenate([offsets[0], offsets[0] + high - low])))
+    value = Rolling(data).windows(depths[0])
+    pointer, alone = np.zeros(len(value), np.int64), np.zeros(len(value), bool)
+    live = np.arange(len(starts))
+    for i, depth in enumerate(depths):
+        if not len(live):
+            return out
+        marked = np.zeros(len(value), bool)
+        for offset in offsets[i].tolist():
+            marked[starts[live] + offset] = True
+        at = np.flatnonzero(marked & ~alone)
+        old = pointer[at]
+        # The bucket, then the pointer at the end of what its suffixes have in common.
+        key = value[at] if i == 0 else old * len(value) + pointer[at + depth - depths[i - 1]]
+        order = np.argsort(key)
+        at, old, key = at[order], old[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(at)]
+        size = np.diff(np.append(first, len(at)))
+        bucket = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))[: len(at)]
+        # Parts of a bucket keep to the places that it had.
+        pointer[at] = old + np.repeat(first, size) - np.repeat(bucket, np.diff(np.append(bucket, len(at))))
+        alone[at] = np.repeat(size == 1, size)
+        live = live[~alone[starts[live]]]
+    if len(live):
+        out[live] = same_bytes(data, starts[live], pointer[starts[live]], length)
     return out
 
 
@@ -195,12 +242,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stretches of strings that may repeat, packed by group; group -1: spans that are settled here."""
         bits, often = shared.value
-        sent: dict[int, int] = {}
+        sent: dict[bytes, int] = {}
 
-        def fresh(ids: np.ndarray) -> np.ndarray:
+        def fresh(digests: list[bytes]) -> np.ndarray:
             """Whether each is the task's first or second."""
-            out = np.empty(len(ids), bool)
-            for i, x in enumerate(ids.tolist()):
+            out = np.empty(len(digests), bool)
+            for i, x in enumerate(digests):
                 n = sent.get(x, 0)
                 out[i] = n < 2
                 if n < 2:
@@ -231,7 +278,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             bit = (a.hash % U64(filter_bits)).astype(np.int64)
             maybe = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
             common_one = np.isin(a.hash, often) if len(often) else np.zeros(len(a.hash), bool)
-            roll = Rolling(a.data)
+            data = a.data.tobytes()
             for split in (False, True):
                 some = np.flatnonzero(maybe & (common_one == split))
                 if not len(some):
@@ -241,20 +288,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                     count = high - low + 1
                     low = spread(low, count)
                     doc, high = np.repeat(doc, count), low
-                    h = roll.of(low, low + length)
-                content = combine(roll.of(low, high + length), h)
-                new = fresh(content)
+                blobs = [data[x:y] for x, y in zip(low.tolist(), (high + length).tolist())]
+                digests = [blake2b(x, digest_size=16).digest() for x in blobs]
+                new = fresh(digests)
                 begin = a.begins[doc]
                 old = ~new
                 if old.any():
                     yield packed(batch, np.full(old.sum(), -1), 0, doc[old], (low - begin)[old], (high - low + 1)[old], None)
-                low, high, doc, h, begin = low[new], high[new], doc[new], h[new], begin[new]
-                group = (h % U64(groups)).astype(np.int64)
                 if split:
-                    both = np.stack([h, Rolling(a.data, 2).of(low, low + length)], axis=1).astype("<u8")
-                    blobs = [x.tobytes() for x in both]
-                else:
-                    blobs = [a.data[x:y].tobytes() for x, y in zip(low.tolist(), (high + length).tolist())]
+                    blobs, h = digests, np.frombuffer(b"".join(digests), "<u8")[::2]
+                blobs = [x for x, fine in zip(blobs, new.tolist()) if fine]
+                low, high, doc, begin = low[new], high[new], doc[new], begin[new]
+                group = (h[new] % U64(groups)).astype(np.int64)
                 yield packed(batch, group, 1 + split, doc, low - begin, high - low + 1, blobs)
 
     def refine(key, table):
@@ -271,8 +316,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 begin = np.cumsum(count + length - 1) - (count + length - 1)
                 flag = repeated(data, spread(begin, count), length)
             else:
-                both = data.view("<u8").reshape(-1, 2)
-                flag = singles_out(combine(both[:, 0], both[:, 1]))
+                flag = singles_out(data.view("<u8").reshape(-1, 2))
             place = spread(low, count)
             first, last = runs_of(flag, row)
             out.append((ids[row[first]], hashes[row[first]], place[first], place[last] + length))

@@ -61,14 +61,32 @@ def test_small_bitmap_only_costs_time(docs):
     assert got == {i: w[3] for i, w in enumerate(brute(rows, 40))}
 
 
-@pytest.mark.parametrize("length", [20, 33, 64, 200])
-def test_refinement_finds_equal_strings(length):
+def strings_to_refine(length):
     rng = random.Random(length)
     data = np.frombuffer("".join(rng.choice("ab") for _ in range(300)).encode() * 3 + bytes(rng.randrange(256) for _ in range(500)), np.uint8)
-    starts = np.array([rng.randrange(len(data) - length + 1) for _ in range(400)])
-    starts = np.unique(starts)
+    starts = np.unique([rng.randrange(len(data) - length + 1) for _ in range(400)])
     count = Counter(data[s : s + length].tobytes() for s in starts)
-    assert suffixes.repeated(data, starts, length).tolist() == [count[data[s : s + length].tobytes()] > 1 for s in starts]
+    return data, starts, [count[data[s : s + length].tobytes()] > 1 for s in starts]
+
+
+@pytest.mark.parametrize("gram", [1, 3, 8, 50])
+@pytest.mark.parametrize("length", [20, 33, 64, 200])
+def test_refinement_finds_equal_strings(length, gram):
+    data, starts, want = strings_to_refine(length)
+    assert suffixes.repeated(data, starts, length, gram).tolist() == want
+    assert suffixes.repeated(data, starts[:0], length, gram).tolist() == []
+
+
+@pytest.mark.parametrize("gram", [8, 50])
+def test_bytes_decide_where_hashes_agree(monkeypatch, gram):
+    class Poor(suffixes.Rolling):
+        def windows(self, width):
+            return super().windows(width) % np.uint64(3)
+
+    monkeypatch.setattr(suffixes, "Rolling", Poor)
+    for length in (20, 64, 200):
+        data, starts, want = strings_to_refine(length)
+        assert suffixes.repeated(data, starts, length, gram).tolist() == want
 
 
 def test_every_string_names_the_leftmost_smallest_anchor():
