@@ -16,8 +16,10 @@ classes into buckets. Each bucket compares its members with one of them, the
 one whose buckets are fullest, so copies of one original need one comparison
 each. Pairs are verified on the texts. Members of one bucket that are still in
 different components are then compared with each other in blocks, by signature
-first, on the texts after, and only links leave the blocks; so no pair that
-shares a bucket is lost, and pairs inside a component are not compared. Classes are the components of verified pairs.
+alone; those that have a promising partner meet again in the same blocks with
+their texts, and only links leave these. So no pair that shares a bucket is
+lost, pairs inside a component are not compared, and no text is copied because
+of a bucket that it shares with unlike ones. Classes are the components of verified pairs.
 
 Words are split at ASCII spaces, A-Z in lower case; a text of one to four words
 is one shingle. Texts without words, null ones included, are in no group:
@@ -202,26 +204,50 @@ def promising(pairs: DataFrame, classes: DataFrame, least: float, k: int) -> Dat
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def block_links(members: DataFrame, width: int, least: float, bands: int, rows: int, block: int = BLOCK) -> DataFrame:
+def pairs_apart(table: pa.Table, bands: int, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a pair of blocks that are to be compared: one of the first block, and those of the second that are in
+    other components, have a promising signature and share no earlier band with it."""
+    part, x, y, band = (np.asarray(table.column(c).combine_chunks()) for c in ("part", "x", "y", "band"))
+    number: dict[bytes, int] = {}
+    label = np.array([number.setdefault(c, len(number)) for c in table.column("component").to_pylist()])
+    s = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(-1, bands, rows)
+    right = np.flatnonzero(part == y)
+    for i in np.flatnonzero(part == x).tolist():
+        over = right[right > i] if x[0] == y[0] else right
+        over = over[label[over] != label[i]]
+        same = s[over] == s[i]
+        earlier = same.all(axis=2)[:, : band[0]].any(axis=1)
+        found = over[~earlier & (same.mean(axis=(1, 2)) >= PROMISING)]
+        if len(found):
+            yield i, found
+
+
+def block_links(members: DataFrame, texts: DataFrame, width: int, least: float, bands: int, rows: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b, similarity) between members of one bucket that are in different components.
 
-    ``members``: key, n (rows of the key), band, digest, component, signature, text. A bucket is cut into
-    blocks by a hash; each pair of blocks is one task's work, so no bucket is
-    ever in one place, and only links leave it. A pair that shares several
-    buckets is looked at in that of its first common band, by signature and
-    then by text, unless links found before already connect it.
+    ``members``: key, n (rows of the key), band, digest, component, signature;
+    ``texts``: digest, text. A bucket is cut into blocks by a hash; each pair of
+    blocks is one task's work, so no bucket is ever in one place, and only links
+    leave it. A pair that shares several buckets is looked at in that of its
+    first common band, by signature and then by text, unless links found before
+    already connect it. Texts go only to the blocks where they have a partner.
     """
     dealt = members.withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    copies = dealt.select("key", "band", "digest", "component", "signature", "text", "part", other)
-    copies = copies.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
+    copies = dealt.select("key", "band", "digest", "component", "signature", "part", other)
+    copies = copies.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")}).drop("other")
+
+    def partnered(key, table):
+        keep = np.zeros(table.num_rows, bool)
+        for i, found in pairs_apart(table, bands, rows):
+            keep[i] = True
+            keep[found] = True
+        return table.filter(pa.array(keep))
 
     def run(key, table):
-        part, x, y, band = (np.asarray(table.column(c).combine_chunks()) for c in ("part", "x", "y", "band"))
         digest = table.column("digest").to_pylist()
         label = table.column("component").to_pylist()
-        s = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(-1, bands, rows)
         h, w, d = weighted_shingles(encoded(table.column("text").combine_chunks()), width)
         ends = np.searchsorted(d, np.arange(len(digest) + 1))
         root = {c: c for c in label}
@@ -232,22 +258,19 @@ def block_links(members: DataFrame, width: int, least: float, bands: int, rows:
             return c
 
         out = []
-        right = np.flatnonzero(part == y)
-        for i in np.flatnonzero(part == x):
-            over = right[right > i] if x[0] == y[0] else right
-            same = s[over] == s[i]
-            earlier = same.all(axis=2)[:, : band[0]].any(axis=1)
-            for j in over[~earlier & (same.mean(axis=(1, 2)) >= PROMISING)]:
+        for i, found in pairs_apart(table, bands, rows):
+            for j in found.tolist():
                 p, q = find(label[i]), find(label[j])
                 if p != q:
-                    found = jaccard((h[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]), (h[ends[j] : ends[j + 1]], w[ends[j] : ends[j + 1]]))
-                    if found >= least - 1e-12:
+                    alike = jaccard((h[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]), (h[ends[j] : ends[j + 1]], w[ends[j] : ends[j + 1]]))
+                    if alike >= least - 1e-12:
                         root[p] = q
-                        out.append((digest[i], digest[j], found))
+                        out.append((digest[i], digest[j], alike))
         a, b, f = zip(*out) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(f, pa.float64())})
 
-    return copies.groupBy("key", "x", "y").applyInArrow(run, "a binary, b binary, similarity double")
+    near = materialize(copies.groupBy("key", "x", "y").applyInArrow(partnered, copies.schema), "partnered")
+    return near.join(texts.select("digest", "text"), "digest").groupBy("key", "x", "y").applyInArrow(run, "a binary, b binary, similarity double")
 
 
 def near_duplicates(
@@ -284,8 +307,8 @@ def near_duplicates(
     rest = rest.select("key", "band", "digest", F.coalesce("component", "digest").alias("component"))
     apart = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high")
     apart = materialize(apart.select("key", "n"), "split-buckets")
-    members = rest.join(apart, "key").join(classes.select("digest", "signature").join(texts, "digest"), "digest")
-    more = materialize(block_links(members, width, least, bands, rows), "links")
+    members = rest.join(apart, "key").join(classes.select("digest", "signature"), "digest")
+    more = materialize(block_links(members, texts, width, least, bands, rows), "links")
     group = joined_components(found, more)
     named = ids.join(group.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     smallest = materialize(named.groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")

@@ -132,3 +132,30 @@ def test_clashing_column_passes_through(docs):
     table = docs([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n")]).withColumnRenamed("lang", "_kept")
     out = minhash.drop_near_duplicates(table)
     assert out.columns == table.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
+def test_members_of_a_bucket_are_linked_across_blocks_and_texts_go_to_partners_only(spark, docs):
+    rng = random.Random(4)
+    rows = near_copies(rng, 3, 10) + [(100 + i, " ".join(words_of(rng, 80))) for i in range(15)]
+    signed = minhash.signed(docs(rows)).drop("bands").collect()
+    # All in one bucket of the first band, each its own component but for two that are linked already.
+    members = [(1, 0, len(rows), r["digest"], signed[0]["digest"] if i == 1 else r["digest"], r["signature"]) for i, r in enumerate(signed)]
+    members = spark.createDataFrame(members, "key bigint, band int, n bigint, digest binary, component binary, signature binary")
+    digest = {r["doc_id"]: bytes(r["digest"]) for r in signed}
+    texts = spark.createDataFrame([(digest[d], t) for d, t in rows if d < 100], "digest binary, text string")
+    for block in (4, 1000):
+        links = minhash.block_links(members, texts, 5, 0.8, minhash.BANDS, minhash.ROWS, block).collect()
+        root = {x: x for x in digest.values()}
+        for r in links:
+            a, b = bytes(r["a"]), bytes(r["b"])
+            root = {x: root[a] if c == root[b] else c for x, c in root.items()}
+        known = [(bytes(signed[0]["digest"]), bytes(signed[1]["digest"]))]
+        for a, b in known:
+            root = {x: root[a] if c == root[b] else c for x, c in root.items()}
+        got = defaultdict(set)
+        for d, x in digest.items():
+            got[root[x]].add(d)
+        want = defaultdict(set)
+        for (d, _), c in brute(rows).items():
+            want[c].add(d)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
