@@ -48,7 +48,7 @@ def newest_per_day(
         F.col(order).cast("long").alias("_order"),
         F.to_json(F.struct(*rows.columns), FORMAT).alias("_row"),
         F.date_add(day, 1).cast("timestamp").alias("_closes"),
-    )
+    ).withColumn("_ends", F.unix_millis("_closes"))
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -60,16 +60,22 @@ def newest_per_day(
             state.remove()
             yield pd.DataFrame({"_row": [row]})
             return
+        # Spark drops late rows by the watermark of the batch before; this batch's may have closed the day.
+        watermark = state.getCurrentWatermarkMs()
         best, closes = (state.get if state.exists else None), None
         for batch in batches:
-            for order_, row, end in zip(batch["_order"], batch["_row"], batch["_closes"]):
-                closes = end
-                if best is None or (order_, row) > tuple(best):
+            for order_, row, end in zip(batch["_order"], batch["_row"], batch["_ends"]):
+                closes = int(end)
+                if closes >= watermark and (best is None or (order_, row) > tuple(best)):
                     best = (int(order_), row)
-        if best is not None:
+        if closes is not None and closes < watermark:
+            if best is not None:
+                state.remove()
+                yield pd.DataFrame({"_row": [best[1]]})
+        elif best is not None:
             state.update(best)
             if closes is not None:
-                state.setTimeoutTimestamp(int(closes.value // 1_000_000) if closes.tzinfo else int(closes.tz_localize("UTC").value // 1_000_000))
+                state.setTimeoutTimestamp(closes)
 
     reduced = used.mapInPandas(reduce, used.schema)
     row_type = T.StructType([T.StructField("_row", T.StringType())])

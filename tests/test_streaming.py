@@ -7,6 +7,7 @@ from hydrolake import adapters as A
 from hydrolake.sources.shared import new_path
 from hydrolake.streaming import newest
 from hydrolake.streaming import readings as S
+from workload import QUERIES
 
 
 def run_upsert(spark, sf, files, per_batch):
@@ -83,6 +84,33 @@ def test_late_days_ties_nulls_and_restarts(spark):
     assert newest_of(spark, [[]], **args)[-3:] == [("S01", 8, 98, 98.0, 123456), ("S01", 9, 20, 20.0, 123456), ("S02", 1, 10, 7.5, 123456)]
 
 
+def test_a_day_that_closed_since_the_last_batch(spark):
+    """The rows come after the watermark of their own batch, but not after that of the batch before."""
+    assert newest_of(spark, [[event("S01", 9, 20)], [event("S01", 1, 5), event("S01", 8, 7)], [event("S01", 15, 30)]]) == [
+        ("S01", 8, 7, 7.0, 123456),
+        ("S01", 9, 20, 20.0, 123456),
+    ]
+    # A stored day is emitted as it was when it closed, once.
+    batches = [[event("S01", 1, 5)], [event("S01", 9, 20)], [event("S01", 1, 99), event("S01", 2, 6)], [event("S02", 9, 21)]]
+    assert newest_of(spark, batches) == [("S01", 1, 5, 5.0, 123456)]
+
+
+def test_newest_of_many_files_in_any_order(spark, tmp_path):
+    """A part of the events that is written as several files is in order as a whole only."""
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, start + datetime.timedelta(hours=6 * (119 - i // 5)), i % 10, "click", float(i % 97), None) for i in range(600)]
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    for k in range(24):
+        spark.createDataFrame(events[25 * k : 25 * k + 25], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for number, ts, user, _, value, _ in events:
+        if ts.date() < (start + datetime.timedelta(days=29 - 2)).date():
+            key = (f"S0{1 + user % 7}", ts.date())
+            want[key] = max(want.get(key, (-1,)), (number, value))
+    got = QUERIES["k02_stream_newest"](spark, str(tmp_path)).collect()
+    assert sorted((r["station_code"], r["date"], r["event_id"], r["wqi"]) for r in got) == sorted((*k, *v) for k, v in want.items())
+
+
 def test_newest_on_a_table(spark):
     rows = spark.createDataFrame([event("S01", 1, i) for i in range(30_000)] + [event("S02", 2, 1)], EVENTS)
     got = newest.newest_per_day(rows)

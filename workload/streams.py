@@ -37,15 +37,13 @@ def stream_ingest(spark, sf):
 
 
 def _in_order(spark, sf, batches):
-    """The events as files written one after the other, each later in time than the one before."""
-    folder = new_path(spark, "events")
+    """The events as parts of equal time span, each later than the one before."""
     events = A.table(spark, sf, "events")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     cuts = [first + (last - first) * i / batches for i in range(1, batches)]
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = events if low is None else events.filter(F.col("ts") >= low)
-        (part if high is None else part.filter(F.col("ts") < high)).write.mode("append").parquet(folder)
-    return S.with_status(A.stream_readings(S.read_stream(spark, folder, events.schema, files_per_batch=1)))
+        yield part if high is None else part.filter(F.col("ts") < high)
 
 
 @query("k02_stream_dedup", _STREAM + "SELECT DISTINCT station_code, date FROM srs")
@@ -60,8 +58,16 @@ def stream_dedup(spark, sf):
     GROUP BY ALL HAVING date < (SELECT max(date) FROM srs) - 2""",
 )
 def stream_newest(spark, sf):
-    """Days are final two days after their end; the newest event of a day is the one with the highest id."""
-    out = S.run_available(newest.newest_per_day(_in_order(spark, sf, 3), "2 days"), new_path(spark, "newest"))
+    """Days are final two days after their end; the newest event of a day is the one with the highest id.
+
+    Each part is one micro-batch, taken in when it has been written: its files are written side by
+    side, so their modification times say nothing about which of them holds the later events.
+    """
+    folder, path, checkpoint = (new_path(spark, x) for x in ("events", "newest", "checkpoint"))
+    for part in _in_order(spark, sf, 3):
+        part.write.mode("append").parquet(folder)
+        arrived = S.with_status(A.stream_readings(S.read_stream(spark, folder, part.schema)))
+        out = S.run_available(newest.newest_per_day(arrived, "2 days"), path, checkpoint)
     return rounded(out.select("station_code", "date", "event_id", "wqi"))
 
 
