@@ -73,8 +73,13 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forecast_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings moved one year ahead with a fixed perturbation of the index."""
+    return moved_ahead(readings(spark, sf_dir))
+
+
+def moved_ahead(rows: DataFrame) -> DataFrame:
+    """The forecast points of ``readings``."""
     moved = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("wqi") + (F.col("l_orderkey") % 11) - 5.0))
-    return readings(spark, sf_dir).select(
+    return rows.select(
         "id",
         "station_code",
         "station_name",

@@ -8,6 +8,7 @@ from hydrolake.operators import history, marts, quality
 from hydrolake.plans.dashboard import DashboardState
 from hydrolake.sources.shared import materialize
 from tests.test_operators import pairs
+from workload import joins_aggregates
 
 
 def scans(df):
@@ -28,6 +29,27 @@ def test_state_equals_the_raw_tables_in_any_batching(spark, sf, tmp_path):
         assert pairs(state.history(spark, A.AS_OF), *columns) == pairs(want, *columns)
 
 
+def test_raw_rows_are_read_once(spark, sf, monkeypatch):
+    """However many batches and tables the state is made of."""
+    measurements, seen = A.measurements, spark.sparkContext.accumulator(0)
+
+    def counted(*args, **options):
+        rows = measurements(*args, **options)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(count, rows.schema)
+
+    monkeypatch.setattr(A, "measurements", counted)
+    monkeypatch.setattr(joins_aggregates, "_STATES", {})
+    state = joins_aggregates._state(spark, sf)
+    assert state.history(spark, A.AS_OF).count() > 0 and state.forecast(spark).count() > 0
+    assert seen.value == A.table(spark, sf, "lineitem").count()
+
+
 def test_empty_state(spark, tmp_path):
     with pytest.raises(ValueError):
         DashboardState(str(tmp_path)).history(spark, A.AS_OF)

@@ -228,12 +228,16 @@ _STATES = {}
 
 
 def _state(spark, sf):
-    """Readings and points in three batches, the second replayed; stored once per session, read by several screens."""
+    """Readings and points in three batches, the second replayed; stored once per session, read by several screens.
+
+    The raw table is deduplicated once: batches and points are taken from the stored rows of one day and station each.
+    """
     key = (spark.sparkContext.applicationId, sf)
     if key in _STATES:
         return _STATES[key]
     state = DashboardState(new_path(spark, "dashboard"))
-    readings, points = A.readings(spark, sf), A.forecast_points(spark, sf)
+    readings = materialize(A.readings(spark, sf), "readings")
+    points = A.moved_ahead(readings)
     for generation, rest in enumerate((0, 1, 1, 2)):
         state.add_readings(readings.filter(F.col("id") % 3 == rest), rest)
         state.add_points(points.filter(F.col("id") % 3 == rest), rest)
