@@ -36,19 +36,34 @@ def daily_mean(df: DataFrame, value: str = "wqi") -> DataFrame:
 # --- hot series --------------------------------------------------------------
 
 
+#: Most rows that one task sorts, on average; more of them take more tasks, not more memory.
+TASK_ROWS = 500_000
+
+
+def _partitions(df: DataFrame) -> int | None:
+    """How many partitions keep ``df`` within ``TASK_ROWS`` each, or None where Spark's own number does."""
+    needed = -(-df.count() // TASK_ROWS)
+    return needed if needed > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def ordered_blocks(df: DataFrame, order: Sequence[Column | str], partitions: int | None = None) -> DataFrame:
     """The rows in order of station and ``order``, stored with ``_part`` and ``_row`` (from 0 inside a part).
 
     Parts follow each other in that order and hold about equally many rows whatever the
     keys are: the place where a row was read is the last sort key, so the sampled bounds also
-    cut through rows that are equal in all others.
+    cut through rows that are equal in all others. Without ``partitions`` their number grows with the rows.
     """
+    partitions = partitions or _partitions(df)
     by = [F.col(STATION), *order, "_read"]
     ranged = df.withColumn("_read", F.monotonically_increasing_id())
     ranged = ranged.repartitionByRange(partitions, *by) if partitions else ranged.repartitionByRange(*by)
     at = F.monotonically_increasing_id()  # the partition, then 33 bits for the row in it
     stored = materialize(ranged.sortWithinPartitions(*by).withColumn("_at", at).drop("_read"), "ordered")
-    return stored.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    return stored.select("*", *_place())
+
+
+def _place() -> list[Column]:
+    return [F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_row")]
 
 
 def with_position(df: DataFrame, order: Sequence[Column | str], partitions: int | None = None, position: str = "position") -> DataFrame:
@@ -63,8 +78,9 @@ def with_position(df: DataFrame, order: Sequence[Column | str], partitions: int
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
     offsets = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")))
-    starts = rows.groupBy(F.col(STATION).alias("_station")).agg(F.min_by(F.struct("_part", "_row"), "_at").alias("_first"))
-    starts = starts.select("_station", F.col("_first._part").alias("_part"), F.col("_first._row").alias("_row"))
+    # A minimum of numbers is kept in a hash map, where one of structs would sort the part by station.
+    starts = rows.groupBy(F.col(STATION).alias("_station")).agg(F.min("_at").alias("_at"))
+    starts = starts.select("_station", *_place())
     starts = starts.join(offsets, "_part").select("_station", (F.col("_offset") + F.col("_row")).alias("_start"))
     placed = rows.join(offsets, "_part").join(starts, F.col("_station").eqNullSafe(F.col(STATION)))
     return placed.withColumn(position, F.col("_offset") + F.col("_row") - F.col("_start")).drop(
@@ -81,7 +97,7 @@ def chunked_window(
     ``preceding`` rows of a chunk are repeated in the next one as its run-up.
     ``columns(window)`` returns the new columns for a window ordered by
     position. Needs ``position`` from ``with_position`` and
-    ``preceding <= chunk_rows``.
+    ``preceding <= chunk_rows``. Chunks are dealt to as many tasks as the rows need.
     """
     if preceding > chunk_rows:
         raise ValueError("preceding must not exceed chunk_rows")
@@ -91,6 +107,8 @@ def chunked_window(
         "_chunk",
         F.explode(F.when(tail, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))),
     )
+    if partitions := _partitions(df):
+        spread = spread.repartition(partitions, STATION, "_chunk")
     window = Window.partitionBy(STATION, "_chunk").orderBy("position")
     return (
         spread.withColumns(columns(window))

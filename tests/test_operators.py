@@ -112,6 +112,21 @@ def test_positions_of_a_hot_day_without_a_hot_task(spark):
     assert got.exceptAll(df.withColumn("position", rank.cast("long"))).isEmpty() and got.count() == n
 
 
+def test_more_rows_take_more_tasks_not_larger_ones(spark, monkeypatch):
+    """No part of the order and no task of the window holds more rows, however many there are."""
+    monkeypatch.setattr(series, "TASK_ROWS", 1000, raising=False)
+    rows = spark.range(0, 40_000, 1, 4)
+    df = rows.select(F.concat(F.lit("S0"), F.col("id") % 3).alias("station_code"), F.date_add(F.lit(D0), (F.col("id") % 50).cast("int")).alias("date"), "id", (F.col("id") % 97).cast("double").alias("wqi"))
+    placed = series.with_position(df, ["date", "id"])
+    out = series.chunked_window(placed, 6, lambda w: series.rolling_columns(w), chunk_rows=10)
+    for sorted_, parts in ((series.ordered_blocks(df, ["date", "id"]), F.col("_part")), (out, F.spark_partition_id())):
+        sizes = [r["count"] for r in sorted_.groupBy(parts.alias("p")).count().collect()]
+        assert sum(sizes) == 40_000 and len(sizes) == 40 and max(sizes) <= 2 * 1000
+    window = Window.partitionBy("station_code").orderBy("date", "id").rowsBetween(-6, 0)
+    want = df.withColumn("wqi_rolling_mean", F.avg("wqi").over(window)).select("id", F.round("wqi_rolling_mean", 9))
+    assert out.select("id", F.round("wqi_rolling_mean", 9)).exceptAll(want).isEmpty()
+
+
 def test_first_rolling_deviation_is_zero_and_fill_stays_inside_station(spark):
     df = daily(spark, [3, 3])
     first = series.rolling(df).filter(F.col("date") == F.lit(D0))
