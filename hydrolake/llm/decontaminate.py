@@ -9,11 +9,14 @@ in ``least`` of its words. Items shorter than ``width`` also have masks as long
 themselves, which ignore every set of substitutions that the window allows them; an item of
 fewer than five words allows none, so its mask is the whole item.
 
-DataFrame expressions only. The items' seeds, each with its item's word
-hashes, are broadcast while their counted size is below ``BROADCAST_BYTES``,
-so a document's words never leave their task. Beyond it the places that pass a
-bitmap of the seeds are joined to them by a shuffle, and the words of document
-and item are joined to the hits by their ids.
+DataFrame expressions only. A text is looked up in stretches of ``STRETCH``
+places, and a hit carries only the words near it: Spark holds all that the
+joins make of one row, so a task holds the hits of one stretch at a time,
+however long the text is and however often an item stands in it. The items'
+seeds, each with the words near it, are broadcast while their counted size is
+below ``BROADCAST_BYTES``, so a document's words never leave their task. Beyond
+it the places that pass a bitmap of the seeds are joined to them by a shuffle,
+and the stretches that have hits are joined to these.
 
 Words are maximal runs of letters and digits, in lower case. Null texts count
 as empty, and an item without words is never found. Repeated documents and items are reported each by its id;
@@ -31,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrolake.llm.filters import hash_filter, maybe_in
+from hydrolake.sources.shared import materialize
 
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("110111", "111011", "1101011")
@@ -38,6 +42,8 @@ MASKS = ("110111", "111011", "1101011")
 WIDTH, LEAST = 13, 0.8
 #: Seeds are broadcast while their counted size stays below this.
 BROADCAST_BYTES = 64 << 20
+#: Places of a text that are looked up together; a task holds their hits at a time.
+STRETCH = 256
 
 
 def with_words(df: DataFrame) -> DataFrame:
@@ -50,11 +56,6 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def word_key(words: str) -> Column:
-    """Tells rows of the same id apart by their words."""
-    return F.xxhash64(words)
-
-
 def whole_masks(n: int, least: float) -> list[str]:
     """Masks of length ``n`` of which one reads none of any n - ceil(n * least) positions."""
     free = n - ceil(n * least - 1e-9)
@@ -68,16 +69,38 @@ def numbered_masks(lengths: list[int], least: float) -> list[tuple[int, str]]:
     return [(1000 * length + k, m) for length in lengths for k, m in enumerate(whole_masks(length, least))]
 
 
+def first_place(short: list[tuple[int, str]]) -> int:
+    """The first place at which a mask fits: before the text if a whole item's mask ignores its first words."""
+    return -max((m.index("1") for _, m in short), default=0)
+
+
+def stretches(df: DataFrame, masks: tuple[str, ...], short: list[tuple[int, str]], width: int, stretch: int, *more: Column) -> DataFrame:
+    """A row for each ``stretch`` places of the text: ``_words`` holds the words that masks and windows at these places
+    can reach, and nothing else; in it the places are ``_low`` to ``_high``. ``more``: other columns of these rows.
+
+    A text ends inside ``_words`` only where it really ends, so a stretch is treated like a text by itself.
+    The lambda function keeps this from being compiled into one loop with what follows.
+    """
+    n, last = F.size("_words"), F.size("_words") - (1 if short else min(map(len, masks)))
+
+    def one(a: Column) -> Column:
+        begin = F.greatest(a - (width - 1), F.lit(0))
+        end = F.least(a + (stretch + max(map(len, masks)) + width), n)
+        words = F.slice("_words", begin + 1, end - begin)
+        return F.struct(words.alias("_near"), (a - begin).alias("_low"), (F.least(a + (stretch - 1), last) - begin).alias("_high"))
+
+    parts = F.transform(F.sequence(F.lit(first_place(short)), last, F.lit(stretch)), one)
+    return df.select(*[c for c in df.columns if c != "_words"], F.inline(F.when(last >= 0, parts))).withColumnRenamed("_near", "_words")
+
+
 def seeds(df: DataFrame, masks: tuple[str, ...], short: list[tuple[int, str]] = ()) -> DataFrame:
-    """Rows (other columns, ``_words``, ``_at``, ``_seed``): the hash of each mask at each place where it fits.
+    """Rows (other columns, ``_words``, ``_at``, ``_seed``) of stretches: the hash of each mask at each place where it fits.
 
     The masks ``short`` are those of whole items. What they read must lie inside the words, what they
     ignore need not: words beyond the ends of a text count as substituted.
     """
     n, at = F.size("_words"), F.col("_at")
-    shortest = 1 if short else min(map(len, masks))
-    lead = max((m.index("1") for _, m in short), default=0)
-    places = df.where(n >= shortest).withColumn("_at", F.explode(F.sequence(F.lit(-lead), n - shortest)))
+    places = df.withColumn("_at", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
 
     def hashed(number: int, mask: str, inside: Column) -> Column:
         parts = [F.get("_words", at + i) for i, bit in enumerate(mask) if bit == "1"]
@@ -88,33 +111,40 @@ def seeds(df: DataFrame, masks: tuple[str, ...], short: list[tuple[int, str]] =
     return places.withColumn("_seed", F.explode(F.array(*found))).where(F.col("_seed").isNotNull())
 
 
-def item_seeds(items: DataFrame, masks: tuple[str, ...], short: list[tuple[int, str]]) -> DataFrame:
+def item_seeds(items: DataFrame, masks: tuple[str, ...], short: list[tuple[int, str]], width: int, stretch: int) -> DataFrame:
     """Seeds of the items; the masks ``short`` are read at the begin of items of their length only."""
-    known = seeds(items, masks)
+    known = seeds(stretches(items, masks, [], width, stretch), masks)
     if not short:
         return known
     own = F.array(*[F.when(F.size("_words") == len(m), F.xxhash64(F.lit(k), *[F.get("_words", F.lit(i)) for i, bit in enumerate(m) if bit == "1"])) for k, m in short])
-    whole = items.withColumn("_at", F.lit(0)).withColumn("_seed", F.explode(own)).where(F.col("_seed").isNotNull())
+    whole = items.where(F.size("_words") < width).withColumn("_at", F.lit(0)).withColumn("_seed", F.explode(own)).where(F.col("_seed").isNotNull())
     return known.unionByName(whole)
 
 
+def near(df: DataFrame, words: str, at: str, width: int, reach: int) -> DataFrame:
+    """Leave of ``_words`` what a window around the seed at ``_at`` can hold, as ``words``; ``at``: the seed's place in it."""
+    begin = F.greatest(F.col("_at") - (width - 1), F.lit(0))
+    end = F.least(F.col("_at") + (reach + width - 1), F.size("_words"))
+    others = [c for c in df.columns if c not in ("_words", "_at")]
+    return df.select(*others, F.slice("_words", begin + 1, end - begin).alias(words), (F.col("_at") - begin).alias(at))
+
+
 def bound(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def agreement(doc: Column, item: Column, doc_at: Column, item_at: Column, width: int, reach: int) -> Column:
-    """Most agreeing words in a window of ``width`` aligned words (the whole item, if shorter) around the seed."""
+def agreement(doc: Column, item: Column, doc_at: Column, item_at: Column, span: Column) -> Column:
+    """Most agreeing words in a window of ``span`` aligned words, of the words of document and item ``near`` the seed."""
     shift = doc_at - item_at
-    low = F.greatest(item_at - width + 1, -shift, F.lit(0))
-    high = F.least(item_at + reach + width - 1, F.size(item), F.size(doc) - shift)
-    need = F.least(F.lit(width), F.size(item))
+    low = F.greatest(-shift, F.lit(0))
+    high = F.least(F.size(item), F.size(doc) - shift)
     # Running sums of agreement: the words before each place that agree.
     pairs = F.zip_with(F.slice(item, low + 1, high - low), F.slice(doc, low + shift + 1, high - low), lambda a, b: (a == b).cast("int"))
     sums = F.aggregate(pairs, F.array(F.lit(0)), lambda t, x: F.concat(t, F.array(F.element_at(t, -1) + x)))
 
     def best(sums: Column) -> Column:
-        return F.array_max(F.transform(sums, lambda x, i: x - F.get(sums, F.greatest(i - need, F.lit(0)))))
+        return F.array_max(F.transform(sums, lambda x, i: x - F.get(sums, F.greatest(i - span, F.lit(0)))))
 
     return bound(sums, best)
 
@@ -126,6 +156,7 @@ def contaminated(
     width: int = WIDTH,
     least: float = LEAST,
     broadcast_bytes: int = BROADCAST_BYTES,
+    stretch: int = STRETCH,
 ) -> DataFrame:
     """One row per document and item found in it: ``doc_id``, ``item_id``, ``n_hits`` (seed hits that were
     confirmed) and ``agreeing`` (words that agree in the best window)."""
@@ -133,23 +164,26 @@ def contaminated(
     # At most width - 1 lengths.
     lengths = sorted(r[0] for r in items.select(F.size("_words")).where(F.size("_words").between(1, width - 1)).distinct().collect())
     short = numbered_masks(lengths, least)
-    known = item_seeds(items, masks, short).withColumnsRenamed({"_words": "_item", "_at": "_item_at"})
     reach = max(map(len, masks))
+    # The window is shorter for an item that is shorter.
+    items = items.withColumn("_span", F.least(F.lit(width), F.size("_words")))
+    known = near(item_seeds(items, masks, short, width, stretch), "_item", "_item_at", width, reach)
     size = known.agg(F.coalesce(F.sum(F.size("_item") * 8 + 40), F.lit(0))).head()[0]
-    own = with_words(docs.select("doc_id", "text"))
-    places = seeds(own, masks, short)
+    parts = stretches(with_words(docs.select("doc_id", "text")), masks, short, width, stretch)
     if size <= broadcast_bytes:
-        hits = places.join(F.broadcast(known), "_seed")
+        hits = seeds(parts, masks, short).join(F.broadcast(known), "_seed")
     else:
         # Rows of one id with different words meet their own words only; a row that repeats counts each time, as above.
-        thin = maybe_in(places.withColumn("_doc", word_key("_words")).drop("_words"), "_seed", hash_filter(known, "_seed"))
-        met = thin.join(known.withColumn("_its", word_key("_item")).drop("_item"), "_seed")
-        texts = own.select(F.col("doc_id").alias("_own"), word_key("_words").alias("_own_doc"), "_words").distinct()
-        hits = met.join(texts, met["doc_id"].eqNullSafe(F.col("_own")) & (met["_doc"] == F.col("_own_doc"))).drop("_own", "_own_doc", "_doc")
-        own_items = items.select(F.col("item_id").alias("_own"), word_key("_words").alias("_own_its"), F.col("_words").alias("_item"))
-        hits = hits.join(own_items, hits["item_id"].eqNullSafe(F.col("_own")) & (hits["_its"] == F.col("_own_its"))).drop("_own", "_own_its", "_its")
-    need = F.ceil(F.least(F.lit(width), F.size("_item")) * least - 1e-9)
-    best = agreement(F.col("_words"), F.col("_item"), F.col("_at"), F.col("_item_at"), width, reach)
+        # inline() keeps the key computed once a stretch, where the places would compute it each.
+        key = F.xxhash64("_low", "_words")
+        parts = parts.select("*", F.inline(F.array(F.struct(key.alias("_part")))))
+        thin = maybe_in(seeds(parts, masks, short).drop("_words"), "_seed", hash_filter(known, "_seed"))
+        met = materialize(thin.join(known, "_seed"), "contamination-hits")
+        texts = maybe_in(parts.select(F.col("doc_id").alias("_own"), F.col("_part").alias("_own_part"), "_words"), "_own_part", hash_filter(met, "_part")).distinct()
+        hits = met.join(texts, met["doc_id"].eqNullSafe(F.col("_own")) & (met["_part"] == F.col("_own_part")))
+    hits = near(hits.select("doc_id", "item_id", "_words", "_at", "_item", "_item_at", "_span"), "_doc", "_doc_at", width, reach)
+    need = F.ceil(F.col("_span") * least - 1e-9)
+    best = agreement(F.col("_doc"), F.col("_item"), F.col("_doc_at"), F.col("_item_at"), F.col("_span"))
     # Behind inline(), the check stays above the join; as its condition it would have every place write the words out.
     found = hits.select("doc_id", "item_id", F.inline(F.array(F.struct(need.alias("_need"), best.alias("agreeing"))))).where("agreeing >= _need")
     return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max("agreeing").cast("long").alias("agreeing"))

@@ -91,6 +91,25 @@ def test_short_item_word_for_word_and_clashing_columns(spark, docs):
     assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("room", [D.BROADCAST_BYTES, 0])
+def test_stretches_change_nothing_and_hits_carry_near_words_only(spark, docs, room, monkeypatch):
+    table, bench, _, rows = fixture(spark, docs)
+    joined, near = [], D.near
+    monkeypatch.setattr(D, "near", lambda df, words, *a: joined.append((words, near(df, words, *a))) or joined[-1][1])
+    whole, cut = (sorted(map(tuple, D.contaminated(table, bench, broadcast_bytes=room, stretch=n).collect())) for n in (1 << 30, 16))
+    assert whole == cut and len(cut) > 15
+    for words, df in joined:
+        assert 13 <= df.agg(F.max(F.size(words))).head()[0] <= 2 * (D.WIDTH - 1) + max(map(len, D.MASKS))
+
+
+def test_a_long_text_full_of_an_item(spark, docs):
+    item = words_of(random.Random(8), 37)
+    table = docs([" ".join(item * 800), "nothing of it"])  # 30,000 words, 76,000 hits
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id bigint, text string")
+    (found,) = D.contaminated(table, bench).collect()
+    assert (found["doc_id"], found["item_id"], found["agreeing"]) == (0, 5, D.WIDTH) and found["n_hits"] > 70_000
+
+
 def test_decontaminate_keeps_clean_documents(spark, docs):
     table, bench, leaks, rows = fixture(spark, docs)
     kept = {r["doc_id"] for r in D.decontaminate(table, bench).collect()}
